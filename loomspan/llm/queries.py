@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup
+from loomspan.llm import exact_dedup, mixing, simhash, url_filter
 
-QUERIES = {
-    "op4_exact_dedup": exact_dedup.query,
-}
-ORACLE_SQL = {
-    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+_MODULES = {
+    "op4_exact_dedup": exact_dedup,
+    "op5_mixing": mixing,
+    "op6_url_filter": url_filter,
+    "op9_simhash": simhash,
 }
+QUERIES = {name: module.query for name, module in _MODULES.items()}
+ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _MODULES.items() if module.ORACLE_SQL}
