@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, language_id, mixing, simhash, suffix_dedup, url_filter
+from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, mixing, simhash, suffix_dedup, url_filter
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
     "op4_exact_dedup": exact_dedup,
     "op5_mixing": mixing,
     "op6_url_filter": url_filter,
+    "op7_fingerprints": fingerprints,
+    "op8_line_dedup": line_dedup,
     "op9_simhash": simhash,
     "op10_language_id": language_id,
 }
