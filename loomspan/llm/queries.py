@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, mixing, simhash, suffix_dedup, url_filter
+from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, mixing, sentencepiece_scan, simhash, suffix_dedup, url_filter, warc
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
+    "op2_warc": warc,
+    "op3_sentencepiece": sentencepiece_scan,
     "op4_exact_dedup": exact_dedup,
     "op5_mixing": mixing,
     "op6_url_filter": url_filter,
