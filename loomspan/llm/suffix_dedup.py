@@ -215,7 +215,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = shared_checkpoint(sorted_runs(own.select("row", "text"), length, window))
     probe, schema = probes_of(length)
     asked = own.join(found.where(F.size("sent") > 0).select("row", "sent"), "row")
-    strings = asked.select("row", "text", "sent").mapInArrow(probe, schema).repartition("name")
+    # doc_id goes along, unused, so that both joins read one exchange of the texts
+    strings = asked.select("row", "text", "sent", "doc_id").mapInArrow(probe, schema).repartition("name")
     met = strings.select("row", "lo", F.count("*").over(Window.partitionBy("name", "side")).alias("n")).where("n > 1")
     starts = met.groupBy("row").agg(F.collect_list("lo").alias("starts"))
     joined = own.join(found.where(F.size("settled") > 0).select("row", "settled"), "row", "left").join(starts, "row", "left")
