@@ -171,8 +171,8 @@ def reference_mode(query) -> Column:
 
 
 def half_even(value: Column, digits: int = 1) -> Column:
-    """Rounds the binary value itself to even, not its shortest decimal."""
-    return F.bround(value.cast("decimal(38,18)"), digits).cast("double")
+    """Rounded to even by the shortest decimal that reads as the value; only for showing."""
+    return F.bround(value, digits)
 
 
 def sample_indexes(total: Column, most: Column) -> Column:

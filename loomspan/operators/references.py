@@ -43,14 +43,17 @@ def blend(refs: DataFrame, web_sources: list[str], most: int = 24, web_most: int
     return own.withColumn("position", F.row_number().over(Window.orderBy("_part", "ref_id"))).drop("_web", "_n", "_pages", "_part")
 
 
-def blocks_text(c: Column) -> Column:
-    return T.strip(T.cleaned(c))
+def cleaned(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the text as analysis starts from it, each step computed once per row."""
+    df = P.pinned(df, _c=T.normalize_extracted(F.col(text)))
+    return P.pinned(df, **{out: T.strip(T.repair_spaced(F.col("_c")))}).drop("_c")
 
 
 def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: normalized, terms, sample, headline, phrases to probe references with."""
-    own = docs.select(F.col(key).alias("doc_id"), blocks_text(F.col(text)).alias("_t"))
-    own = own.withColumn("_t", F.when(F.length("_t") > 48_000, T.distributed_sample(F.col("_t"), 42_000)).otherwise(F.col("_t")))
+    own = cleaned(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_raw")), "_raw", "_all")
+    own = P.pinned(own, _flat=T.collapse(F.col("_all")))
+    own = P.pinned(own, _t=F.when(F.length("_all") > 48_000, T.distributed_sample(F.col("_flat"), 42_000)).otherwise(F.col("_all"))).select("doc_id", "_t")
     spans = P.spans(own, "doc_id", "_t", min_words=8, sentence_words=8)
     w = Window.partitionBy("doc_id").orderBy("span_id")
     spans = spans.select("doc_id", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("doc_id")).alias("n"), F.size("tokens").alias("size"), F.array_join(F.slice("tokens", 1, 20), " ").alias("phrase"))
@@ -64,8 +67,9 @@ def profiles(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
     p, q = F.transform("_p", lambda x: x["phrase"]), F.transform("_q", lambda x: x["phrase"])
     found = found.select("doc_id", F.when(F.size(p) >= 4, p).otherwise(F.slice(F.concat(p, q), 1, 6)).alias("phrases"))
-    toks = T.tokens(F.col("_t"))
-    out = own.select("doc_id", T.normalized(F.col("_t")).alias("normalized"), F.array_distinct(T.content_tokens(F.slice(toks, 1, 2600))).alias("terms"), F.array_join(F.slice(T.tokens(T.collapse(F.regexp_extract(F.col("_t"), r"^[^\n\r]*", 0))), 1, 16), " ").alias("headline"))
+    own = P.pinned(own, _k=T.tokens(F.col("_t")))
+    own = P.pinned(own, _some=F.slice("_k", 1, 2600))
+    out = own.select("doc_id", F.array_join("_k", " ").alias("normalized"), F.array_distinct(T.content_tokens(F.col("_some"))).alias("terms"), F.array_join(F.slice(T.tokens(T.collapse(F.regexp_extract(F.col("_t"), r"^[^\n\r]*", 0))), 1, 16), " ").alias("headline"))
     out = out.withColumn("sample", F.substring("normalized", 1, 3200)).withColumn("terms", F.when(F.col("normalized") == "", F.array().cast("array<string>")).otherwise(F.col("terms")))
     return out.join(found, "doc_id", "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
 
@@ -77,9 +81,9 @@ def overlap_scores(docs: DataFrame, refs: DataFrame, key: str = "doc_id", text:
     by an equi-join, never all by all.
     """
     prof = profiles(docs, key, text)
-    t = blocks_text(F.col("text"))
-    ref = refs.select("doc_id", "ref_id", T.normalized(F.col("title")).alias("_title"), T.normalized(t).alias("_norm"), F.length(T.collapse(F.col("text"))).alias("text_length"))
-    ref = ref.withColumn("_terms", F.array_distinct(T.content_tokens(F.slice(F.split("_norm", " "), 1, 2200)))).withColumn("_sample", F.substring("_norm", 1, 3200))
+    ref = P.pinned(cleaned(refs.select("doc_id", "ref_id", "title", "text"), "text", "_t"), _k=T.tokens(F.col("_t")))
+    ref = ref.select("doc_id", "ref_id", T.normalized(F.col("title")).alias("_title"), F.array_join("_k", " ").alias("_norm"), F.slice("_k", 1, 2200).alias("_some"), F.length(T.collapse(F.col("text"))).alias("text_length"))
+    ref = P.pinned(ref, _terms=F.array_distinct(T.content_tokens(F.col("_some"))), _sample=F.substring("_norm", 1, 3200))
     pairs = P.pinned(ref.join(prof, "doc_id"), _l=F.col("sample"), _r=F.col("_sample"), _norm2=F.col("_norm"), _phrases=F.col("phrases")).drop("sample", "_sample", "_norm", "phrases")
     pairs = pairs.withColumnsRenamed({"_l": "sample", "_r": "_sample", "_norm2": "_norm", "_phrases": "phrases"})
     # the multiset cosine over 4-grams: exploded on the pair, so both sides meet on (pair, gram)

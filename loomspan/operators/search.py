@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import lexicon as L
 from loomspan.functions import text as T
 from loomspan.operators import spans as P
+from loomspan.operators.references import cleaned
 
 
 def keywords(df: DataFrame, key: str = "doc_id", text: str = "text", top: int = 8) -> DataFrame:
@@ -34,7 +35,7 @@ def search_queries(df: DataFrame, key: str = "doc_id", text: str = "text", query
 
     The focus is the content of ``query`` (a column), or of the first 220 tokens of running text.
     """
-    docs = df.select(F.col(key).alias("_key"), T.strip(T.cleaned(F.col(text))).alias("_text"), (T.collapse(F.col(query)) if query else F.lit("")).alias("_query"))
+    docs = cleaned(df.select(F.col(key).alias("_key"), F.col(text).alias("_raw"), (T.collapse(F.col(query)) if query else F.lit("")).alias("_query")), "_raw", "_text").drop("_raw")
     paras = paragraph_table(docs, "_key", "_text")
     ended = F.sum(F.size("tokens")).over(Window.partitionBy("_key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     lead = paras.withColumn("_before", F.coalesce(ended, F.lit(0))).where("_before < 220").groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "tokens"))), lambda x: x["tokens"])).alias("_lead"))
