@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +33,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 48  # characters of a word between cuts
 PART = 1 << 16  # characters of a document in a row
 SLICE = 512  # rows encoded at once
+PAIRS, WORDS = 500_000, 300_000  # judged pairs and encoded words that a worker remembers
 MARK = "▁"
 MINUS = -np.inf
-#: Chunks with a single state at either end: a run of word starts stays whole, as pieces of blanks may take all but the last.
-UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 class Pieces:
     """A model's pieces and the lattice over them."""
 
@@ -63,10 +59,12 @@ class Pieces:
         self.lowest = min(self.score.values()) - 10.0
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("only models whose pieces have word starts in front are supported")
+        self.unit = units(self.ids)
         self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         fixed = {2: " \u2047 ", 3: ""}
         self.written = [bytes([int(t[3:5], 16)]) if k == 6 else fixed.get(k, t).encode() for t, k in zip(self.text, self.kind, strict=True)]
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.judged = 0
         self.last: dict[str, tuple[str, str, float] | None] = {}
         self.words = Words(self.word)
 
@@ -102,11 +100,16 @@ class Pieces:
         """Whether two neighbouring nodes stand together: for merges, if they alone come out as these two."""
         if not self.bpe:
             return True
-        known = self.follows.get((left, right))
+        after = self.follows.get(left)
+        if after is None:
+            after = self.follows[left] = {}
+        known = after.get(right)
         if known is None:
-            if len(self.follows) > 2_000_000:
+            self.judged += 1
+            if self.judged > PAIRS:
+                self.judged = 0
                 self.follows.clear()
-            known = self.follows[left, right] = self.stay(left, right) if left else self.merged(right) == [right]
+            known = after[right] = self.stay(left, right) if left else self.merged(right) == [right]
         return known
 
     def stay(self, left: str, right: str) -> bool:
@@ -199,7 +202,7 @@ class Pieces:
         at = max(0, entry[0]) + len(entry[1])
         path: list[tuple[int, str]] = [(at - len(entry[1]), entry[1])]
         left, dead = [], set()  # the nodes not yet tried after each node of the path; nodes that lead nowhere
-        ids, starts, follows, size = self.ids, self.starts, self.follows, len(text)
+        ids, starts, follows, size, none = self.ids, self.starts, self.follows, len(text), {}
         while True:
             p, last = path[-1]
             at = p + len(last)
@@ -216,9 +219,10 @@ class Pieces:
                     if node in ids:
                         found.append(node)
                 left.append(found)
+            after = follows.get(last, none)
             while found:
                 node = found.pop()
-                stands = follows.get((last, node))
+                stands = after.get(node)
                 if (self.may_follow(last, node) if stands is None else stands) and not (dead and (at, node) in dead):
                     path.append((at, node))
                     break
@@ -247,20 +251,20 @@ class Pieces:
         ends = zip(cuts, cuts[1:], strict=False)
         return [piece for i, (a, z) in enumerate(ends) for piece in self.trace(text, a, z, states[i][chosen[i]], states[i + 1][chosen[i + 1]])]
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """The ids of one word."""
+    def word(self, text: str) -> bytes:
+        """The ids of one word, as 32-bit numbers in a row."""
         out: list[int] = []
         for node in self.scan(text):
             i = self.ids.get(node)
             out += [i] if i is not None else [self.bytes[x] for x in node.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-        return tuple(out)
+        return np.array(out, np.int32).tobytes()
 
     def encode(self, text: str, first: bool = True) -> np.ndarray:
         """The ids of a text, or of a later part of one that begins at a word start."""
         text = text.replace(" ", MARK)
         if first and self.prefix and text:
             text = MARK + text
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, UNIT.findall(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.unit.findall(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; byte pieces in a row are read as UTF-8, bad ones as U+FFFD."""
@@ -268,13 +272,31 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def units(pieces) -> re.Pattern:
+    """A pattern of the chunks that have a single state at either end.
+
+    No piece reaches over their bounds: before a word start (but within a run of them), on either side
+    of a character that stands in no longer piece, and where a sign follows a letter, for those signs
+    that follow one in no piece.
+    """
+    near = {(x, y) for p in pieces for x, y in zip(p, p[1:], strict=False)}
+    known = {c for pair in near for c in pair} - {MARK}
+    signs = {c for c in known if not c.isalnum()}
+    while bad := {y for x, y in near if y in signs and x not in signs and x != MARK}:
+        signs -= bad
+    alone = "".join(c for c in map(chr, range(1, 128)) if c not in known and c != " ")
+    one, sign = (f"[{re.escape(c)}]" if c else r"(?!)" for c in (alone, "".join(sorted(signs))))
+    rest = f"[^{MARK}{re.escape(alone + ''.join(sorted(signs)))}]"
+    return re.compile(f"{one}|{MARK}+(?:{sign})*{rest}*|(?:{sign})+{rest}*|{rest}+")
+
+
 class Words(dict):
     """Ids by word, for short words that were met lately."""
 
-    def __init__(self, made, most: int = 400_000):
+    def __init__(self, made, most: int = WORDS):
         self.made, self.most = made, most
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> bytes:
         ids = self.made(text)
         if len(text) <= 64:
             if len(self) >= self.most:
