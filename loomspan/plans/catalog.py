@@ -266,17 +266,12 @@ def web_choice(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.web_choice(table(spark, sf, "documents"), near.withColumn("source", kind))
 
 
-def web_references(spark: SparkSession, sf: str) -> DataFrame:
-    near = _near_items(spark, sf).withColumn("source", F.lit(retrieval.CASCADE[0]))
-    return retrieval.web_references(table(spark, sf, "documents"), near)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
         shingle_candidates, weighted_candidates_top48, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, doc_overlap_pct, internal_repetition, merged_ranges,
         interval_coverage, appraisal_bands, reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
-        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references,
+        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice,
     )
 }

@@ -50,10 +50,10 @@ def web_references(targets: DataFrame, web: DataFrame, pages: DataFrame | None =
     The taken service's references without doubles, ranked, the first ones expanded by the text of their
     pages (url, page_title, page_text), ranked again.
     """
-    taken = web_choice(targets, web, key, text, most).where("taken").select("doc_id", "source")
-    own = R.deduplicate(web.join(taken, ["doc_id", "source"]), 0, ("doc_id",))
+    taken = web_choice(targets, web, key, text, most).where("taken").select("doc_id", "source").persist(overlap.KEEP)
+    own = R.deduplicate(web.join(taken, ["doc_id", "source"]), 0, ("doc_id",)).persist(overlap.KEEP)
     ranked = R.rerank(targets, own, key, text).where(F.col("position") <= max(2 * most, 6)).select("doc_id", "ref_id")
-    own = own.join(ranked, ["doc_id", "ref_id"])
+    own = own.join(ranked, ["doc_id", "ref_id"]).persist(overlap.KEEP)
     if pages is not None:
         own = R.deduplicate(R.expand(own, pages, providers.WEB_SOURCES).drop("snippet"), 0, ("doc_id",))
     ranked = R.rerank(targets, own, key, text).where(F.col("position") <= most).select("doc_id", "ref_id", "position")
