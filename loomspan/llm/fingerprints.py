@@ -31,17 +31,27 @@ def slot(term: Column, log_weight: Column, k: int) -> Column:
     return F.log(-F.log(u(g, 0, 32) * u(g, 32, 32))) - r * (level - b + 1)
 
 
+def words_of(text: Column) -> Column:
+    """Words; of a text without any, the empty one."""
+    return F.split(F.btrim(text, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
+
+
+def least_values(terms: DataFrame, keys: list[str], size: int, *more: Column) -> DataFrame:
+    """``keys`` and sample, an array of ``size`` 32-bit numbers, from rows of ``keys`` and _term, one per occurrence."""
+    terms = terms.groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
+    terms = terms.select(*keys, "_term", F.log(F.col("_n").cast("double")).alias("_log"))
+    least = terms.groupBy(*keys).agg(*[F.min(slot(F.col("_term"), F.col("_log"), k)).alias(f"_s{k}") for k in range(size)], *more)
+    names = [c for c in least.columns if not c.startswith("_s")]
+    return least.select(*names, F.array(*[F.xxhash64(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(size)]).alias("sample"))
+
+
 def signatures(texts: DataFrame, keys: list[str], text: str, size: int = SLOTS, seed: int = 0) -> DataFrame:
-    """``keys`` and sample, an array of ``size`` 32-bit numbers, one row per distinct ``keys``.
+    """``keys`` and sample, one row per distinct ``keys``.
 
-    No exchange is needed where ``texts`` is already dealt by a part of ``keys``. A text without words
-    has the empty word as its only term.
+    No exchange is needed where ``texts`` is already dealt by a part of ``keys``.
     """
-    words = texts.select(*keys, F.explode(F.split(F.btrim(F.col(text), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")).alias("_word"))
-    terms = words.select(*keys, F.xxhash64("_word", F.lit(seed)).alias("_term")).groupBy(*keys, "_term").agg(F.count("*").alias("_n"))
-    terms = terms.select(*keys, "_term", F.log(F.col("_n").cast("double")).alias("_log"))
-    least = terms.groupBy(*keys).agg(*[F.min(slot(F.col("_term"), F.col("_log"), k)).alias(f"_s{k}") for k in range(size)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"_s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(size)]).alias("sample"))
+    words = texts.select(*keys, F.explode(words_of(F.col(text))).alias("_word"))
+    return least_values(words.select(*keys, F.xxhash64("_word", F.lit(seed)).alias("_term")), keys, size)
 
 
 def likeness(a: str, b: str, size: int = SLOTS) -> Column:
@@ -92,18 +102,28 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     follow = shared_checkpoint(follow.join(own.select("row", F.length("text").cast("long").alias("n_chars")), "row"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     # texts are dealt once, by row; of each only what its predecessor takes over is sent on
-    taken = own.select(F.col("row").alias("next_row"), "text").join(follow, "next_row").select("row", "n_chars", F.substring("text", F.lit(1), third).alias("head"))
-    pair = own.select("row", "text").join(taken, "row")
+    texts = own.select("row", "text").repartition("row")
+    taken = texts.select(F.col("row").alias("next_row"), "text").join(follow, "next_row").select("row", "n_chars", F.substring("text", F.lit(1), third).alias("head"))
+    pair = texts.join(taken, "row")
     third = F.floor(F.col("n_chars") / 3).cast("int")
     pair = pair.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), "head"))
-    both = pair.select("row", F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
-    found = signatures(both.select("row", "x.kind", "x.text"), ["row", "kind"], "text", size)
-    # both branches read the same exchanges of texts; the digest stays out of the rows of words
-    sha = pair.select("row", F.sha2("edited", 256).alias("edited_sha256"))
-    found = shared_checkpoint(found.groupBy("row").pivot("kind", [0, 1]).agg(F.first("sample")).join(sha, "row"))
-    first = found.select("row", F.col("0").alias("sample"), F.col("1").alias("edited"), "edited_sha256")
+    # The digest of the edited text travels with the words, as eight numbered parts of 32 bits: a third
+    # kind of text. So texts are read, paired and dealt once for everything.
+    sha = F.sha2("edited", 256)
+    parts = F.concat_ws(" ", *[F.concat(F.lit(str(i)), F.substring(F.col("_sha"), 8 * i + 1, 8)) for i in range(8)])
+    pair = pair.select("row", "text", "edited", sha.alias("_sha"))
+    both = pair.select("row", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in enumerate((F.col("text"), F.col("edited"), parts))])).alias("x"))
+    words = both.select("row", "x.kind", F.explode(words_of(F.col("x.text"))).alias("_word"))
+    number = F.conv(F.substring("_word", 2, 8), 16, 10).cast("long") + F.shiftleft(F.substring("_word", 1, 1).cast("long"), 32)
+    words = words.select("row", "kind", F.when(F.col("kind") == 2, number).otherwise(F.xxhash64("_word", F.lit(0))).alias("_term"))
+    part = lambda i: F.max(F.when((F.col("kind") == 2) & (F.shiftright("_term", 32) == i), F.col("_term").bitwiseAND(F.lit(0xFFFFFFFF)))).alias(f"part{i}")
+    found = least_values(words, ["row", "kind"], size, *[part(i) for i in range(8)])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    found = found.groupBy("row").agg(of(0, "sample").alias("sample"), of(1, "sample").alias("edited"), *[of(2, f"part{i}").alias(f"part{i}") for i in range(8)])
+    digest = F.concat(*[F.lower(F.lpad(F.hex(f"part{i}"), 8, "0")) for i in range(8)])
+    first = shared_checkpoint(found.select("row", "sample", "edited", digest.alias("edited_sha256")))
     near = follow.join(own.select("row", "doc_id"), "row").join(first, "row")
-    near = near.join(found.select(F.col("row").alias("next_row"), F.col("0").alias("next")), "next_row")
+    near = near.join(first.select(F.col("row").alias("next_row"), F.col("sample").alias("next")), "next_row")
     return near.select("doc_id", "n_chars", "edited_sha256", written("sample").alias("fingerprint"), written("edited").alias("edited_fingerprint"), likeness("sample", "edited", size).alias("near_edited"), likeness("sample", "next", size).alias("near_next"))
 
 
