@@ -110,8 +110,14 @@ def token_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    norms = lambda name, key: P.pinned(table(spark, sf, name).select(key, "text"), n=F.substring(T.normalized(F.col("text")), 1, 3200))
-    grams = lambda name, key: norms(name, key).select(key, F.explode(T.char_grams(F.col("n"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    """Cosines of the 4-grams of whole normal forms.
+
+    They are cut from pieces that overlap by three characters: a substring is found by counting from the
+    start of its text, so the grams of a long text in one go cost the square of its length.
+    """
+    norms = lambda name, key: P.pinned(table(spark, sf, name).select(key, "text"), n=T.normalized(F.col("text")))
+    pieces = lambda name, key: norms(name, key).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 3, F.lit(1)), F.lit(1000)), lambda i: F.substring(F.col("n"), i, F.lit(1003)))).alias("piece"))
+    grams = lambda name, key: pieces(name, key).select(key, F.explode(T.char_grams(F.col("piece"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
     out = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n")
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
 
