@@ -34,7 +34,7 @@ def site_line_dedup(pages: DataFrame, lines: Column, host: Column, id_col: str =
     host_pages, n_lines, n_dropped and text (the kept lines, in order, joined by line feeds). A line is
     compared trimmed and exactly, and counts once for each page however often it stands there; all its
     occurrences are dropped. Hosts with fewer than ``min_pages`` pages say nothing about frequency and
-    keep all lines. A null host is a host of its own, written as empty; null lines count as none. Null
+    keep all lines; so do lines on fewer than ``min_pages`` pages, whatever their share. A null host is a host of its own, written as empty; null lines count as none. Null
     ids stay null, repeated rows are pages of their own, an empty table gives no rows, and other
     columns are left out.
     """
