@@ -48,13 +48,13 @@ def text_fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; a text without words, or null, has fingerprint 0."""
+    """(row, doc_id, fp) for every row; a text without words, or null, has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())], names=["row", "doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def cell_of(fp: str) -> Column:
@@ -152,32 +152,32 @@ def near_links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, tile: int = 4096) -> DataFrame:
     """SimHash fingerprint and component of every row of ``docs``.
 
-    Returns doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest id that can be
-    reached over links of ``radius`` or fewer differing bits, the row's own included). Texts with
+    Returns row, doc_id, fingerprint (16 lower-case hex digits), component_id (the smallest id that can
+    be reached over links of ``radius`` or fewer differing bits, the row's own included) and kept (true
+    for one row of each component: the first with that id, or the first of all if no id is known). Texts with
     fewer than ``width`` words are hashed whole; empty, blank and null texts have fingerprint zero
     and are linked like any other. Null ids keep their row and never name a component unless all ids
     of it are null. Repeated rows keep their number. An empty table gives no rows; extra columns are
     left out.
     """
     rows = shared_checkpoint(fingerprints(docs, id_col, text_col, width))
-    distinct = shared_checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = shared_checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "row")).alias("least")))
     comp = connected_components(near_links(distinct, radius, tile))
     named = distinct.join(comp, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = named.groupBy("component").agg(F.min("least").alias("best"))
     # one row per fingerprint; a fingerprint that very many rows share is split by the adaptive skew join
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = named.join(least, "component").select("fp", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("keep_row"))
+    return rows.join(by_fp, "fp").select("row", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id."""
-    found = near_dedup(docs)
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component stays: the first with the smallest id. ``docs`` must be a table that rereads alike."""
+    lost = near_dedup(docs).where("NOT kept").select(F.col("row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(lost, "_row", "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("row", "kept")
 
 
 #: Bitwise majorities over shingles and transitive links: tested against brute force instead.
