@@ -1,16 +1,16 @@
 """Mixing sources to target weights with Sainte-Lague apportionment.
 
-All words of the mix are cut into equal blocks. The blocks go to the sources by highest quotients
-(a source's target over 1, 3, 5, ...), and each source's quota goes to its shards the same way by
-their sizes. A shard is a seeded part of a source's documents, laid out in seeded order; whole turns
-over the shard are taken as often as its quota asks, and the blocks of the last, partial turn are
-picked by a seeded permutation. A source that holds a third of all rows has as many more shards.
+The words of the mix go to the sources by highest quotients (a source's target over 1, 3, 5, ...), and
+each source's quota goes to its shards the same way by their sizes. Quotas are in words, so that small
+sources meet their targets too. A shard is a seeded part of a source's documents, laid out in seeded
+order and cut into equal blocks; whole turns over the shard are taken as often as its quota asks, and
+the blocks of the last, partial turn are picked by a seeded permutation, the last of them in part. A
+source that holds a third of all rows has as many more shards.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import floor
 
 import numpy as np
 import pandas as pd
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         caps = pdf.source_size.to_numpy(float)
         w = np.array([weights[i % len(weights)] for i in range(len(pdf))])
         target = fill(w, repeat * caps, caps.sum())
-        quota = apportion(target, int(floor(caps.sum() / block + 0.5)))
+        quota = apportion(target, int(caps.sum()), repeat * pdf.source_size.to_numpy())
         return pdf.assign(target=target, quota=quota)[["is_null", "name", "source_size", "target", "quota", "n"]]
 
     sources = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(plan, "is_null int, name string, source_size long, target double, quota long, n long")
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         pdf = pdf.sort_values("shard").reset_index(drop=True)
         words = pdf.words.to_numpy()
         count = np.maximum(1, np.round(words / block)).astype(np.int64) * (words > 0)
-        return pdf.assign(blocks=count, quota=apportion(words, int(pdf.quota.iloc[0]), repeat * count))[["is_null", "name", "shard", "words", "blocks", "quota"]]
+        return pdf.assign(blocks=count, quota=apportion(words, int(pdf.quota.iloc[0]), repeat * words))[["is_null", "name", "shard", "words", "blocks", "quota"]]
 
     shards = by_shard.groupBy("is_null", "name").applyInPandas(share, "is_null int, name string, shard int, words long, blocks long, quota long").withColumnRenamed("quota", "shard_quota")
     shards = shared_checkpoint(shards)
@@ -111,28 +111,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def taken_words(seed: int) -> Column:
-    """Whole turns of a document plus its words in the picked blocks of the partial turn.
+    """Whole turns of a document plus its words in the picked parts of the partial turn.
 
     Block k of n covers the words from floor(k * words / n) to floor((k + 1) * words / n). It is picked
-    when (a * k + c) mod n is below the number of blocks wanted: a seeded permutation, as ``a`` is
-    prime and larger than any n here, hence coprime to n.
+    when (a * k + c) mod n is below the number of whole blocks wanted: a seeded permutation, as ``a`` is
+    prime and larger than any n here, hence coprime to n. The block next in that order gives its first
+    words for the rest of the quota.
     """
     words, n = F.col("words"), F.greatest(F.col("blocks"), F.lit(1))
-    turns = F.call_function("div", F.col("shard_quota"), n)
-    want = F.col("shard_quota") - turns * n
+    div = lambda a, b: F.call_function("div", a, b)
+    turns = div(F.col("shard_quota"), F.greatest(words, F.lit(1)))
+    left = F.col("shard_quota") - turns * words
+    want = div(left * n, F.greatest(words, F.lit(1)))
+    rest = left - div(want * words, n)
     step = F.pmod(F.lit(2_147_483_647), n)
     shift = F.pmod(F.xxhash64("name", "is_null", "shard", F.lit(seed)), n)
-    div = lambda a, b: F.call_function("div", a, b)
     edge = lambda k: div(k * words, n)
     # the blocks that the document touches; a bound too many on either side adds nothing
     low = F.greatest(div(F.col("begin") * n, F.greatest(words, F.lit(1))) - 1, F.lit(0))
     high = F.least(div(F.col("end") * n, F.greatest(words, F.lit(1))) + 1, n - 1)
 
     def part(total: Column, k: Column) -> Column:
-        inside = F.greatest(F.least(edge(k + 1), F.col("end")) - F.greatest(edge(k), F.col("begin")), F.lit(0))
-        return total + F.when(F.pmod(step * k + shift, n) < want, inside).otherwise(0)
+        at = F.pmod(step * k + shift, n)
+        upto = F.when(at < want, edge(k + 1)).otherwise(F.least(edge(k) + rest, edge(k + 1)))
+        inside = F.greatest(F.least(upto, F.col("end")) - F.greatest(edge(k), F.col("begin")), F.lit(0))
+        return total + F.when(at <= want, inside).otherwise(0)
 
-    partial = F.when((want > 0) & (F.col("size") > 0), F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0).cast("long"), part)).otherwise(F.lit(0))
+    partial = F.when((left > 0) & (F.col("size") > 0), F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0).cast("long"), part)).otherwise(F.lit(0))
     return (turns * F.col("size") + partial).cast("long")
 
 

@@ -2,7 +2,7 @@
 
 import collections
 
-from loomspan.llm import simhash
+from loomspan.llm import mixing, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +19,18 @@ def test_simhash_stage_drops_rows(spark, tmp_path):
     assert got.columns == ["doc_id", "text"]
     want = [(5, "a"), (None, "b"), (3, "c"), (9, "d"), (1, "e"), (None, "f")]
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter((i, text_of(t)) for i, t in want)
+
+
+def test_mixing_of_small_sources(spark, tmp_path):
+    """All but one source are capped at three times their words, and every source meets its target."""
+    sizes = {"a": [10], "b": [20], "c": [100], "d": [33, 1, 0, 31], "e": [3000, 2000, 500]}
+    rows = [(100 * i + j, " ".join(["w"] * n), s) for i, (s, own) in enumerate(sizes.items()) for j, n in enumerate(own)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "d"))).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert [taken[s] for s in "abcd"] == [30, 60, 300, 195]
+    assert all(abs(taken[s] - target[s]) <= 1 + target[s] / 1000 for s in sizes) and sum(taken.values()) == 5695
