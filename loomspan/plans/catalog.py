@@ -129,13 +129,19 @@ def concept_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verbatim_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Items whose normal form, 40 letters or more, stands in a document's; looked for only where shingles meet."""
+    """Items whose normal form, 40 letters or more, stands in a document's; looked for only where shingles meet.
+
+    Items of fewer than five tokens have no inner shingle and are looked for in every document.
+    """
     docs = table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("d"))
     items = table(spark, sf, "benchmark").select("item_id", T.normalized(F.col("text")).alias("b")).where(F.length("b") >= 40)
     # an inner shingle of the item, whose tokens are whole in the document wherever the item stands
-    probe = items.withColumn("t", F.split("b", " ")).where(F.size("t") >= 5).select("item_id", "b", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("term"))
+    items = items.withColumn("t", F.split("b", " "))
+    probe = items.where(F.size("t") >= 5).select("item_id", "b", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("term"))
     near = _token_shingles(spark, sf, "documents", "doc_id").join(probe, "term").select("doc_id", "item_id", "b")
-    return near.join(docs, "doc_id").where(F.contains("d", "b")).select("doc_id", "item_id").distinct()
+    short = items.where(F.size("t") < 5).select("item_id", "b")
+    found = near.join(docs, "doc_id").where(F.contains("d", "b")).select("doc_id", "item_id")
+    return found.unionByName(docs.join(short, F.contains("d", "b")).select("doc_id", "item_id")).distinct()
 
 
 def _refs(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,3 +37,11 @@ def test_char_cosine_takes_whole_texts(spark, tmp_path):
             if dot := sum(n * b[g] for g, n in a.items()):
                 want[d, i] = dot / (norm(a) * norm(b))
     assert (0, 0) in want and got == pytest.approx(want, abs=1e-6)
+
+
+def test_verbatim_containment_of_few_tokens(spark, tmp_path):
+    long = ["a" * 45, "b" * 30 + " " + "c" * 30, "d" * 20 + " e " + "f" * 20, "g" * 15 + " h i " + "j" * 25, "one two three four five six seven eight nine", "k" * 39]
+    documents = [(i, f"Some words x{t}y and more") for i, t in enumerate(long)] + [(10, None), (11, " ".join(long[:4]))]
+    got = {(r.doc_id, r.item_id) for r in entry.queries()["verbatim_containment"](spark, folder(spark, tmp_path, documents, list(enumerate(long)))).collect()}
+    texts = [(d, " ".join(Y.tokens(t or ""))) for d, t in documents]
+    assert got == {(d, i) for d, t in texts for i, b in enumerate(long) if len(b) >= 40 and b in t} and len(got) == 9
