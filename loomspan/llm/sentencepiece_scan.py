@@ -6,14 +6,19 @@ node weighs the score of its piece and any two may follow each other. For a BPE
 nothing, and a pair weighs nothing if merging the two pieces' characters from scratch yields just
 these two, else minus infinity: one path of finite weight is left, which is what the merges produce.
 
-The text is cut into chunks. The state at a cut is the node that covers the character before it. A
-chunk yields the matrix of best weights from each state at its left cut to each at its right cut;
-matrices combine associatively, so the states of all cuts follow from a scan over the (small)
-matrices, and each chunk is then traced back on its own between its two states. No piece has a word
-start inside (only runs of word starts do), so a cut there has a single state and its matrix has one
-entry; such chunks, the words, are shared between all texts of a batch. Only words longer than
-``CHUNK`` characters are cut inside, where matrices have several entries. Giant documents are first
-cut into rows at word starts, encoded wherever those rows are, and put together by their number.
+Giant documents are cut every ``PART`` characters, wherever that falls. The states at a cut are the
+nodes that cover the character before it, known from the few characters around the cut alone, so each
+chunk is a row of its own that yields its transfer matrix: the best weight from each state at its left
+cut to each at its right cut. Matrices combine associatively: a document's are combined pairwise up a
+tree, and back down the tree each chunk learns the state at either of its cuts, between which it is
+then traced on its own, wherever its row is. (A Spark string holds 2 GB, so a document has no more than
+32,768 of these small matrices.)
+
+No piece holds two characters side by side that no piece has side by side, word starts above all. Such
+places have a single state, so a chunk's matrix is the product of a column (up to the first such
+place), numbers (the words between) and a row (from the last one on); the words, chunks of one entry
+each, are shared between all texts of a batch. Chunks without any such place, and words of more than
+``CHUNK`` characters, which are cut the same way, have full matrices.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import table
@@ -32,10 +39,13 @@ from loomspan.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 48  # characters of a word between cuts
 PART = 1 << 16  # characters of a document in a row
-SLICE = 512  # rows encoded at once
-PAIRS, WORDS = 500_000, 300_000  # judged pairs and encoded words that a worker remembers
+SLICE = 1 << 21  # characters encoded at once
+PAIRS, WORDS = 150_000, 150_000  # judged pairs and encoded words that a worker remembers
 MARK = "▁"
 MINUS = -np.inf
+State = tuple[int, str]  # where a node starts, and the node; no node where there is a single state
+
+
 class Pieces:
     """A model's pieces and the lattice over them."""
 
@@ -53,6 +63,7 @@ class Pieces:
         self.kind = [p.type for p in proto.pieces]
         normal = [i for i, p in enumerate(proto.pieces) if p.type in (1, 4)]
         self.ids = {proto.pieces[i].piece: i for i in normal}
+        self.number = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.score = {i: proto.pieces[i].score for i in normal}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
@@ -60,13 +71,17 @@ class Pieces:
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("only models whose pieces have word starts in front are supported")
         self.unit = units(self.ids)
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.near = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
+        self.ends = {p[n:] for p in self.ids for n in range(len(p))}
+        self.longest = max(map(len, self.ids))
         fixed = {2: " \u2047 ", 3: ""}
         self.written = [bytes([int(t[3:5], 16)]) if k == 6 else fixed.get(k, t).encode() for t, k in zip(self.text, self.kind, strict=True)]
         self.follows: dict[str, dict[str, bool]] = {}
         self.judged = 0
         self.last: dict[str, tuple[str, str, float] | None] = {}
         self.words = Words(self.word)
+        self.before: tuple[str, list[str | None], list[float]] = ("", [""], [0.0])  # the text and row scanned last
+        self.rows = self.matrices = 0  # of transfer matrices made so far
 
     def merged(self, text: str) -> list[str]:
         """The merges applied to a short text: highest score first, leftmost among equals."""
@@ -84,14 +99,7 @@ class Pieces:
 
     def nodes_at(self, text: str, p: int) -> list[str]:
         """The pieces that may start at p; a character that is no piece is a node of its own."""
-        found = [text[p]]
-        for n in range(p + 2, len(text) + 1):
-            node = text[p:n]
-            if node not in self.starts:
-                break
-            if node in self.ids:
-                found.append(node)
-        return found
+        return [text[p], *(node for n in range(p + 2, min(len(text), p + self.longest) + 1) if (node := text[p:n]) in self.ids)]
 
     def weight(self, node: str) -> float:
         return 0.0 if self.bpe else self.score.get(self.ids.get(node, -1), self.lowest)
@@ -145,126 +153,166 @@ class Pieces:
             self.last[piece] = found
         return self.last[piece]
 
-    def matrix(self, text: str, begin: int, end: int, entering: list[tuple[int, str]]) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """Best weights from each entering state over the nodes that start in [begin, end).
+    def parted(self, text: str, p: int) -> bool:
+        """Whether no piece reaches over p, so that there is a single state."""
+        return not 0 < p < len(text) or text[p - 1 : p + 1] not in self.near
 
-        A state is (start, piece) of the node that covers the character before a cut; (-1, "") stands
-        for the text's beginning. Returns the matrix from entering to leaving states, and the latter.
-        """
-        arrive: dict[int, list[tuple[str, np.ndarray]]] = {}
-        leaving: list[tuple[tuple[int, str], np.ndarray]] = []
-        for k, (s, piece) in enumerate(entering):
-            row = np.full(len(entering), MINUS)
-            row[k] = 0.0
-            arrive.setdefault(max(0, s) + len(piece), []).append((piece, row))
-            if s + len(piece) >= end:
-                leaving.append(((s, piece), row))
-        for p in range(begin, end):
-            before = arrive.pop(p, ())
-            for node in self.nodes_at(text, p) if before else ():
-                rows = [row for piece, row in before if self.may_follow(piece, node)]
-                if rows:
-                    own = np.max(rows, axis=0) + self.weight(node)
-                    arrive.setdefault(p + len(node), []).append((node, own))
-                    if p + len(node) >= end:
-                        leaving.append(((p, node), own))
-        return np.array([row for _, row in leaving]).T, [state for state, _ in leaving]
-
-    def trace(self, text: str, begin: int, end: int, entry: tuple[int, str], leave: tuple[int, str] | None = None) -> list[str]:
-        """The pieces of the best path that start in [begin, end), from one state to one (or the best) state."""
-        if self.bpe:
-            return self.finite(text, begin, end, entry, leave)
-        arrive: dict[int, list[tuple[float, str, tuple | None]]] = {max(0, entry[0]) + len(entry[1]): [(0.0, entry[1], None)]}
-        top: tuple | None = None
-        for p in range(begin, end):
-            before = arrive.pop(p, None)
-            if not before:
-                continue
-            for node in self.nodes_at(text, p):
-                best = None
-                for x in before:
-                    if (best is None or x[0] > best[0]) and self.may_follow(x[1], node):
-                        best = x
-                if best is not None:
-                    made = (best[0] + self.weight(node), node, best)
-                    if p + len(node) < end:
-                        arrive.setdefault(p + len(node), []).append(made)
-                    elif (leave is None and (top is None or made[0] > top[0])) or leave == (p, node):
-                        top = made
-        out: list[str] = []
-        while top is not None and top[2] is not None:
-            out.append(top[1])
-            top = top[2]
-        return out[::-1]
+    def states(self, text: str, p: int) -> list[State]:
+        """The states at a cut: nodes that cover the character before it, or the single one."""
+        if self.parted(text, p):
+            return [(p, "")]
+        return [(s, node) for s in range(max(0, p - self.longest), p) for node in self.nodes_at(text, s) if s + len(node) >= p]
 
-    def finite(self, text: str, begin: int, end: int, entry: tuple[int, str], leave: tuple[int, str] | None) -> list[str]:
-        """The same where weights are nothing or minus infinity: any path of finite weight, found in depth."""
-        at = max(0, entry[0]) + len(entry[1])
-        path: list[tuple[int, str]] = [(at - len(entry[1]), entry[1])]
-        left, dead = [], set()  # the nodes not yet tried after each node of the path; nodes that lead nowhere
-        ids, starts, follows, size, none = self.ids, self.starts, self.follows, len(text), {}
-        while True:
-            p, last = path[-1]
-            at = p + len(last)
-            if at >= end and (leave is None or len(path) == 1 or path[-1] == leave):
-                return [node for _, node in path[1:]]
-            if len(left) == len(path):
-                found = left[-1]
-            else:  # as nodes_at() finds them, in line
-                found = [text[at]] if at < end else []
-                for n in range(at + 2, size + 1 if found else 0):
-                    node = text[at:n]
-                    if node not in starts:
-                        break
-                    if node in ids:
-                        found.append(node)
-                left.append(found)
-            after = follows.get(last, none)
+    def forward(self, text: str, entry: State, end: int) -> tuple[int, list[str | None], list[float]]:
+        """One row of a transfer matrix: from one state the best node that ends at each place, and its weight.
+
+        Returns the place where the state's node ends, and from there on nodes and weights; a place
+        without a path has None. For merges at most one node ends at a place, so the first found is it.
+        """
+        self.rows += 1
+        begin = entry[0] + len(entry[1])
+        ids, ends, follows, none, bpe = self.ids, self.ends, self.follows, {}, self.bpe
+        last: list[str | None] = [entry[1]]
+        weight = [0.0]
+        if entry == (0, ""):  # a row depends on what lies before a place alone, so it goes on from the one before
+            old, nodes, weights = self.before
+            same = n = min(end, len(nodes) - 1)
+            while not text.startswith(old[:same]):
+                same -= 1
+            last, weight = nodes[: same + 1], weights[: same + 1]
+            self.before = text, last, weight
+        for e in range(begin + len(last), end + 1):
+            s = e - 1
+            found = [text[s:e]]
+            while s > begin:
+                s -= 1
+                node = text[s:e]
+                if node not in ends:
+                    break
+                if node in ids:
+                    found.append(node)
+            best, top = None, MINUS
             while found:
                 node = found.pop()
-                stands = after.get(node)
-                if (self.may_follow(last, node) if stands is None else stands) and not (dead and (at, node) in dead):
-                    path.append((at, node))
-                    break
-            else:
-                dead.add(path.pop())
-                left.pop()
+                at = e - len(node) - begin
+                left = last[at]
+                if left is None:
+                    continue
+                if bpe:
+                    stands = follows.get(left, none).get(node)
+                    if self.may_follow(left, node) if stands is None else stands:
+                        best, top = node, 0.0
+                        break
+                elif (w := weight[at] + self.weight(node)) > top:
+                    best, top = node, w
+            last.append(best)
+            weight.append(top)
+        return begin, last, weight
+
+    def path(self, text: str, entry: State, leave: State) -> list[str]:
+        """The nodes of the best path from one state to another, the latter's own included."""
+        if entry == leave:
+            return []
+        begin, last, _ = self.forward(text, entry, leave[0])
+        out, at = [leave[1]] if leave[1] else [], leave[0] - begin
+        while at > 0:
+            out.append(last[at])
+            at -= len(last[at])
+        return out[::-1]
 
-    def scan(self, text: str) -> list[str]:
+    def row(self, text: str, entry: State, leaving: list[State], end: int) -> np.ndarray:
+        """The best weights from one state to each state at ``end``."""
+        out = np.full(len(leaving), MINUS)
+        begin, last, weight = self.forward(text, entry, max(s for s, _ in leaving))
+        for j, (s, node) in enumerate(leaving):
+            if (s, node) == entry or (not node and begin == s):
+                out[j] = 0.0  # the node that enters also leaves
+            elif not node:
+                out[j] = weight[s - begin]
+            elif s >= begin and last[s - begin] is not None and self.may_follow(last[s - begin], node):
+                out[j] = weight[s - begin] + self.weight(node)
+        return out
+
+    def inner(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """The first and last place of a chunk with a single state, if there is any."""
+        first = next((p for p in range(begin, end + 1) if self.parted(text, p)), None)
+        return None if first is None else (first, next(p for p in range(end, begin - 1, -1) if self.parted(text, p)))
+
+    def matrix(self, text: str, begin: int, end: int) -> np.ndarray:
+        """The transfer matrix of the chunk [begin, end): best weights from each state at its left cut
+
+        to each at its right cut, over the nodes that start in it. ``text`` must reach ``longest``
+        characters over the chunk on either side, or as far as the whole text does.
+        """
+        self.matrices += 1
+        entering, leaving, cut = self.states(text, begin), self.states(text, end), self.inner(text, begin, end)
+        if cut is None:
+            return np.array([self.row(text, x, leaving, end) for x in entering])
+        first, last = cut
+        column = np.array([self.row(text, x, [(first, "")], first)[0] for x in entering])
+        between = 0.0 if self.bpe else sum(self.row(u, (0, ""), [(len(u), "")], len(u))[0] for u in self.unit.findall(text, first, last))
+        return (column + between)[:, None] + self.row(text, (last, ""), leaving, end)
+
+    def trace(self, text: str, begin: int, end: int, entry: State, leave: State) -> bytes:
+        """The ids of the best path's nodes that start in the chunk [begin, end), as 32-bit numbers in a row."""
+        cut = self.inner(text, begin, end)
+        if cut is None:
+            return self.numbers(self.path(text, entry, leave))
+        first, last = cut
+        head, tail = self.path(text, entry, (first, "")), self.path(text, (last, ""), leave)
+        return self.numbers(head) + b"".join(map(self.words.__getitem__, self.unit.findall(text, first, last))) + self.numbers(tail)
+
+    def scan(self, text: str, chunk: int = CHUNK) -> list[str]:
         """The nodes of the best path through one word, cut into chunks if it is long."""
-        if len(text) <= CHUNK + CHUNK // 2:
-            return self.trace(text, 0, len(text), (-1, ""))
-        cuts = [*range(0, len(text) - CHUNK // 2, CHUNK), len(text)]
-        states, matrices = [[(-1, "")]], []
-        for a, z in zip(cuts, cuts[1:], strict=False):
-            matrix, leaving = self.matrix(text, a, z, states[-1])
-            matrices.append(matrix)
-            states.append(leaving)
-        # prefix products give the best weight of every state at every cut; from the right the choice among them
-        ahead = [np.zeros(1)]
-        for m in matrices:
-            ahead.append((ahead[-1][:, None] + m).max(axis=0))
-        chosen = [int(np.argmax(ahead[-1]))]
-        for m, w in zip(matrices[::-1], ahead[-2::-1], strict=True):
-            chosen.append(int(np.argmax(w + m[:, chosen[-1]])))
-        chosen.reverse()
-        ends = zip(cuts, cuts[1:], strict=False)
-        return [piece for i, (a, z) in enumerate(ends) for piece in self.trace(text, a, z, states[i][chosen[i]], states[i + 1][chosen[i + 1]])]
+        if len(text) <= chunk + chunk // 2:
+            return self.path(text, (0, ""), (len(text), ""))
+        cuts = [*range(0, len(text) - chunk // 2, chunk), len(text)]
+        ends = list(zip(cuts, cuts[1:], strict=False))
+        chosen = chosen_states([self.matrix(text, a, z) for a, z in ends])
+        at = [self.states(text, p)[i] for p, i in zip(cuts, chosen, strict=True)]
+        return [node for x, y in zip(at, at[1:], strict=False) for node in self.path(text, x, y)]
+
+    def numbers(self, nodes: list[str]) -> bytes:
+        """Ids of nodes, as 32-bit numbers in a row."""
+        return b"".join([self.number.get(node) or self.spelled(node) for node in nodes])
+
+    def spelled(self, node: str) -> bytes:
+        """The ids of a character that is no piece."""
+        return np.array([self.bytes[x] for x in node.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown], np.int32).tobytes()
 
     def word(self, text: str) -> bytes:
-        """The ids of one word, as 32-bit numbers in a row."""
-        out: list[int] = []
-        for node in self.scan(text):
-            i = self.ids.get(node)
-            out += [i] if i is not None else [self.bytes[x] for x in node.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
-        return np.array(out, np.int32).tobytes()
-
-    def encode(self, text: str, first: bool = True) -> np.ndarray:
-        """The ids of a text, or of a later part of one that begins at a word start."""
+        """The ids of one word, a chunk with a single state at either end."""
+        return self.numbers(self.scan(text.replace(" ", MARK)))
+
+    def marked(self, text: str) -> str:
+        """A text as pieces spell it: blanks as marks, one in front."""
         text = text.replace(" ", MARK)
-        if first and self.prefix and text:
-            text = MARK + text
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.unit.findall(text))), np.int32)
+        return MARK + text if self.prefix and text else text
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        return next(self.encoded([text]))
+
+    def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of whole texts. Their new words are scanned in order, so that beginnings are scanned once."""
+        # blanks stay blanks here: strings of Latin letters alone take less memory
+        found = [self.unit.findall(" " + t if self.prefix and t else t) for t in texts]
+        wanted = set().union(*found)
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = wanted
+        for w in sorted(new):
+            self.words[w]
+        for own in found:
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, own)), np.int32)
+
+    def chunks(self, text: str, size: int) -> Iterator[tuple[int, str, int, int]]:
+        """(number, window, begin, end) of the chunks of a text of any length, each with its surroundings."""
+        text = self.marked(text)
+        for k, a in enumerate(range(0, len(text), size)):
+            z, low = min(len(text), a + size), max(0, a - self.longest)
+            yield k, text[low : z + self.longest], a - low, z - low
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; byte pieces in a row are read as UTF-8, bad ones as U+FFFD."""
@@ -286,21 +334,19 @@ def units(pieces) -> re.Pattern:
         signs -= bad
     alone = "".join(c for c in map(chr, range(1, 128)) if c not in known and c != " ")
     one, sign = (f"[{re.escape(c)}]" if c else r"(?!)" for c in (alone, "".join(sorted(signs))))
-    rest = f"[^{MARK}{re.escape(alone + ''.join(sorted(signs)))}]"
-    return re.compile(f"{one}|{MARK}+(?:{sign})*{rest}*|(?:{sign})+{rest}*|{rest}+")
+    rest = f"[^ {MARK}{re.escape(alone + ''.join(sorted(signs)))}]"
+    return re.compile(f"{one}|[ {MARK}]+(?:{sign})*{rest}*|(?:{sign})+{rest}*|{rest}+")
 
 
 class Words(dict):
-    """Ids by word, for short words that were met lately."""
+    """Ids by word, made when asked for; long words are not kept."""
 
-    def __init__(self, made, most: int = WORDS):
-        self.made, self.most = made, most
+    def __init__(self, made):
+        self.made = made
 
     def __missing__(self, text: str) -> bytes:
         ids = self.made(text)
         if len(text) <= 64:
-            if len(self) >= self.most:
-                self.clear()
             self[text] = ids
         return ids
 
@@ -310,9 +356,34 @@ def loaded(raw: bytes) -> Pieces:
     return Pieces(raw)
 
 
-def parts_of(text: Column, size: int) -> Column:
-    """A text cut into parts of ``size`` characters or more that begin at a blank after a non-blank."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}+[ {MARK}]*+[^ {MARK}]*+"), F.lit(0))
+def combined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The associative product: the best weight over all states at the cut between."""
+    return (left[:, :, None] + right[None, :, :]).max(axis=1)
+
+
+def chosen_states(matrices: list[np.ndarray]) -> list[int]:
+    """The state at each cut on the best path, one more than there are chunks.
+
+    Matrices are combined pairwise up a tree; back down, each node is told the states at its ends and
+    picks the one between its halves.
+    """
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        own = levels[-1]
+        levels.append([combined(*own[i : i + 2]) if i + 1 < len(own) else own[i] for i in range(0, len(own), 2)])
+    root = levels[-1][0]
+    ends = list(map(int, np.unravel_index(np.argmax(root), root.shape)))
+    for own in levels[-2::-1]:
+        below = []
+        for i, entry in enumerate(ends[:-1]):
+            below.append(entry)
+            if 2 * i + 1 < len(own):
+                below.append(int(np.argmax(own[2 * i][entry] + own[2 * i + 1][:, ends[i + 1]])))
+        ends = [*below, ends[-1]]
+    return ends
+
+
+CHUNKS = "`_row` long, `_part` int, `_window` string, `_begin` int, `_end` int"
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), part: int = PART) -> DataFrame:
@@ -320,33 +391,78 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     A null or empty text has no ids. Repeated rows keep their number, null ids stay null, an empty
     table gives no rows. Columns outside ``keep`` are left out. Texts of more than ``part`` characters
-    are cut into rows at word starts, dealt out, and put together in order; the others stay in place.
+    are cut into chunks that are rows of their own: each yields its matrix, a document's matrices tell
+    the states at its cuts, and each chunk is traced between two of them; the others stay in place.
     ``model`` is the file's content; it reaches the executors once. The ids equal the library's.
+    ``docs`` must be a table that rereads alike, as giant texts are told apart by their place in it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c) for c in keep if c != "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(shared.value)
-        for b in (whole.slice(a, SLICE) for whole in batches for a in range(0, whole.num_rows, SLICE)):
-            at, first = b.schema.get_field_index("_text"), b.schema.get_field_index("_part")
-            ids = [pieces.encode(b.column(at)[i].as_py(), first < 0 or b.column(first)[i].as_py() == 0) for i in range(b.num_rows)]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            out = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+        for b in slices(batches):
+            at = b.schema.get_field_index("_text")
+            out = lists(list(pieces.encoded(b.column(at).to_pylist())))
             cols = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*cols, out], names=[*(n for i, n in enumerate(b.schema.names) if i != at), "ids"])
 
-    schema = lambda df: ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text"), "ids array<int>"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(shared.value)
+        for b in batches:
+            for row, text in zip(b.column(0), b.column(1), strict=True):
+                for k, window, a, z in pieces.chunks(text.as_py(), part):
+                    kinds = pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()
+                    made = [pa.array([x], kind) for x, kind in zip((row.as_py(), k, window, a, z), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(made, names=["_row", "_part", "_window", "_begin", "_end"])
+
+    def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(shared.value)
+        for b in batches:
+            made = [pieces.matrix(w, a, z) for w, a, z in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            cols = [pa.array([len(m) for m in made], pa.int32()), pa.array([m.ravel().tolist() for m in made], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["_row", "_part", "_states", "_weights"])
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        chosen = chosen_states([np.asarray(w, float).reshape(n, -1) for w, n in zip(pdf["_weights"], pdf["_states"], strict=True)])
+        return pdf.assign(_entry=chosen[:-1], _leave=chosen[1:])[["_row", "_part", "_entry", "_leave"]]
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(shared.value)
+        for b in batches:
+            ids = []
+            for w, a, z, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                ids.append(np.frombuffer(pieces.trace(w, a, z, pieces.states(w, a)[x], pieces.states(w, z)[y]), np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(ids)], names=["_row", "_part", "ids"])
+
     small = own.where(F.length("_text") <= part)
-    done = small.mapInArrow(run, schema(small))
+    done = small.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema if f.name != "_text"), "ids array<int>"]))
     large = own.where(F.length("_text") > part).withColumn("_row", F.monotonically_increasing_id())
-    cut = large.select("_row", F.posexplode(parts_of(F.col("_text"), part)).alias("_part", "_text")).repartition("_row", "_part")
-    coded = cut.mapInArrow(run, schema(cut)).groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    # what the join below asks for is asked here already, so that both uses read one exchange
+    chunks = large.select("_row", "_text").mapInArrow(cut, CHUNKS).where("_row IS NOT NULL AND _part IS NOT NULL").repartition("_row", "_part")
+    states = chunks.mapInArrow(transfer, "`_row` long, `_part` int, `_states` int, `_weights` array<double>").groupBy("_row").applyInPandas(choose, "`_row` long, `_part` int, `_entry` int, `_leave` int")
+    traced = chunks.join(states, ["_row", "_part"]).select("_row", "_part", "_window", "_begin", "_end", "_entry", "_leave").mapInArrow(trace, "`_row` long, `_part` int, ids array<int>")
+    coded = traced.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "ids"))), lambda x: x["ids"])).alias("ids"))
     joined = large.drop("_text").join(coded, "_row").drop("_row")
     return done.unionByName(joined).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``SLICE`` bytes of text each."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(b.schema.get_field_index("_text"))).to_numpy(zero_copy_only=False)) // SLICE
+        cuts = [0, *np.flatnonzero(np.diff(size)) + 1, b.num_rows]
+        yield from (b.slice(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False) if z > a)
+
+
+def lists(ids: list[np.ndarray]) -> pa.Array:
+    """Arrays of numbers as a column of lists."""
+    ends = np.cumsum([0, *map(len, ids)])
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat, pa.int32())).cast(pa.list_(pa.int32()))
+
+
 def decode(rows: DataFrame, model: bytes, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The text of every row's ids: ``keep`` columns and text. Null ids give an empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
