@@ -27,14 +27,15 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def site_line_dedup(pages: DataFrame, lines: Column, host: Column, id_col: str = "page_id", ratio: float = 0.3, min_pages: int = 3) -> DataFrame:
+def site_line_dedup(pages: DataFrame, lines: Column, host: Column, id_col: str = "page_id", ratio: float = 0.3, min_pages: int = 1) -> DataFrame:
     """Drop from every page the lines that more than ``ratio`` of its host's pages contain.
 
     ``lines`` is an array column and ``host`` a string column of ``pages``. Returns page_id, host,
     host_pages, n_lines, n_dropped and text (the kept lines, in order, joined by line feeds). A line is
     compared trimmed and exactly, and counts once for each page however often it stands there; all its
-    occurrences are dropped. Hosts with fewer than ``min_pages`` pages say nothing about frequency and
-    keep all lines; so do lines on fewer than ``min_pages`` pages, whatever their share. A null host is a host of its own, written as empty; null lines count as none. Null
+    occurrences are dropped. The ratio alone decides: with the default every line of a host of up to
+    three pages exceeds it. ``min_pages`` is for who wants hosts with fewer pages left as they are. A
+    null host is a host of its own, written as empty; null lines count as none. Null
     ids stay null, repeated rows are pages of their own, an empty table gives no rows, and other
     columns are left out.
     """
@@ -43,7 +44,7 @@ def site_line_dedup(pages: DataFrame, lines: Column, host: Column, id_col: str =
     # two independent digests stand for a line
     digest = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
     seen = own.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
-    often = seen.groupBy("host", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = seen.groupBy("host", "a", "b").agg(F.count("*").alias("n"))
     often = often.join(total.where(F.col("host_pages") >= min_pages), "host").where(F.col("n") > F.col("host_pages") * ratio)
     drop = total.join(often.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("drop")), "host", "left")
     joined = own.join(drop, "host")
@@ -69,7 +70,7 @@ WITH own AS (
 ), total AS (SELECT host, count(*) AS host_pages FROM own GROUP BY host),
 often AS (
   SELECT s.host, s.line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM own) s JOIN total USING (host)
-  WHERE host_pages >= 3 GROUP BY s.host, s.line, host_pages HAVING count(*) >= 3 AND count(*) > host_pages * 0.3
+  GROUP BY s.host, s.line, host_pages HAVING count(*) > host_pages * 0.3
 ), dropped AS (SELECT host, list(line) AS gone FROM often GROUP BY host),
 kept AS (
   SELECT page_id, host, host_pages, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS k
