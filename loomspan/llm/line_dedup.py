@@ -4,7 +4,8 @@ Pages are grouped by host; a line is boilerplate of its host when the share of t
 contain it exceeds a ratio. Counting is by partial sums per (host, line), so a host with a third of
 all pages is spread by its lines. As each boilerplate line uses up more than ``ratio`` of a host's
 pages, a host has fewer than (distinct lines a page) / ``ratio`` of them, however many pages it has;
-these short lists are what meets the pages again.
+these short lists are what meets the pages again. A host with very many pages is split for that: its
+pages are dealt over as many parts as it is large, and its list is copied to each.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import table
+from loomspan.llm.common import shared_checkpoint, split_join, table
 from loomspan.llm.url_filter import host_of
 
 #: Elements whose content is no text, and tags that end a line.
@@ -34,22 +35,22 @@ def site_line_dedup(pages: DataFrame, lines: Column, host: Column, id_col: str =
     host_pages, n_lines, n_dropped and text (the kept lines, in order, joined by line feeds). A line is
     compared trimmed and exactly, and counts once for each page however often it stands there; all its
     occurrences are dropped. The ratio alone decides: with the default every line of a host of up to
-    three pages exceeds it. ``min_pages`` is for who wants hosts with fewer pages left as they are. A
-    null host is a host of its own, written as empty; null lines count as none. Null
-    ids stay null, repeated rows are pages of their own, an empty table gives no rows, and other
-    columns are left out.
+    three pages exceeds it, as it stands on a third of the pages or more. ``min_pages`` is for who wants
+    hosts with fewer pages left as they are. A null host is a host of its own, written as empty; null
+    lines count as none. Null ids stay null, repeated rows are pages of their own, an empty table gives
+    no rows, and other columns are left out.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    total = own.groupBy("host").agg(F.count("*").alias("host_pages"))
+    total = shared_checkpoint(own.groupBy("host").agg(F.count("*").alias("host_pages")))
     # two independent digests stand for a line
     digest = lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))
-    seen = own.select("host", F.explode(F.array_distinct("lines")).alias("line")).select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
-    often = seen.groupBy("host", "a", "b").agg(F.count("*").alias("n"))
-    often = often.join(total.where(F.col("host_pages") >= min_pages), "host").where(F.col("n") > F.col("host_pages") * ratio)
-    drop = total.join(often.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("drop")), "host", "left")
-    joined = own.join(drop, "host")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), digest(x))))
-    joined = joined.withColumn("kept", kept)
+    seen = own.select("host", F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("line")).select("host", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
+    counts = seen.groupBy("host", "a", "b").agg(F.count("*").alias("n"))
+    often = split_join(counts, total.where(F.col("host_pages") >= min_pages), "host", "host_pages", F.col("a")).where(F.col("n") > F.col("host_pages") * ratio)
+    drop = shared_checkpoint(total.join(often.groupBy("host").agg(F.collect_set(F.struct("a", "b")).alias("drop")), "host", "left"))
+    joined = split_join(own, drop, "host", "host_pages", F.xxhash64("page_id", "lines"))
+    kept = F.filter("lines", lambda x: x.isNotNull() & (F.col("drop").isNull() | ~F.array_contains(F.col("drop"), digest(x))))
+    joined = joined.withColumn("lines", F.filter("lines", lambda x: x.isNotNull())).withColumn("kept", kept)
     return joined.select("page_id", "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
