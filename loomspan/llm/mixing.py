@@ -1,7 +1,7 @@
 """Mixing sources to target weights with Sainte-Lague apportionment.
 
 The words of the mix go to the sources by highest quotients (a source's target over 1, 3, 5, ...), and
-each source's quota goes to its shards the same way by their sizes. Quotas are in words, so that small
+each source's quota goes to its clusters of shards, and theirs to the shards, the same way by size. Quotas are in words, so that small
 sources meet their targets too. A shard is a seeded part of a source's documents, laid out in seeded
 order and cut into equal blocks; whole turns over the shard are taken as often as its quota asks, and
 the blocks of the last, partial turn are picked by a seeded permutation, the last of them in part. A
@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import WORD, shared_checkpoint, table
+from loomspan.llm.common import WORD, shared_checkpoint, split_join, table
 
 WEIGHTS = (5.0, 2.0, 1.0)  # repeating, over the sources by code point, null last
+# Primes below 2 ** 31, larger than the number of blocks of any shard.
+STEPS = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497, 2147483489, 2147483477)
 
 
 def apportion(votes: np.ndarray, seats: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -62,60 +64,69 @@ def fill(weights: np.ndarray, caps: np.ndarray, total: float) -> np.ndarray:
     return target
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, repeat: int = 3, block: int = 64, shard_rows: int = 2000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, repeat: int = 3, block: int = 64, shard_rows: int = 2000, cluster: int = 1024, seed: int = 7) -> DataFrame:
     """How many words the mix takes of every document.
 
     Returns row, doc_id, source, size (words), source_size, target (the source's share of all words),
-    taken (words, repeats counted; at most ``repeat`` times the size). Words are runs of anything but
+    taken (words, repeats counted; at most ``repeat`` times the size) and copies (whole documents that
+    stand for the taken words). Words are runs of anything but
     ASCII blanks; null and blank texts have size 0 and nothing is taken of them. A null source is a
     source of its own, last in the order; ``weights`` repeat over the sources in code point order.
     Repeated rows are documents of their own. Reruns agree: order and choice come from hashes of the
     id and ``seed``, and a null id counts as an id. An empty table gives no rows; other columns are
-    left out. The tables of sources and of shards (``shard_rows`` documents each) are the only ones
-    that a single task reads, one row per source, or per shard of one source.
+    left out. A single task reads the table of sources, one row each; a source's quota is shared
+    between clusters of ``cluster`` shards (of ``shard_rows`` documents each) and a cluster's between
+    its shards, so no task reads all shards of a large source. The rows of a large source are split
+    when they meet its target.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = shared_checkpoint(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
-    known = F.col("source").isNull().cast("int").alias("is_null"), F.coalesce("source", F.lit("")).alias("name")
-    sizes = rows.groupBy(*known).agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    source = F.col(source_col).cast("string")
+    # one key for a source: a null is told from every name by its first character
+    name = F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)).alias("key")
+    rows = shared_checkpoint(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), source.alias("source"), name, size.alias("size")))
+    sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[(int(i), str(s).encode()) for i, s in zip(pdf.is_null, pdf.name, strict=True)]).sort_values("key").reset_index(drop=True)
+        pdf = pdf.assign(order=[(k[0] == "-", k.encode()) for k in pdf.key]).sort_values("order").reset_index(drop=True)
         caps = pdf.source_size.to_numpy(float)
         w = np.array([weights[i % len(weights)] for i in range(len(pdf))])
         target = fill(w, repeat * caps, caps.sum())
         quota = apportion(target, int(caps.sum()), repeat * pdf.source_size.to_numpy())
-        return pdf.assign(target=target, quota=quota)[["is_null", "name", "source_size", "target", "quota", "n"]]
+        return pdf.assign(target=target, quota=quota)[["key", "source_size", "target", "quota", "n"]]
 
-    sources = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(plan, "is_null int, name string, source_size long, target double, quota long, n long")
-    sources = shared_checkpoint(sources.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")).drop("n"))
+    sources = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(plan, "key string, source_size long, target double, quota long, n long")
+    sources = shared_checkpoint(sources.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")))
 
-    key = F.coalesce(F.col("doc_id"), F.lit(-1))
-    order = F.xxhash64(key, F.lit(seed))
-    dealt = rows.select("row", "doc_id", "source", "size", *known).join(sources, ["is_null", "name"])
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(seed + 1)), "shards").cast("int"))
-    by_shard = dealt.groupBy("is_null", "name", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
+    identity = F.coalesce(F.col("doc_id"), F.lit(-1))
+    order = F.xxhash64(identity, F.lit(seed))
+    dealt = split_join(rows, sources, "key", "n", F.xxhash64("row"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(identity, F.lit(seed + 1)), "shards").cast("int"))
+    by_shard = shared_checkpoint(dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn("cluster", F.floor(F.col("shard") / cluster).cast("int")))
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard").reset_index(drop=True)
+        pdf = pdf.sort_values("part").reset_index(drop=True)
         words = pdf.words.to_numpy()
-        count = np.maximum(1, np.round(words / block)).astype(np.int64) * (words > 0)
-        return pdf.assign(blocks=count, quota=apportion(words, int(pdf.quota.iloc[0]), repeat * words))[["is_null", "name", "shard", "words", "blocks", "quota"]]
-
-    shards = by_shard.groupBy("is_null", "name").applyInPandas(share, "is_null int, name string, shard int, words long, blocks long, quota long").withColumnRenamed("quota", "shard_quota")
-    shards = shared_checkpoint(shards)
-    laid = dealt.join(shards, ["is_null", "name", "shard"])
-    w = Window.partitionBy("is_null", "name", "shard").orderBy(order, "doc_id", "row")
+        return pdf.assign(quota=apportion(words, int(pdf.quota.iloc[0]), repeat * words))[["key", "part", "words", "quota"]]
+
+    parts = "key string, part int, words long, quota long"
+    clusters = by_shard.groupBy("key", "cluster").agg(F.sum("words").alias("words"), F.first("quota").alias("quota")).withColumnRenamed("cluster", "part").groupBy("key").applyInPandas(share, parts)
+    shards = by_shard.select("key", "cluster", F.col("shard").alias("part"), "words").join(clusters.select("key", F.col("part").alias("cluster"), "quota"), ["key", "cluster"]).groupBy("key", "cluster").applyInPandas(share, parts)
+    blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block))).otherwise(0).cast("long")
+    shards = shared_checkpoint(shards.select("key", F.col("part").alias("shard"), "words", blocks.alias("blocks"), F.col("quota").alias("shard_quota")))
+    laid = dealt.join(shards, ["key", "shard"])
+    w = Window.partitionBy("key", "shard").orderBy(order, "doc_id", "row")
     laid = laid.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
-    return laid.select("row", "doc_id", "source", "size", "source_size", "target", taken_words(seed).alias("taken"))
+    taken, copies = taken_words(seed)
+    return laid.select("row", "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
-def taken_words(seed: int) -> Column:
-    """Whole turns of a document plus its words in the picked parts of the partial turn.
+def taken_words(seed: int) -> tuple[Column, Column]:
+    """Whole turns of a document plus its words in the picked parts of the partial turn, and its copies:
 
-    Block k of n covers the words from floor(k * words / n) to floor((k + 1) * words / n). It is picked
-    when (a * k + c) mod n is below the number of whole blocks wanted: a seeded permutation, as ``a`` is
-    prime and larger than any n here, hence coprime to n. The block next in that order gives its first
+    the turns, and one more if the document's first word is picked. Block k of n covers the words from
+    floor(k * words / n) to floor((k + 1) * words / n). It is picked when (a * k + c) mod n is below the
+    number of whole blocks wanted: a permutation, as ``a`` is a prime larger than any n here, hence
+    coprime to n; both ``a`` and c are chosen by the seed. The block next in that order gives its first
     words for the rest of the quota.
     """
     words, n = F.col("words"), F.greatest(F.col("blocks"), F.lit(1))
@@ -124,39 +135,41 @@ def taken_words(seed: int) -> Column:
     left = F.col("shard_quota") - turns * words
     want = div(left * n, F.greatest(words, F.lit(1)))
     rest = left - div(want * words, n)
-    step = F.pmod(F.lit(2_147_483_647), n)
-    shift = F.pmod(F.xxhash64("name", "is_null", "shard", F.lit(seed)), n)
+    step = F.pmod(F.get(F.array(*[F.lit(p) for p in STEPS]), F.pmod(F.xxhash64("shard", "key", F.lit(seed)), F.lit(len(STEPS))).cast("int")), n)
+    shift = F.pmod(F.xxhash64("key", "shard", F.lit(seed)), n)
     edge = lambda k: div(k * words, n)
+    at = lambda k: F.pmod(step * k + shift, n)
+    upto = lambda k: F.when(at(k) < want, edge(k + 1)).otherwise(F.least(edge(k) + rest, edge(k + 1)))
     # the blocks that the document touches; a bound too many on either side adds nothing
     low = F.greatest(div(F.col("begin") * n, F.greatest(words, F.lit(1))) - 1, F.lit(0))
     high = F.least(div(F.col("end") * n, F.greatest(words, F.lit(1))) + 1, n - 1)
 
     def part(total: Column, k: Column) -> Column:
-        at = F.pmod(step * k + shift, n)
-        upto = F.when(at < want, edge(k + 1)).otherwise(F.least(edge(k) + rest, edge(k + 1)))
-        inside = F.greatest(F.least(upto, F.col("end")) - F.greatest(edge(k), F.col("begin")), F.lit(0))
-        return total + F.when(at <= want, inside).otherwise(0)
+        inside = F.greatest(F.least(upto(k), F.col("end")) - F.greatest(edge(k), F.col("begin")), F.lit(0))
+        return total + F.when(at(k) <= want, inside).otherwise(0)
 
-    partial = F.when((left > 0) & (F.col("size") > 0), F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0).cast("long"), part)).otherwise(F.lit(0))
-    return (turns * F.col("size") + partial).cast("long")
+    some = (left > 0) & (F.col("size") > 0)
+    partial = F.when(some, F.aggregate(F.sequence(low, F.greatest(low, high)), F.lit(0).cast("long"), part)).otherwise(F.lit(0))
+    first = div((F.col("begin") + 1) * n - 1, F.greatest(words, F.lit(1)))  # the block of the document's first word
+    picked = some & (at(first) <= want) & (F.col("begin") < upto(first))
+    copies = F.when(F.col("size") > 0, turns + picked.cast("int")).otherwise(0)
+    return (turns * F.col("size") + partial).cast("long"), copies.cast("int")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: each document as many times as its taken words ask for, whole.
+    """The mix itself: each document as many times as its shard's blocks ask for, whole.
 
-    The fraction of a turn becomes one more copy with that probability, by a hash of the id, so a
-    source's words stay near its target and no text is cut. ``docs`` must be a table that rereads alike.
+    The last, partial turn takes a document if the block that holds its first word is picked, so a
+    source's words stay near its target and no text is cut. Columns stay as they are. Documents without
+    a word are not taken. ``docs`` must be a table that rereads alike.
     """
-    found = mix(docs)
-    chance = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("copies")), F.lit(1 << 20)) / F.lit(1 << 20)
-    turns = F.col("taken") / F.greatest("size", F.lit(1))
-    copies = found.select(F.col("row").alias("_row"), (F.floor(turns) + (chance < turns - F.floor(turns)).cast("int")).cast("int").alias("_copies")).where("_copies > 0")
+    copies = mix(docs).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies"))
     mixed = docs.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("row", "source")
+    return mix(table(spark, sf_dir, "documents")).drop("row", "source", "copies")
 
 
 #: The seeded choice of blocks has no SQL twin; tested against a brute-force version.

@@ -1,8 +1,14 @@
 """Rows whose ids are null or repeated, and small sources."""
 
 import collections
+import random
 
-from loomspan.llm import mixing, simhash
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from loomspan.llm import line_dedup, mixing, sentencepiece_scan, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +40,140 @@ def test_mixing_of_small_sources(spark, tmp_path):
         target[r.source] = r.target
     assert [taken[s] for s in "abcd"] == [30, 60, 300, 195]
     assert all(abs(taken[s] - target[s]) <= 1 + target[s] / 1000 for s in sizes) and sum(taken.values()) == 5695
+
+
+def test_sentencepiece_chunks_meet_as_matrices():
+    """Chunks cut anywhere, their matrices combined pairwise or one after another, traced apart: the library's ids."""
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    own = sentencepiece_scan.Pieces(sentencepiece_scan.read_model())
+    rnd = random.Random(3)
+    for letters in ("etaoin shrdlu", "ab", "abcdefghijklmnopqrstuvwxyz", " a▁", "é漢 -=.,x"):
+        text = "".join(rnd.choice(letters) for _ in range(700))
+        for size in (1, 9, 64, 333, 1000):
+            chunks = list(own.chunks(text, size))
+            own.rows = own.matrices = 0
+            made = [own.matrix(w, a, z) for _, w, a, z in chunks]
+            assert own.matrices == len(chunks) and own.rows >= len(chunks)
+            states = sentencepiece_scan.chosen_states(made)
+            ids = b"".join(own.trace(w, a, z, own.states(w, a)[x], own.states(w, z)[y]) for (_, w, a, z), x, y in zip(chunks, states, states[1:], strict=False))
+            assert np.frombuffer(ids, np.int32).tolist() == library.encode(text)
+            folded = made[0]
+            for m in made[1:]:
+                folded = sentencepiece_scan.combined(folded, m)
+            tree = made
+            while len(tree) > 1:
+                tree = [sentencepiece_scan.combined(*tree[i : i + 2]) if i + 1 < len(tree) else tree[i] for i in range(0, len(tree), 2)]
+            assert np.array_equal(folded, tree[0])
+    own.rows = 0
+    own.encode("ordinary words of an ordinary text")
+    assert own.rows >= 4  # a row, the whole matrix, for each new word
+
+
+def test_sentencepiece_unigram_matrices():
+    """With scores as weights the chunks of a document have the best sum, as a plain Viterbi does."""
+    own = sentencepiece_scan.Pieces(sentencepiece_scan.read_model())
+    own.bpe = False
+    rnd = random.Random(4)
+    for _ in range(12):
+        text = "".join(rnd.choice("thenaiosr  ") for _ in range(rnd.randint(2, 300)))
+        marked = own.marked(text)
+        best = [0.0] + [-np.inf] * len(marked)
+        for p in range(len(marked)):
+            for node in own.nodes_at(marked, p):
+                best[p + len(node)] = max(best[p + len(node)], best[p] + own.weight(node))
+        made = [own.matrix(w, a, z) for _, w, a, z in own.chunks(text, 41)]
+        states = sentencepiece_scan.chosen_states(made)
+        assert sum(m[x, y] for m, x, y in zip(made, states, states[1:], strict=False)) == pytest.approx(best[-1])
+
+
+def test_sentencepiece_of_nulls(spark, tmp_path):
+    rows = [(None, "a b"), (None, "a b"), (1, None), (2, ""), (3, "word " * 500), (4, "x" * 700)]
+    spark.createDataFrame([(i, t, "en", "s", 7) for i, t in rows], "doc_id long, text string, lang string, source string, ids long").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = sentencepiece_scan.encode(docs, sentencepiece_scan.read_model(), keep=("lang",), part=100)
+    assert got.columns == ["doc_id", "lang", "ids", "n_tokens"]
+    back = sentencepiece_scan.decode(got, sentencepiece_scan.read_model(), keep=("doc_id", "lang"))
+    assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((i, t or "") for i, t in rows)
+    none = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert [r.text for r in sentencepiece_scan.decode(none, sentencepiece_scan.read_model()).collect()] == [""]
+    assert sentencepiece_scan.stage(spark, docs, SF).count() == len(rows)
+
+
+def test_line_dedup_goes_by_the_ratio_alone(spark):
+    """A line on two of four pages is dropped, one on a single page of four is not; a large host is split."""
+    rows = [(1, "a", ["two", "one"]), (2, "a", ["two", "x"]), (3, "a", ["y", "y"]), (4, "a", []), (None, "b", ["alone", None]), (5, None, None)]
+    rows += [(i, "hot", ["menu", f"own {i}"]) for i in range(10, 4000)]
+    pages = spark.createDataFrame(rows, "page_id long, host string, ls array<string>").repartition(3)
+    got = {r.page_id: r for r in line_dedup.site_line_dedup(pages, F.col("ls"), F.col("host")).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == ["one", "x", "y\ny", ""]
+    assert (got[None].text, got[None].n_lines, got[None].n_dropped) == ("", 1, 1) and (got[5].host, got[5].n_lines) == ("", 0)
+    assert all(got[i].text == f"own {i}" and got[i].host_pages == 3990 for i in range(10, 4000)) and len(got) == len(rows)
+    left = line_dedup.site_line_dedup(pages, F.col("ls"), F.col("host"), min_pages=2).where("host = 'b'").first()
+    assert left.text == "alone" and left.n_dropped == 0
+
+
+@pytest.mark.parametrize("cluster", [1024, 3])
+def test_mixing_takes_what_blocks_say(spark, tmp_path, cluster):
+    """Every document's taken words and copies, counted word by word over the blocks of its shard."""
+    rnd = random.Random(cluster)
+    rows = [(i if i % 17 else None, " ".join(["w"] * rnd.choice([0, 1, 3, 40, 200])), rnd.choice(["a", "b", "c", None, "hot", "hot", "hot"])) for i in range(400)]
+    rows += rows[5:8]
+    spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, key string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = mixing.mix(docs, block=16, shard_rows=12, cluster=cluster).collect()
+    ids = F.coalesce("doc_id", F.lit(-1))
+    key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key.alias("key"), F.regexp_count("text", F.lit(mixing.WORD)).alias("size"), F.xxhash64(ids, F.lit(7)).alias("order"), F.xxhash64(ids, F.lit(8)).alias("deal")).collect()
+    per = collections.defaultdict(list)
+    for r in own:
+        per[r.key].append(r)
+    names = sorted(per, key=lambda k: (k == "-", k.encode()))
+    total = [sum(r.size for r in per[k]) for k in names]
+    target = mixing.fill(np.array([mixing.WEIGHTS[i % 3] for i in range(len(names))]), 3.0 * np.array(total), float(sum(total)))
+    quota = mixing.apportion(target, sum(total), 3 * np.array(total))
+    want = {}
+    for k, q in zip(names, quota.tolist(), strict=True):
+        n = -(-len(per[k]) // 12)
+        shards = [sorted((r for r in per[k] if r.deal % n == s), key=lambda r: (r.order, r.doc_id is not None, r.doc_id or 0, r.row)) for s in range(n)]
+        used = [s for s in range(n) if shards[s]]
+        words = {s: sum(r.size for r in shards[s]) for s in used}
+        clusters = sorted({s // cluster for s in used})
+        held = [sum(words[s] for s in used if s // cluster == c) for c in clusters]
+        for c, cq in zip(clusters, mixing.apportion(np.array(held), q, 3 * np.array(held)).tolist(), strict=True):
+            mine = [s for s in used if s // cluster == c]
+            sizes = np.array([words[s] for s in mine])
+            for s, sq in zip(mine, mixing.apportion(sizes, cq, 3 * sizes).tolist(), strict=True):
+                h = spark.range(1).select(F.xxhash64(F.lit(s), F.lit(k), F.lit(7)), F.xxhash64(F.lit(k), F.lit(s), F.lit(7))).first()
+                w = words[s]
+                taken = np.zeros(w, int)
+                if w:
+                    n_blocks = max(1, int(np.floor(w / 16 + 0.5)))
+                    taken += sq // w
+                    left = sq % w
+                    whole = left * n_blocks // w
+                    rest = left - whole * w // n_blocks
+                    order = sorted(range(n_blocks), key=lambda b: (mixing.STEPS[h[0] % len(mixing.STEPS)] * b + h[1]) % n_blocks)
+                    for i, b in enumerate(order[: whole + 1]):
+                        a, z = b * w // n_blocks, (b + 1) * w // n_blocks
+                        taken[a : z if i < whole else min(z, a + rest)] += 1
+                at = 0
+                for r in shards[s]:
+                    want[r.row] = int(taken[at : at + r.size].sum()), int(taken[at]) if r.size else 0
+                    at += r.size
+    assert {r.row: (r.taken, r.copies) for r in got} == want
+    assert sum(r.taken for r in got) == pytest.approx(sum(total), abs=2 * len(names) * 40)
+
+
+def test_mixing_steps_are_primes():
+    assert all(pow(b, p - 1, p) == 1 for p in mixing.STEPS for b in (2, 3, 5, 7, 11, 13))
+
+
+def test_mixing_stage_of_awkward_rows(spark, tmp_path):
+    rows = [(None, "a b", "x", 1), (None, "a b", "x", 1), (2, None, None, 2), (2, "c " * 90, None, 2), (3, "", "y", 3), (4, "d " * 50, "y", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, _row long").select("doc_id", "text", "source", F.col("_row").alias("size")).write.parquet(str(tmp_path / "d"))
+    got = mixing.stage(spark, spark.read.parquet(str(tmp_path / "d")), SF)
+    assert got.columns == ["doc_id", "text", "source", "size"]
+    count = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert count and set(count) <= {(i, t) for i, t, *_ in rows if t} and all(v <= 3 * sum(1 for r in rows if r[:2] == k) for k, v in count.items())
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixing.stage(spark, empty, SF).count() == 0
