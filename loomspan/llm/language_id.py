@@ -25,6 +25,7 @@ from loomspan.llm.common import table
 ORDER = 4
 UNKNOWN = "und"
 BATCH = 1 << 20  # characters scored at once
+HOLD_BACK = 10  # one training text in so many calibrates the rejection
 
 
 @lru_cache(1)
@@ -128,11 +129,16 @@ def kneser_ney(texts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """The models of all languages in shared sorted arrays, from up to some thousand texts each."""
+    """The models of all languages in shared sorted arrays, from up to some thousand texts each.
+
+    Every ``HOLD_BACK``-th text is not learned from but calibrates when a text is rejected; languages
+    with too few texts for that are calibrated on the texts learned from.
+    """
     langs = sorted(samples)
     syms = {x: [s for t in samples[x] if len(s := symbols(t))] for x in langs}
     langs = [x for x in langs if syms[x]]
-    by = {x: kneser_ney(syms[x]) for x in langs}
+    enough = {x: len(syms[x]) >= 2 * HOLD_BACK for x in langs}
+    by = {x: kneser_ney([s for i, s in enumerate(syms[x]) if not enough[x] or i % HOLD_BACK]) for x in langs}
     floor = float(np.log(1e-6))
     model = Model(langs, [], [], [], [], floor, np.full(len(langs), np.inf))
     for n in range(ORDER):
@@ -156,10 +162,10 @@ def fit(samples: dict[str, list[str]]) -> Model:
         model.logp.append(logp.astype(np.float32))
         model.contexts.append(ctxs)
         model.backoff.append(back.astype(np.float32))
-    # Calibration: a text is foreign to a language when its cross-entropy is far outside what that
-    # language's own texts show, widened for short texts where the mean is loose.
+    # Calibration: a text is foreign to a language when its cross-entropy is far outside what texts of
+    # that language show that the model has not seen, widened for short texts where the mean is loose.
     for i, x in enumerate(langs):
-        own = np.array([model.losses(padded(s))[:, i].mean() for s in syms[x]])
+        own = np.array([model.losses(padded(s))[:, i].mean() for s in syms[x][:: HOLD_BACK if enough[x] else 1]])
         model.ceiling[i] = max(own.max(), own.mean() + 8 * own.std()) * 1.25 + 0.5
     return model
 
@@ -269,7 +275,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns.
+
+    Null texts and those without a letter are rejected; null and repeated ids are rows like others, and
+    columns may have any names.
+    """
     own = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
     found = predict(own, learn(docs), "_doc_id", "_text", ("doc",))
     return found.where("NOT rejected").select("doc.*")
@@ -277,7 +287,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(docs, learn(docs)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
 #: A trained model: tested by held-out accuracy and against a direct computation.

@@ -10,7 +10,6 @@ and, for responses, of the payload. Records are independent: nothing is exchange
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import json
@@ -26,6 +25,10 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import table
 
 CRLF = "\r\n"
+GZIP = b"\x1f\x8b\x08"
+HEAD = re.compile(rb"(?<=\r\n)WARC/[0-9]+\.[0-9]+\r\n")
+UNPACKED = 1 << 28  # bytes that a compressed payload may unpack to
+STEP = 1 << 20  # bytes of a file unpacked at once
 #: Elements whose content is no text, and elements that end a line.
 SILENT = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", re.I | re.S)
 BREAKING = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
@@ -72,7 +75,10 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
-    """The payload without chunking and compression; left as it is where they do not read."""
+    """The payload without chunking and compression; left as it is where they do not read, or where it
+
+    would unpack to more than ``UNPACKED`` bytes.
+    """
     if (first(headers, "Transfer-Encoding") or "").lower() == "chunked":
         out, at = [], 0
         try:
@@ -87,11 +93,27 @@ def decoded(payload: bytes, headers: list[tuple[str, str]]) -> bytes:
             pass
     try:
         how = (first(headers, "Content-Encoding") or "").lower()
-        return gzip.decompress(payload) if how in ("gzip", "x-gzip") else zlib.decompress(payload) if how == "deflate" else payload
-    except (OSError, EOFError, zlib.error):
+        return unpacked(payload, 31) if how in ("gzip", "x-gzip") else unpacked(payload, 15) if how == "deflate" else payload
+    except zlib.error:
         return payload
 
 
+def unpacked(payload: bytes, kind: int) -> bytes:
+    """A compressed payload unpacked; one that grows beyond ``UNPACKED`` bytes counts as unreadable."""
+    out, data = [], payload
+    left = UNPACKED
+    while data:
+        z = zlib.decompressobj(kind)
+        out.append(z.decompress(data, left + 1))
+        left -= len(out[-1])
+        if left < 0:
+            raise zlib.error("unpacks to too much")
+        if not z.eof:
+            raise zlib.error("cut short")
+        data = z.unused_data if kind == 31 and z.unused_data[:2] == GZIP[:2] else b""
+    return b"".join(out)
+
+
 def charset(headers: list[tuple[str, str]], payload: bytes) -> str:
     found = re.search(r"charset\s*=\s*\"?([\w.:-]+)", first(headers, "Content-Type") or "", re.I) or re.search(r"<meta\b[^>]*charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096].decode("latin-1"), re.I)
     try:
@@ -178,45 +200,80 @@ KINDS = [
 ]
 
 
-def split_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of each record of a WARC file, plain or in gzip members; stops at a broken record."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data:
-            z = zlib.decompressobj(31)
-            try:
-                out.append(z.decompress(data))
-            except zlib.error:
-                break
-            data = z.unused_data
-        data = b"".join(out)
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, one after another, or the file if it is not compressed.
+
+    A broken member gives what could be read of it; reading goes on at the next member's head.
+    """
+    if data[:2] != GZIP[:2]:
+        yield data
+        return
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
-            return
-        header = data[start:end]
+    while at >= 0:
+        z, out = zlib.decompressobj(31), []
+        view = memoryview(data)[at:]
         try:
-            size = int(first(fields(header), "Content-Length") or "")
-        except ValueError:
-            return
-        yield header, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+            for i in range(0, len(view), STEP):
+                out.append(z.decompress(view[i : i + STEP]))
+                if z.eof:
+                    break
+            rest = len(z.unused_data) + max(0, len(view) - i - STEP) if z.eof else 0
+            at = len(data) - rest if rest else -1
+        except zlib.error:
+            at = data.find(GZIP, at + 1)
+        yield b"".join(out)
+        if at >= 0 and data[at : at + 2] != GZIP[:2]:
+            at = data.find(GZIP, at)
+
+
+def split_records(data: bytes) -> Iterator[tuple[bytes, bytes, str | None]]:
+    """(header, block, error) of each record of a WARC file, plain or in gzip members.
+
+    A record without a readable Content-Length, or whose block reaches over the next record's head or
+    the end, is told in ``error`` ("no length" or "truncated"), with what there is of its block;
+    reading goes on at the next record's head.
+    """
+    for part in members(data):
+        at = 0 if part.startswith(b"WARC/") else next_head(part, 0)
+        while at >= 0:
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                yield part[at:], b"", "truncated"
+                break
+            header, begin = part[at:end], end + 4
+            length = first(fields(header), "Content-Length") or ""
+            stop = begin + int(length) if re.fullmatch(r"[0-9]{1,18}", length) else -1
+            # a whole record ends with the file or before another head
+            if stop < 0 or stop > len(part) or (part[stop:].strip() and not part[stop : stop + 9].lstrip(b"\r\n").startswith(b"WARC/")):
+                at = next_head(part, begin)
+                yield header, part[begin : at if at >= 0 else len(part)].removesuffix(b"\r\n\r\n"), "truncated" if stop >= 0 else "no length"
+            else:
+                yield header, part[begin:stop], None
+                at = part.find(b"WARC/", stop)
+
+
+def next_head(data: bytes, begin: int) -> int:
+    """Where the next record's first line begins, or -1."""
+    found = HEAD.search(data, begin)
+    return -1 if found is None else found.start()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record, header, block) of all records of the WARC files at ``path``, read through Spark.
+    """(record, header, block, error) of all records of the WARC files at ``path``, read through Spark.
 
     A file is one task's work and must be below Spark's 2 GB limit for a value, as crawl files are.
+    ``error`` is null for whole records; broken ones are returned with what could be read of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.int64(), pa.binary(), pa.binary(), pa.string()
         for b in batches:
             for i in range(b.num_rows):
-                for n, (header, block) in enumerate(split_records(b.column(0)[i].as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([header], pa.binary()), pa.array([block], pa.binary())], names=["record", "header", "block"])
+                for record in enumerate(split_records(b.column(0)[i].as_py())):
+                    values = record[0], *record[1]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["record", "header", "block", "error"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record long, header binary, block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record long, header binary, block binary, error string")
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:

@@ -1,14 +1,18 @@
 """Rows whose ids are null or repeated, and small sources."""
 
 import collections
+import gzip
+import hashlib
+import json
 import random
+import uuid
 
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from loomspan.llm import line_dedup, mixing, sentencepiece_scan, simhash
+from loomspan.llm import language_id, line_dedup, mixing, sentencepiece_scan, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,3 +181,79 @@ def test_mixing_stage_of_awkward_rows(spark, tmp_path):
     assert count and set(count) <= {(i, t) for i, t, *_ in rows if t} and all(v <= 3 * sum(1 for r in rows if r[:2] == k) for k, v in count.items())
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.stage(spark, empty, SF).count() == 0
+
+
+def test_language_ceilings_come_from_texts_not_learned():
+    """The held-back texts alone decide the ceilings, and a text in none of the languages is above them."""
+    rnd = random.Random(11)
+    speak = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(60))
+    samples = {"a": [speak(["the", "an", "er", "ing"]) for _ in range(60)], "b": [speak(["ou", "eau", "que", "les"]) for _ in range(60)]}
+    model = language_id.fit(samples)
+    learned = [x for i, x in enumerate(samples["a"]) if i % language_id.HOLD_BACK]
+    alone = language_id.kneser_ney([language_id.symbols(t) for t in learned])
+    # what is in the arrays comes from the learned texts only
+    assert set(alone[3][0].tolist()) <= set(model.keys[3].tolist())
+    held = np.array([model.losses(language_id.padded(language_id.symbols(t)))[:, 0].mean() for t in samples["a"][:: language_id.HOLD_BACK]])
+    assert model.ceiling[0] == pytest.approx(max(held.max(), held.mean() + 8 * held.std()) * 1.25 + 0.5)
+    foreign = model.losses(language_id.padded(language_id.symbols("zxkw vvrq jjpf xkcd " * 5))).mean(axis=0)
+    assert (foreign > model.ceiling).all()
+
+
+def test_language_stage_of_awkward_rows(spark, tmp_path):
+    train = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang, "x") for r in train] + [(None, train[0].text, None, "x")] * 2 + [(train[0].doc_id, train[0].text, "en", "x"), (901, None, "en", "x"), (902, "", "en", "x"), (903, "12 !", None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, rejected string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    kept = language_id.stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(rows[:-3])
+
+
+def record(block, length=None, name="response"):
+    return f"WARC/1.0\r\nWARC-Type: {name}\r\nWARC-Target-URI: http://x/\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_goes_on_after_broken_records(packed):
+    """One record without a length and one that is cut short do not cost the others."""
+    http = b"HTTP/1.1 200 OK\r\n\r\n<p>x</p>"
+    made = [record(http), record(http, "many"), record(http), record(b"hi", 20), record(b"WARC/1.0 within a block\r\n\r\nWARC/"), record(b""), record(http)[:60]]
+    data = b"".join(gzip.compress(x) for x in made) if packed else b"".join(made)
+    got = [(block, error) for _, block, error in warc.split_records(data)]
+    assert got == [(http, None), (http, "no length"), (http, None), (b"hi", "truncated"), (b"WARC/1.0 within a block\r\n\r\nWARC/", None), (b"", None), (b"", "truncated")]
+    assert list(warc.split_records(b"")) == [] and list(warc.split_records(b"no records here")) == []
+    if packed:
+        broken = gzip.compress(made[0]) + gzip.compress(made[2])[:-30] + gzip.compress(made[5])
+        assert [e for *_, e in warc.split_records(broken)][0] is None and list(warc.split_records(broken))[-1][1:] == (b"", None)
+
+
+def test_warc_bounds_what_it_unpacks(monkeypatch):
+    monkeypatch.setattr(warc, "UNPACKED", 1000)
+    small, large = gzip.compress(b"a" * 1000), gzip.compress(b"a" * 1001)
+    headers = [("Content-Encoding", "gzip")]
+    assert warc.decoded(small, headers) == b"a" * 1000 and warc.decoded(large, headers) == large
+    assert warc.decoded(small[:-9], headers) == small[:-9] and warc.decoded(b"", headers) == b""
+
+
+def test_warc_query_by_a_direct_computation(spark):
+    """Ids, links between records and digests of the registered query, computed anew from the pages."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = warc.query(spark, SF).collect()
+    assert len(rows) == 2 * len(pages)
+    for r in rows:
+        page = pages[r.page_id]
+        payload = page.html.encode()
+        origin = f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{r.page_id} {page.url}'.encode()).hexdigest())}>"
+        assert r.refers_to == origin and r.target_uri == page.url
+        assert r.record_id == f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{r.warc_type} {origin}')}>"
+        assert r.payload_digest == warc.digest(payload) and r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
+        named = {h["name"]: h["value"] for h in json.loads(r.headers)}
+        assert named["WARC-Refers-To"] == origin and named["WARC-IP-Address"] == "192.0.2.1" and named["WARC-Block-Digest"] == r.block_digest
+
+
+def test_warc_of_nulls_and_repeated_rows(spark):
+    header, block = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://x/", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x"
+    rows = [(1, header, block, "k"), (1, header, block, "k"), (None, header, None, "k"), (3, None, block, "k"), (4, None, None, None)]
+    made = warc.build_derivatives(spark.createDataFrame(rows, "id long, header string, block binary, refers_to string"), "id").collect()
+    assert collections.Counter((r.source_id, r.warc_type) for r in made) == {(1, "metadata"): 2, (1, "conversion"): 2, (None, "metadata"): 1}
+    assert len({r.record_id for r in made if r.source_id == 1}) == 2
