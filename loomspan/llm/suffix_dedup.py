@@ -12,12 +12,15 @@ anchor among its first ``WINDOW`` positions and chooses it by its own bytes alon
 have equal anchors at equal distances. Strings with the same anchor form a run of starts; the run is
 the unit that is exchanged and sorted:
 
-1. Runs are sorted by the bucket of the bytes that all strings of an anchor share, then by the bucket
-   of the whole stretch that the run's strings cover. Runs that agree in both are repeated whole.
+1. Runs are sorted into the buckets of the bytes that all strings of an anchor share, and these are
+   refined by sorting on the bucket of the whole stretch that the run's strings cover, which reaches to
+   later offsets. Runs that stay together are repeated whole.
 2. Runs that agree in the first only (a repeat begins or ends in them) send the bucket of each of
    their strings, one run per distinct stretch, and those strings that meet are repeated.
 
-Both exchanges carry names and positions, never texts. Names that decide are pairs of 64-bit digests.
+The runs of each task are refined so among themselves before anything is exchanged: of those that stay
+together one stands for all, so the most frequent passage sends a few runs per task. Both exchanges
+carry names and positions, never texts. Names that decide are pairs of 64-bit digests.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from loomspan.llm.common import shared_checkpoint, table
 
 WINDOW = 96
 CHUNK = 1 << 21  # bytes refined at once
+RUNS = 1 << 20  # runs sorted before they are sent
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -112,10 +116,37 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
         yield np.frombuffer(b"".join(parts), np.uint8), texts
 
 
+def refined(row: np.ndarray, place: np.ndarray, shared: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    """Runs with the number that each stands for: 1, 2 for more, and 0 for those that another stands for.
+
+    Sorted by bucket, then by the name that refines it. A run that another stands for is repeated
+    whatever the rest of the corpus holds, so its key is changed to be dealt out by its place.
+    """
+    order = np.lexsort((whole, shared))
+    row, place, shared, whole = row[order], place[order], shared[order], whole[order]
+    new = np.append(True, (shared[1:] != shared[:-1]) | (whole[1:] != whole[:-1]))[: len(row)]
+    first = np.flatnonzero(new)
+    seen = np.zeros(len(row), np.int8)
+    seen[first] = np.minimum(np.diff(np.append(first, len(row))), 2)
+    shared = np.where(new, shared, named(row.view(np.uint64), place.view(np.uint64), 5))
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(seen)], names=["row", "place", "shared", "whole", "seen"])
+
+
 def runs_of(length: int, window: int):
     """row, text -> a row per run: its first start, number of starts and anchor's distance in one, and names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in found(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= RUNS:
+                yield refined(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield refined(*map(np.concatenate, zip(*held, strict=True)))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for data, texts in pieces(batches, length):
             own = Buckets(data)
             anchor = anchors(own.at[16], window)
@@ -134,9 +165,9 @@ def runs_of(length: int, window: int):
             whole = named(whole, ((a - lo) * 256 + n).astype(np.uint64))
             row, offset = np.array([t[3].column(0)[t[4]].as_py() for t in texts]), np.array([t[2] for t in texts])
             place = (lo - begin[d] + offset[d]) << 16 | n << 8 | a - lo
-            yield pa.RecordBatch.from_arrays([pa.array(row[d]), pa.array(place), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64))], names=["row", "place", "shared", "whole"])
+            yield row[d], place, shared, whole
 
-    return run, "row long, place long, shared long, whole long"
+    return run, "row long, place long, shared long, whole long, seen byte"
 
 
 def probes_of(length: int):
@@ -185,13 +216,13 @@ def sorted_runs(own: DataFrame, length: int, window: int) -> DataFrame:
     same, side = Window.partitionBy("shared", "whole"), Window.partitionBy("shared")
     seen = own.mapInArrow(run, schema).repartition("shared").select(
         "*",
-        F.count("*").over(same).alias("alike"),
+        F.sum("seen").over(same).alias("alike"),
         F.min("whole").over(side).alias("low"),
         F.max("whole").over(side).alias("high"),
         F.lag("whole").over(side.orderBy("whole")).alias("before"),
-    ).where("alike > 1 OR low <> high")
+    ).where("seen = 0 OR alike > 1 OR low <> high")
     # runs that repeat whole are settled; where runs differ, one of each kind sends its strings
-    seen = seen.withColumn("settled", F.col("alike") > 1).withColumn("sends", (F.col("low") != F.col("high")) & F.coalesce(F.col("before") != F.col("whole"), F.lit(True)))
+    seen = seen.withColumn("settled", (F.col("seen") == 0) | (F.col("alike") > 1)).withColumn("sends", (F.col("low") != F.col("high")) & F.coalesce(F.col("before") != F.col("whole"), F.lit(True)))
     return seen.where("settled OR sends").groupBy("row").agg(
         F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"),
         F.collect_list(F.when(F.col("sends"), F.struct("place", "shared"))).alias("sent"),
@@ -242,7 +273,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """The rest comes as text, too: a character that a removal cuts reads as U+FFFD there, not in the digest."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 #: Positions of all 400-byte strings are beyond SQL here: tested against brute force.
