@@ -18,9 +18,15 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-# Elements that hold no main text, and what marks elements that may.
-SILENT = "script|style|noscript|svg|header|footer|nav|aside"
-MAIN = "article|content|main|post|entry|story|body"
+# Patterns of elements that hold no main text, of those that may, of the marks that count
+# in these, and of JSON values that may be a body.
+SILENT = r"(?is)<(script|style|noscript|svg|header|footer|nav|aside)[^>]*>.*?</\1>"
+MARKED = r"[^>]+(?:id|class)=['\"][^'\"]*(?:article|content|main|post|entry|story|body)[^'\"]*['\"][^>]*>"
+BLOCKS = [r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>", rf"(?is)<section{MARKED}(.*?)</section>", rf"(?is)<div{MARKED}(.*?)</div>"]
+PARAGRAPH, HEADING = r"(?i)<p\b", r"(?i)<h[1-3]\b"
+SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
+BODIES = [r'(?is)"articleBody"\s*:\s*"((?:\\.|[^"\\])++)"', r'(?is)"text"\s*:\s*"((?:\\.|[^"\\])++)"']
+BODY_MARKS = ["articleBody", '"text"']
 LEAST = 320
 
 
@@ -31,18 +37,16 @@ def unescape(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(StringType()))
 def json_bodies(s: pd.Series) -> pd.Series:
-    """JSON string values of a page, their bytes read as Latin-1 where an escape is resolved."""
+    """JSON string values of a page, escapes resolved, bytes read as Latin-1, entities resolved.
 
-    def read(values) -> list[str]:
-        out = []
-        for v in values:
-            try:
-                out.append(v.encode("utf-8").decode("unicode_escape"))
-            except UnicodeDecodeError:
-                out.append(v)
-        return out
+    Escapes that do not read are left out; halves of a pair are joined, a single half reads as U+FFFD.
+    """
+
+    def read(v: str) -> str:
+        text = entities.unescape(v.encode("utf-8").decode("unicode_escape", "ignore"))
+        return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
-    return s.map(read)
+    return s.map(lambda values: [read(v) for v in values])
 
 
 def strip_tags(c: Column) -> Column:
@@ -60,14 +64,18 @@ def title(c: Column, most: int = 200) -> Column:
 
 
 def without_boilerplate(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?is)<({SILENT})\b[^>]*>.*?</\1>", " ")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), SILENT, " ")
 
 
 def blocks(c: Column) -> Column:
     """Inner HTML of the elements that may hold the main text, in the order of the patterns."""
-    marked = rf"(?:id|class)\s*=\s*[\"'][^\"']*(?:{MAIN})[^\"']*[\"']"
-    patterns = [r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>", rf"(?is)<section[^>]*{marked}[^>]*>(.*?)</section>", rf"(?is)<div[^>]*{marked}[^>]*>(.*?)</div>"]
-    return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in patterns]))
+    return F.flatten(F.array(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in BLOCKS]))
+
+
+def script_bodies(c: Column) -> Column:
+    """JSON values that may be the main text, script by script."""
+    scripts = F.filter(F.regexp_extract_all(c, F.lit(SCRIPT), F.lit(1)), lambda x: F.contains(x, F.lit(BODY_MARKS[0])) | F.contains(x, F.lit(BODY_MARKS[1])))
+    return F.flatten(F.transform(scripts, lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in BODIES])))
 
 
 def main_text(df: DataFrame, html: str, out: str = "main_text") -> DataFrame:
@@ -78,17 +86,16 @@ def main_text(df: DataFrame, html: str, out: str = "main_text") -> DataFrame:
     """
     raw = F.coalesce(F.col(html), F.lit(""))
     df = pinned(pinned(df, _clean=without_boilerplate(raw)), _blocks=blocks(F.col("_clean")))
-    body = r'"(?:articleBody|text)"\s*:\s*"((?:\\.|[^"\\])++)"'
-    scripts = F.array_join(F.regexp_extract_all(raw, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
-    df = df.withColumn("_json", json_bodies(F.regexp_extract_all(scripts, F.lit(body), F.lit(1))))
-    # entities of all candidates are resolved in one pass, as one text parted by a character HTML cannot hold
-    parts = F.concat(F.transform("_blocks", lambda b: F.regexp_replace(b, L.TAG, " ")), F.transform("_json", lambda b: F.regexp_replace(b, L.TAG, " ")), F.array(F.regexp_replace("_clean", L.TAG, " ")))
-    df = pinned(df.withColumn("_all", unescape(F.array_join(parts, "\x00"))), _texts=F.transform(F.split("_all", "\x00"), collapse)).drop("_all")
+    df = df.withColumn("_json", json_bodies(script_bodies(raw)))
+    # entities of all elements are resolved in one pass, as one text parted by a character HTML cannot hold
+    parts = F.concat(F.transform("_blocks", lambda b: F.regexp_replace(b, L.TAG, " ")), F.array(F.regexp_replace("_clean", L.TAG, " ")))
+    df = df.withColumn("_all", F.split(unescape(F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\x00"), F.lit("\ufffd"))), "\x00")), "\x00"))
     n = F.size("_blocks")
+    df = pinned(df, _texts=F.transform(F.concat(F.slice("_all", F.lit(1), n), F.col("_json"), F.slice("_all", -1, 1)), collapse)).drop("_all")
 
     def scored(text: Column, i: Column) -> Column:
         block = F.get(F.col("_blocks"), i)
-        own = F.length(text) + 220 * F.regexp_count(F.lower(block), F.lit("<p")) + 120 * F.regexp_count(F.lower(block), F.lit("<h[1-3]"))
+        own = F.length(text) + 220 * F.regexp_count(block, F.lit(PARAGRAPH)) + 120 * F.regexp_count(block, F.lit(HEADING))
         return F.struct(F.when(i < n, own).otherwise(F.length(text) + 800).alias("score"), (-i).alias("i"), text.alias("text"))
 
     best = F.array_max(F.filter(F.transform(F.slice("_texts", F.lit(1), F.size("_texts") - 1), scored), lambda x: F.length(x["text"]) >= LEAST))

@@ -133,8 +133,8 @@ def match_label(score: Column) -> Column:
 
 
 def issue_summary(issues: Column, most: int = 3) -> Column:
-    """The first distinct issues, with dots where there are more."""
-    kept = F.array_distinct(F.filter(issues, lambda x: F.coalesce(x, F.lit("")) != ""))
+    """The first distinct issues, white space collapsed, with dots where there are more."""
+    kept = F.array_distinct(F.filter(F.transform(issues, collapse), lambda x: x != ""))
     return F.concat(F.array_join(F.slice(kept, 1, most), "; "), F.when(F.size(kept) > most, "; ...").otherwise(""))
 
 
