@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from loomspan.functions import lexicon as L
 
 
-def postings(spans: DataFrame, keys: list[str], concepts: bool = True) -> DataFrame:
-    """keys, term, weight: a row for each distinct shingle and concept of a span; terms are digests."""
-    of = lambda column, kind, weight: spans.select(*keys, F.explode(column).alias("_t")).select(*keys, F.xxhash64(F.lit(kind), "_t").alias("term"), F.lit(weight).alias("weight"))
+def postings(spans: DataFrame, keys: list[str], concepts: bool = True, group: str | None = None) -> DataFrame:
+    """keys, term, weight: a row for each distinct shingle and concept of a span; terms are digests.
+
+    With a ``group`` column a term is a digest of the group, too, so that only spans of a group meet.
+    """
+    own = [group] if group else []
+    of = lambda column, kind, weight: spans.select(*keys, *(F.col(g).alias("_g") for g in own), F.explode(column).alias("_t")).select(*keys, F.xxhash64(F.lit(kind), "_t", *("_g" for _ in own)).alias("term"), F.lit(weight).alias("weight"))
     out = of("shingles", "s", L.SHINGLE_HIT)
     return out.unionByName(of("concepts", "c", L.CONCEPT_HIT)) if concepts else out
 
 
-def candidates(targets: DataFrame, references: DataFrame, concepts: bool = True, most: int = L.CANDIDATES, least: int = L.MIN_HITS) -> DataFrame:
+def candidates(targets: DataFrame, references: DataFrame, concepts: bool = True, most: int = L.CANDIDATES, least: int = L.MIN_HITS, grouped: bool = False) -> DataFrame:
     """doc_id, span_id, ref_id, ref_span, hits: the ``most`` references of a span with the most hits.
 
     ``targets`` are featured spans by (doc_id, span_id), ``references`` by (ref_id, ref_span). Ties go
-    to the earlier reference span. A shingle counts three, a concept one. One join on the term, with
+    to the earlier reference span. A shingle counts three, a concept one. If ``grouped``, a target meets
+    only the references whose group_id is its doc_id: the group is part of the key of the join. One join on the term, with
     partial sums on its output; Spark broadcasts the references' postings if they are small by its own
     measure and otherwise merges both sides, splitting frequent terms by the adaptive skew join.
     """
-    hits = postings(targets, ["doc_id", "span_id"], concepts).join(postings(references, ["ref_id", "ref_span"], concepts).drop("weight"), "term")
+    hits = postings(targets, ["doc_id", "span_id"], concepts, "doc_id" if grouped else None).join(postings(references, ["ref_id", "ref_span"], concepts, "group_id" if grouped else None).drop("weight"), "term")
     hits = hits.groupBy("doc_id", "span_id", "ref_id", "ref_span").agg(F.sum("weight").cast("int").alias("hits")).where(F.col("hits") >= least)
     rank = F.row_number().over(Window.partitionBy("doc_id", "span_id").orderBy(F.desc("hits"), "ref_id", "ref_span"))
     return hits.withColumn("_rank", rank).where(F.col("_rank") <= most).withColumnRenamed("_rank", "rank")

@@ -32,11 +32,12 @@ def deduplicate(refs: DataFrame, limit: int = 0, groups: tuple[str, ...] = ()) -
 
 def blend(refs: DataFrame, web_sources: list[str], most: int = 24, web_most: int = 3) -> DataFrame:
     """At most ``most`` references: papers first, then up to three web pages, then the rest in order."""
-    web = F.col("source").isin(web_sources)
-    n = F.row_number().over(Window.partitionBy(web).orderBy("ref_id"))
-    own = refs.withColumn("_web", web).withColumn("_n", n)
-    pages = F.least(F.lit(web_most), F.sum(F.col("_web").cast("int")).over(Window.partitionBy(F.lit(0).cast("int"))))
-    own = own.withColumn("_pages", pages)
+    # the first ``most`` of either kind are all that can be taken; only these few are numbered
+    web = F.coalesce(F.col("source").isin(web_sources), F.lit(False))
+    own = refs.withColumn("_web", web)
+    own = own.where("NOT _web").orderBy("ref_id").limit(most).unionByName(own.where("_web").orderBy("ref_id").limit(most))
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_web").orderBy("ref_id")))
+    own = own.withColumn("_pages", F.least(F.lit(web_most), F.sum(F.col("_web").cast("int")).over(Window.partitionBy(F.lit(0).cast("int")))))
     chosen = F.when(F.col("_web"), F.col("_n") <= web_most).otherwise(F.col("_n") <= F.greatest(F.lit(0), F.lit(most) - F.col("_pages")))
     part = F.when(~chosen, 2).when(F.col("_web"), 1).otherwise(0)
     own = own.withColumn("_part", part).orderBy("_part", "ref_id").limit(most)

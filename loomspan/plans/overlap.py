@@ -14,7 +14,7 @@ from loomspan.operators import spans as P
 
 #: Spans of a target that say which concepts it has, and the length of a source's kept text.
 PRIOR_SPANS, BLOB = 260, 300_000
-#: Spans and scored pairs are read several times; they are kept until the caller clears the cache.
+#: Spans and scored pairs are read several times; they are kept until ``release`` or until the caller clears the cache.
 KEEP = StorageLevel.MEMORY_AND_DISK
 
 
@@ -46,12 +46,10 @@ def source_priors(targets: DataFrame, references: DataFrame, grouped: bool) -> D
     sizes = own.groupBy("doc_id").agg(F.count("*").alias("_a"))
     part = [*key, "group_id"] if grouped else key
     counts = theirs.groupBy(*part).agg(F.count("*").alias("_b"))
-    both = own.join(theirs.withColumnRenamed("group_id", "_g") if grouped else theirs, ["c"])
-    if grouped:
-        both = both.where(F.col("doc_id") == F.col("_g"))
-        counts = counts.withColumnRenamed("group_id", "_g")
-        part = [*key, "_g"]
-    shared = both.groupBy("doc_id", *part).agg(F.count("*").alias("_n"))
+    if grouped:  # a target is its own group, so the group is part of the key
+        theirs, counts = theirs.withColumnRenamed("group_id", "doc_id"), counts.withColumnRenamed("group_id", "doc_id")
+        part = ["doc_id", *key]
+    shared = own.join(theirs, ["doc_id", "c"] if grouped else ["c"]).groupBy("doc_id", *key).agg(F.count("*").alias("_n"))
     out = shared.join(sizes, "doc_id").join(counts, part)
     return out.select("doc_id", *key, (F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).alias("prior"))
 
@@ -70,13 +68,9 @@ def check(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str =
     ref = reference_rows(refs)
     theirs = P.spans(ref.select(F.col("ref_id").alias("_r"), "text"), "_r", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
     theirs = theirs.join(ref.drop("text"), "ref_id").persist(KEEP)
-    found = index.candidates(own, theirs, concepts, most=L.CANDIDATES if not grouped else 1 << 30)
+    found = index.candidates(own, theirs, concepts, grouped=grouped)
     right = theirs.select("ref_id", "ref_span", "group_id", F.col("norm").alias("r_norm"), F.col("raw").alias("r_raw"), F.col("content").alias("r_content"), "title", "url", "source")
     pairs = found.join(right, ["ref_id", "ref_span"])
-    if grouped:  # the cut to the best candidates counts those of the group only
-        pairs = pairs.where(F.col("group_id") == F.col("doc_id"))
-        again = F.row_number().over(Window.partitionBy("doc_id", "span_id").orderBy(F.desc("hits"), "ref_id", "ref_span"))
-        pairs = pairs.withColumn("rank", again).where(F.col("rank") <= L.CANDIDATES)
     left = own.select("doc_id", "span_id", F.col("norm").alias("l_norm"), F.col("raw").alias("l_raw"), F.col("content").alias("l_content"))
     prior = source_priors(own, theirs, grouped)
     pairs = pairs.join(left, ["doc_id", "span_id"]).join(prior, ["doc_id", "title", "url", "source"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
@@ -122,10 +116,17 @@ def check(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str =
     placed = F.when(F.size("absolute_ranges") > 0, F.col("absolute_ranges")).otherwise(F.array(F.struct(F.col("text_start").alias("s"), F.col("text_end").alias("e"))))
     rows = matches.select("doc_id", F.explode(placed).alias("_r")).select("doc_id", F.col("_r.s").alias("start"), F.col("_r.e").alias("end"))
     results = _results(texts, own, theirs, matches, rows, grouped)
-    shown = matches if max_matches <= 0 else matches.where(F.col("rank") <= max_matches)
+    shown = matches if max_matches <= 0 else matches.select("*").where(F.col("rank") <= max_matches)
+    results.kept = [texts, own, theirs, matches]  # what release() frees
     return shown, results
 
 
+def release(results: DataFrame) -> None:
+    """Free what ``check`` keeps for its two tables; to be called once these have been written."""
+    for frame in getattr(results, "kept", ()):
+        frame.unpersist()
+
+
 def _results(texts: DataFrame, own: DataFrame, theirs: DataFrame, matches: DataFrame, rows: DataFrame, grouped: bool) -> DataFrame:
     external = texts.join(intervals.covered(rows, ["doc_id"]), "doc_id", "left").join(matches.groupBy("doc_id").agg(F.count("*").alias("n_matches")), "doc_id", "left")
     # whether there is any reference span to compare with, for the target's group or for all
@@ -167,7 +168,10 @@ def repetition_results(texts: DataFrame) -> DataFrame:
 def compare(pairs: DataFrame, key: str = "pair_id", reference: str = "reference_text", text: str = "text", min_score: float = L.COMPARE_SCORE) -> DataFrame:
     """pair_id, plag_pct, orig_pct, mode, n_matches: each text against its own reference."""
     refs = pairs.select(F.col(key).alias("ref_id"), F.col(key).alias("group_id"), F.lit("Local File").alias("title"), F.lit("").alias("url"), F.lit("Local File").alias("source"), F.col(reference).alias("text"))
-    return check(pairs, refs, key, text, min_score)[1].withColumnRenamed("doc_id", key)
+    results = check(pairs, refs, key, text, min_score)[1]
+    named = results.withColumnRenamed("doc_id", key)
+    named.kept = results.kept
+    return named
 
 
 def snapshot(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,11 +13,15 @@ from loomspan.plans import overlap
 def check_stream(docs: DataFrame, refs: DataFrame, sink: Callable[[DataFrame, int], None], min_score: float = 0.58) -> DataStreamWriter:
     """Each micro-batch of ``docs`` (doc_id, text) goes through the check; ``sink`` gets its results and number.
 
-    Batches are independent, so nothing is kept from one to the next; the sink should be idempotent by
+    Batches are independent: what a check keeps is freed when its sink returns. The sink should be idempotent by
     the batch's number, as a batch may come again after a failure.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(overlap.check(batch, refs, min_score=min_score)[1], number)
+        results = overlap.check(batch, refs, min_score=min_score)[1]
+        try:
+            sink(results, number)
+        finally:
+            overlap.release(results)
 
     return docs.writeStream.foreachBatch(run)
