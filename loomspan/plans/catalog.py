@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import html as H
+from loomspan.functions import lexicon as L
 from loomspan.functions import rewrite as W
 from loomspan.functions import similarity as S
 from loomspan.functions import text as T
@@ -99,6 +100,32 @@ def weighted_candidates_top48(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.col("span_id").cast("long").alias("span_id"), "ref_id", F.col("ref_span").cast("long").alias("ref_span"), F.col("hits").cast("long").alias("hits"), F.col("rank").cast("long").alias("place"))
 
 
+def source_prior(spark: SparkSession, sf: str) -> DataFrame:
+    """How alike the concepts of a document and of an item are, for the pairs that share one."""
+    items = P.spans(_refs(spark, sf).select("ref_id", "text"), "ref_id", featured=True).withColumnRenamed("doc_id", "ref_id")
+    items = items.join(_refs(spark, sf).drop("text"), "ref_id").withColumn("group_id", F.lit(None).cast("long"))
+    out = overlap.source_priors(P.spans(table(spark, sf, "documents"), featured=True), items, False)
+    return out.select("doc_id", "title", F.round("prior", 6).alias("prior"))
+
+
+def lexical_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of whole texts without its sequence part, for the pairs with five token shingles in common."""
+    pairs = shingle_candidates(spark, sf).select("doc_id", "item_id")
+    norms = lambda name, key: P.pinned(table(spark, sf, name).select(key, "text").join(pairs.select(key).distinct(), key), n=T.normalized(F.col("text")))
+    content = lambda name, key: _content(spark, sf, name, key).join(pairs.select(key).distinct(), key)
+    terms = lambda name, key: _counted(content(name, key), key, "content")
+    both = S.cosine_of_rows(terms("documents", "doc_id"), terms("benchmark", "item_id"), "doc_id", "item_id", "term", "n").withColumnRenamed("cosine", "token")
+    grams = lambda name, key: _gram_counts(norms(name, key), key)
+    chars = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n").withColumnRenamed("cosine", "char")
+    sets = lambda name, key: terms(name, key).withColumn(f"_{key}", F.count("*").over(Window.partitionBy(key))).drop("n")
+    shared = sets("documents", "doc_id").join(sets("benchmark", "item_id"), "term").groupBy("doc_id", "item_id", "_doc_id", "_item_id").agg(F.count("*").alias("n"))
+    concept = shared.select("doc_id", "item_id", (F.col("n") / (F.col("_doc_id") + F.col("_item_id") - F.col("n"))).alias("concept"))
+    of = pairs.join(both, ["doc_id", "item_id"], "left").join(chars, ["doc_id", "item_id"], "left").join(concept, ["doc_id", "item_id"], "left").na.fill(0.0)
+    w = L.SPAN_WEIGHTS
+    score = w["token"] * F.col("token") + w["char"] * F.col("char") + w["concept"] * F.col("concept") + w["angle"] * T.angle_similarity(F.col("token"))
+    return of.select("doc_id", "item_id", F.round(score, 5).alias("score"))
+
+
 def _counted(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.explode(column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
@@ -109,15 +136,19 @@ def token_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"), F.round(T.angle_similarity(F.col("cosine")), 5).alias("angle"), T.match_label(F.col("cosine")).alias("label"))
 
 
+def _gram_counts(norms: DataFrame, key: str) -> DataFrame:
+    """key, term, n: the 4-grams of the normal form n."""
+    pieces = norms.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 3, F.lit(1)), F.lit(1000)), lambda i: F.substring(F.col("n"), i, F.lit(1003)))).alias("piece"))
+    return pieces.select(key, F.explode(T.char_grams(F.col("piece"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
 def char_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """Cosines of the 4-grams of whole normal forms.
 
     They are cut from pieces that overlap by three characters: a substring is found by counting from the
     start of its text, so the grams of a long text in one go cost the square of its length.
     """
-    norms = lambda name, key: P.pinned(table(spark, sf, name).select(key, "text"), n=T.normalized(F.col("text")))
-    pieces = lambda name, key: norms(name, key).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 3, F.lit(1)), F.lit(1000)), lambda i: F.substring(F.col("n"), i, F.lit(1003)))).alias("piece"))
-    grams = lambda name, key: pieces(name, key).select(key, F.explode(T.char_grams(F.col("piece"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    grams = lambda name, key: _gram_counts(P.pinned(table(spark, sf, name).select(key, "text"), n=T.normalized(F.col("text"))), key)
     out = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n")
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
 
@@ -131,7 +162,8 @@ def concept_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def verbatim_containment(spark: SparkSession, sf: str) -> DataFrame:
     """Items whose normal form, 40 letters or more, stands in a document's; looked for only where shingles meet.
 
-    Items of fewer than five tokens have no inner shingle and are looked for in every document.
+    Items of fewer than five tokens have no inner shingle. Their longest token has ten letters or more, so
+    its first ten stand in a token of the document, which is where they are looked for.
     """
     docs = table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("d"))
     items = table(spark, sf, "benchmark").select("item_id", T.normalized(F.col("text")).alias("b")).where(F.length("b") >= 40)
@@ -139,9 +171,12 @@ def verbatim_containment(spark: SparkSession, sf: str) -> DataFrame:
     items = items.withColumn("t", F.split("b", " "))
     probe = items.where(F.size("t") >= 5).select("item_id", "b", F.xxhash64(F.array_join(F.slice("t", 2, 3), " ")).alias("term"))
     near = _token_shingles(spark, sf, "documents", "doc_id").join(probe, "term").select("doc_id", "item_id", "b")
-    short = items.where(F.size("t") < 5).select("item_id", "b")
-    found = near.join(docs, "doc_id").where(F.contains("d", "b")).select("doc_id", "item_id")
-    return found.unionByName(docs.join(short, F.contains("d", "b")).select("doc_id", "item_id")).distinct()
+    longest = F.array_max(F.transform("t", lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    short = items.where(F.size("t") < 5).select("item_id", "b", F.substring(longest, 1, 10).alias("term"))
+    letters = docs.select("doc_id", F.explode(F.array_distinct(F.filter(F.split("d", " "), lambda x: F.length(x) >= 10))).alias("w"))
+    letters = letters.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 9), lambda i: F.substring(F.col("w"), i, F.lit(10)))).alias("term"))
+    near = near.unionByName(letters.join(short, "term").select("doc_id", "item_id", "b")).distinct()
+    return near.join(docs, "doc_id").where(F.contains("d", "b")).select("doc_id", "item_id")
 
 
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,7 +317,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
-        shingle_candidates, weighted_candidates_top48, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, doc_overlap_pct, internal_repetition, merged_ranges,
+        shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, doc_overlap_pct, internal_repetition, merged_ranges,
         interval_coverage, appraisal_bands, reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
         chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice,
     )

@@ -46,7 +46,9 @@ def shingles(x: str) -> str:
 
 
 def grams(x: str) -> str:
-    return f"CASE WHEN length({x}) = 0 THEN [] ELSE list_transform(range(1, greatest(length({x}) - 3, 1) + 1), lambda i: substr({x}, i, 4)) END"
+    # four cuts into runs of four, each a place further on, are all runs of four
+    cuts = " || ".join(f"regexp_extract_all(substr({x}, {i}), '.{{4}}')" for i in range(1, 5))
+    return f"CASE WHEN length({x}) = 0 THEN [] WHEN length({x}) < 4 THEN [{x}] ELSE {cuts} END"
 
 
 def cleaned(x: str) -> str:
@@ -136,7 +138,26 @@ SELECT doc_id, span_id, 'window' AS kind, a AS start_at, e AS end_at, raw FROM k
 UNION ALL
 SELECT doc_id, 0, 'paragraph', length(text) - length(ltrim(text, chr(10))), length(rtrim(text, chr(10))), b FROM own WHERE doc_id NOT IN (SELECT doc_id FROM k)"""
 
+# Spans of documents: paragraphs, or sentences where there are none; every item is one paragraph.
+SPANS = f"""WITH windows AS ({WINDOWS}), {pieces('documents', 'doc_id')},
+spans AS (SELECT doc_id, span_id, raw FROM windows UNION ALL SELECT doc_id, span_id, raw FROM sent_documents WHERE doc_id NOT IN (SELECT doc_id FROM windows))"""
+PRIOR = f"""{SPANS}, first AS (SELECT doc_id, raw FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span_id) AS n FROM spans) WHERE n <= 260),
+d AS (SELECT DISTINCT doc_id, unnest({content('raw')}) AS c FROM first), b AS (SELECT DISTINCT item_id, unnest({content('text')}) AS c FROM benchmark),
+dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), bn AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT s.doc_id, 'Item ' || s.item_id AS title, round(s.n / (dn.n + bn.n - s.n), 6) AS prior FROM (SELECT doc_id, item_id, count(*) AS n FROM d JOIN b USING (c) GROUP BY ALL) s JOIN dn USING (doc_id) JOIN bn USING (item_id)"""
+SHINGLE_PAIRS = f"""SELECT doc_id, item_id FROM (SELECT doc_id, unnest({shingles('t')}) AS s FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)) JOIN (SELECT item_id, unnest({shingles('t')}) AS s FROM (SELECT item_id, {tokens('text')} AS t FROM benchmark)) USING (s) GROUP BY ALL HAVING count(*) >= 5"""
+LEXICAL = f"""WITH pairs AS ({SHINGLE_PAIRS}), tok AS ({cosine(content('text'))} SELECT * FROM cos), chr AS ({cosine(grams(norm('text')))} SELECT * FROM cos),
+d AS (SELECT doc_id, list_distinct({content('text')}) AS c FROM documents WHERE doc_id IN (SELECT doc_id FROM pairs)), b AS (SELECT item_id, list_distinct({content('text')}) AS c FROM benchmark),
+j AS (SELECT doc_id, item_id, len(list_intersect(d.c, b.c)) AS n, len(d.c) AS a, len(b.c) AS z FROM pairs JOIN d USING (doc_id) JOIN b USING (item_id))
+SELECT doc_id, item_id, round(0.34 * coalesce(tok.x, 0) + 0.18 * coalesce(chr.x, 0) + 0.18 * n / (a + z - n) + 0.12 * (1 - sqrt(greatest(0.0, 1 - coalesce(tok.x, 0) * coalesce(tok.x, 0)))), 5) AS score FROM j LEFT JOIN tok USING (doc_id, item_id) LEFT JOIN chr USING (doc_id, item_id)"""
+OF_SENTENCES = f"""WITH windows AS ({WINDOWS}), {pieces('documents', 'doc_id')},
+p AS (SELECT s.doc_id, s.span_id, coalesce(min(w.span_id), -1) AS paragraph_id FROM sent_documents s LEFT JOIN windows w ON w.doc_id = s.doc_id AND s.start_at >= w.start_at AND s.start_at < w.end_at GROUP BY ALL)
+SELECT paragraph_id, count(*) AS n FROM p GROUP BY paragraph_id"""
+
 ORACLE_SQL = {
+    "source_prior": PRIOR,
+    "lexical_score": LEXICAL,
+    "paragraph_of_sentence": OF_SENTENCES,
     "normalize_text": f"SELECT doc_id, {collapse(cleaned('text'))} AS collapsed, {norm(cleaned('text'))} AS norm FROM documents",
     "token_stats": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, len(list_filter(t, lambda x: regexp_matches(x, '[0-9]'))) AS digit_tokens, coalesce(list_sum(list_transform(t, lambda x: length(x))), 0)::BIGINT AS letters FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)",
     "stem_vocab": f"SELECT token, {stem('token')} AS stem, {canonical('(' + stem('token') + ')')} AS concept, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token)",
@@ -159,7 +180,7 @@ SELECT doc_id, item_id, count(*) AS hits FROM d JOIN b USING (s) GROUP BY ALL HA
 h AS (SELECT d.doc_id, d.span_id, b.item_id AS ref_id, b.span_id AS ref_span, sum(CASE WHEN k = 's' THEN 3 ELSE 1 END)::BIGINT AS hits FROM post_documents d JOIN post_benchmark b USING (k, t) GROUP BY ALL HAVING hits >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, span_id ORDER BY hits DESC, ref_id, ref_span) AS place FROM h) SELECT * FROM r WHERE place <= 48""",
     "token_cosine": cosine(content("text")) + f"SELECT doc_id, item_id, round(x, 6) AS cosine, round(1 - sqrt(greatest(0.0, 1 - x * x)), 5) AS angle, CASE WHEN x >= {L.EXACT} THEN 'Exact Match' WHEN x >= {L.NEAR} THEN 'Near Match' ELSE 'Paraphrased Overlap' END AS label FROM cos",
-    "char_cosine": cosine(grams(f"left({norm('text')}, 3200)")) + "SELECT doc_id, item_id, round(x, 6) AS cosine FROM cos",
+    "char_cosine": cosine(grams(norm("text"))) + "SELECT doc_id, item_id, round(x, 6) AS cosine FROM cos",
     "concept_jaccard": f"""WITH d AS (SELECT doc_id, list_distinct({content('text')}) AS c FROM documents), b AS (SELECT item_id, list_distinct({content('text')}) AS c FROM benchmark)
 SELECT doc_id, item_id, round(n / (a + z - n), 6) AS jaccard FROM (SELECT doc_id, item_id, len(list_intersect(d.c, b.c)) AS n, len(d.c) AS a, len(b.c) AS z FROM d, b) WHERE n > 0""",
     "verbatim_containment": f"SELECT doc_id, item_id FROM (SELECT doc_id, {norm('text')} AS d FROM documents), (SELECT item_id, {norm('text')} AS b FROM benchmark) WHERE length(b) >= 40 AND contains(d, b)",
