@@ -11,6 +11,7 @@ whose path the URL's path starts with, the longest wins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +52,24 @@ def bounds_of(keys: DataFrame, ranges: int, sample: int = 20_000) -> list[str]:
     return [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
 
 
-def placed(bounds: list[str], key: Column, salt: Column | None) -> Column:
-    """The range of a key; equal bounds are told apart by the salt."""
+def below(bounds: list[str], key: Column, equal: bool) -> Column:
+    """How many of the sorted bounds are less than a key (or equal): the heads of groups first, then one group.
+
+    With groups as long as there are many, a row is compared with the root of the bounds' number.
+    """
     if not bounds:
         return F.lit(0)
-    at = F.array(*[F.lit(b) for b in bounds])
-    low, high = (F.size(F.filter(at, f)) for f in (lambda b: b < key, lambda b: b <= key))
+    step = max(4, isqrt(len(bounds)))
+    less = (lambda b: b <= key) if equal else (lambda b: b < key)
+    heads = F.array(*[F.lit(b) for b in bounds[::step]])
+    groups = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
+    group = F.greatest(F.size(F.filter(heads, less)) - 1, F.lit(0))
+    return group * step + F.size(F.filter(F.get(groups, group), less))
+
+
+def placed(bounds: list[str], key: Column, salt: Column | None) -> Column:
+    """The range of a key; equal bounds are told apart by the salt."""
+    low, high = below(bounds, key, False), below(bounds, key, True)
     return (low + F.pmod(salt, high - low + 1)).cast("int")
 
 
@@ -107,9 +120,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     rules = rules.where("host IS NOT NULL AND host <> ''").groupBy(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path")).agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "verdict"))["verdict"].alias("verdict"))
     rules = rules.withColumn("key", host_key(F.col("host")))
 
-    at = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    low = F.size(F.filter(at, lambda b: b < F.col("key")))
-    high = F.size(F.filter(at, lambda b: b <= F.concat("key", F.lit(END))))
+    low, high = below(bounds, F.col("key"), False), below(bounds, F.concat("key", F.lit(END)), True)
     rules = rules.select(F.explode(F.sequence(low, high)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "path", F.concat("host", "path").alias("rule"), "verdict")
     rows = urls.unionByName(rules).repartitionById(ranges, "part").sortWithinPartitions("part", "key", "kind", "rule")
     return rows.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string").withColumn("verdict", F.coalesce("verdict", F.lit(default)))

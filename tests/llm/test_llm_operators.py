@@ -470,15 +470,15 @@ def test_warc_reads_members_and_codings():
     assert {"name": "X-Own", "value": "kept"} in text["headers"] and ["X-A", "b c"] in json.loads(meta["block"])["http-headers"]
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         after = stage(spark, before, SF)
-        path = f"/tmp/loomspan-test-{name.replace(' ', '-')}"
-        after.write.mode("overwrite").parquet(path)
+        path = str(tmp_path / name.replace(" ", "-"))
+        after.write.parquet(path)
         after = spark.read.parquet(path)
         if i < 4:
             assert after.columns == docs.columns

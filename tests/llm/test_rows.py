@@ -4,15 +4,18 @@ import collections
 import gzip
 import hashlib
 import json
+import math
 import random
+import struct
 import uuid
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
-from loomspan.llm import language_id, line_dedup, mixing, sentencepiece_scan, simhash, warc
+from loomspan.llm import fingerprints, language_id, line_dedup, mixing, sentencepiece_scan, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -257,3 +260,39 @@ def test_warc_of_nulls_and_repeated_rows(spark):
     made = warc.build_derivatives(spark.createDataFrame(rows, "id long, header string, block binary, refers_to string"), "id").collect()
     assert collections.Counter((r.source_id, r.warc_type) for r in made) == {(1, "metadata"): 2, (1, "conversion"): 2, (None, "metadata"): 1}
     assert len({r.record_id for r in made if r.source_id == 1}) == 2
+
+
+def chained(*values):
+    """The engine's hash of several values: each hashed with the hash of those before as seed."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<d", v) if isinstance(v, float) else int(v[0]).to_bytes(v[1], "little", signed=True), seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_fingerprint_samples_are_the_least_of_all_draws(spark):
+    """Every draw of every term from its hashes, and every sample as the digest of the least draw."""
+    rnd = random.Random(12)
+    texts = ["", " \t ", "a", "a a a b", *(" ".join(rnd.choice(["ab", "cd", "é", "漢", "x", "y", "zz"]) for _ in range(n)) for n in (3, 30, 200))]
+    size = 7
+    found = {r.k: r["sample"] for r in fingerprints.signatures(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), ["k"], "text", size).collect()}
+    counts = [collections.Counter(t.split() or [""]) for t in texts]
+    pairs = sorted({(w, n) for c in counts for w, n in c.items()})
+    rows = [(w, n, signed(chained(w, (0, 4)))) for w, n in pairs]
+    made = spark.createDataFrame(rows, "w string, n int, term long").select("w", "n", "term", F.xxhash64("w", F.lit(0)).alias("again"), F.array(*[fingerprints.slot(F.col("term"), F.log(F.col("n").cast("double")), k) for k in range(size)]).alias("draws")).collect()
+    draws = {}
+    for r in made:
+        assert r.term == r.again
+        for k, draw in enumerate(r.draws):
+            h, g = chained((r.term, 8), (2 * k, 4)), chained((r.term, 8), (2 * k + 1, 4))
+            u = lambda x, low, bits: ((x >> low & (1 << bits) - 1) + 0.5) / (1 << bits)
+            gamma, c, b = -math.log(u(h, 0, 21) * u(h, 21, 21)), -math.log(u(g, 0, 32) * u(g, 32, 32)), u(h, 42, 22)
+            level = math.floor(math.log(r.n) / gamma + b)
+            assert draw == pytest.approx(math.log(c) - gamma * (level - b + 1), rel=1e-9, abs=1e-9)
+        draws[r.w, r.n] = r.draws
+    for i, c in enumerate(counts):
+        assert found[i] == [chained(min(draws[w, n][k] for w, n in c.items())) & 0xFFFFFFFF for k in range(size)]
