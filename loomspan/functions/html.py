@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from loomspan.functions import lexicon as L
-from loomspan.functions.text import collapse, distributed_sample, is_pdf
+from loomspan.functions.text import collapse, distributed_sample, file_name, is_pdf
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
@@ -102,13 +102,21 @@ def main_text(df: DataFrame, html: str, out: str = "main_text") -> DataFrame:
     return df.withColumn(out, F.coalesce(best["text"], F.element_at("_texts", -1))).drop("_clean", "_blocks", "_json", "_texts")
 
 
-def reference_from_page(pages: DataFrame, url: str = "url", html: str = "html", most: int = 26_000, least: int = 180) -> DataFrame:
-    """ref_id is not set here: url, title, text, source and status of directly imported pages."""
-    own = main_text(pages.where(~is_pdf(F.col(url))), html, "_text")
-    text = distributed_sample(F.col("_text"), most)
+def reference_from_page(pages: DataFrame, url: str = "url", html: str = "html", most: int = 26_000, least: int = 180, pdf: str | None = None, content_type: str | None = None) -> DataFrame:
+    """ref_id is not set here: url, title, text, source and status of directly imported pages.
+
+    ``pdf`` is the column with the text of pages that are PDF files, by their address or content type;
+    these are named by their file. Pages without enough text have a status that says so.
+    """
+    kind = is_pdf(F.col(url), F.col(content_type) if content_type else None)
+    own = main_text(pages.withColumn("_pdf", kind), html, "_text")
+    of_pdf = F.substring(F.coalesce(F.col(pdf) if pdf else F.lit(None).cast("string"), F.lit("")), 1, 30_000)
+    text = F.when(F.col("_pdf"), of_pdf).otherwise(distributed_sample(F.col("_text"), most))
     found = F.length(text) >= least
     name = title(F.col(html))
-    return own.select(F.col(url).alias("url"), F.when(name == "", F.col(url)).otherwise(name).alias("title"), F.when(found, text).alias("text"), F.lit("URL Import").alias("source"), F.when(found, "ok").otherwise("too little text").alias("status"))
+    named = F.when(F.col("_pdf"), file_name(F.col(url))).when(name == "", F.col(url)).otherwise(name)
+    status = F.when(found, "ok").when(F.col("_pdf"), "too little text in the PDF").otherwise("too little text")
+    return own.select(F.col(url).alias("url"), named.alias("title"), F.when(found, text).alias("text"), F.lit("URL Import").alias("source"), status.alias("status"))
 
 
 def readable_pages(pages: DataFrame, url: str = "url", html: str = "html", most: int = 22_000) -> DataFrame:

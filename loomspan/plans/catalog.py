@@ -308,9 +308,19 @@ def paragraph_of_sentence(spark: SparkSession, sf: str) -> DataFrame:
 
 def web_choice(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items dealt to the web services, and which service each document would take."""
-    near = _near_items(spark, sf).drop("source")
+    return retrieval.web_choice(table(spark, sf, "documents"), _web_items(spark, sf))
+
+
+def _web_items(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.get(F.array(*[F.lit(s) for s in retrieval.CASCADE]), F.pmod(F.col("ref_id"), F.lit(3)).cast("int"))
-    return retrieval.web_choice(table(spark, sf, "documents"), near.withColumn("source", kind))
+    return _near_items(spark, sf).drop("source").withColumn("source", kind)
+
+
+def web_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The references that each document takes from its service, expanded by pages, in their final order."""
+    pages = H.readable_pages(table(spark, sf, "pages")).select("url", "page_title", "page_text")
+    out = retrieval.web_references(table(spark, sf, "documents"), _web_items(spark, sf), pages)
+    return out.select("doc_id", "ref_id", "title", "url", "text", "source", F.col("position").cast("long").alias("place"))
 
 
 QUERIES = {
@@ -319,6 +329,6 @@ QUERIES = {
         normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
         shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, doc_overlap_pct, internal_repetition, merged_ranges,
         interval_coverage, appraisal_bands, reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
-        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice,
+        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references,
     )
 }

@@ -174,6 +174,15 @@ def compare(pairs: DataFrame, key: str = "pair_id", reference: str = "reference_
     return named
 
 
+def compare_files(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for files: ``pairs`` has pair_id, reference_path, path; ``texts`` path and text, as files
+
+    are read by ``sources.files``. A file that is not among them counts as empty.
+    """
+    of = lambda path, name: texts.select(F.col("path").alias(path), F.col("text").alias(name))
+    return compare(pairs.join(of("reference_path", "reference_text"), "reference_path", "left").join(of("path", "text"), "path", "left"))
+
+
 def snapshot(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, matches: the quick look that retrieval accepts sources by."""
     found = check(targets, refs, key, text, L.SNAPSHOT_SCORE, 6)[1]

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import references as R
 from loomspan.plans import overlap
+from loomspan.session import settled
 from loomspan.sources import providers
 
-#: Web services in the order they are asked, and the score that a source without a match must reach.
+#: Web services in the order they are asked, the one that is asked when none of them is accepted, the
+#: score that a source without a match must reach, and how many references of a service are looked at.
 CASCADE = ["DuckDuckGo", "Grokipedia", "Wikipedia"]
+LAST = "SerpApi"
 ACCEPTED = 1.5
+POOL, QUERIES = 24, 4
 
 
 def numbered(frames: list[DataFrame]) -> DataFrame:
@@ -27,13 +31,23 @@ def numbered(frames: list[DataFrame]) -> DataFrame:
 def web_choice(targets: DataFrame, web: DataFrame, key: str = "doc_id", text: str = "text", most: int = 3) -> DataFrame:
     """doc_id, source, score, matches, taken: what each service's references show of a text.
 
-    ``web`` has doc_id, ref_id, title, url, text, source. A service is accepted if a quick check finds a
-    match or reaches the score; the first accepted one in the cascade is taken, otherwise the one with
-    the highest score, the earlier of equals.
+    ``web`` has doc_id, ref_id, title, url, text, source. Of each service of the cascade a pool of
+    references is ranked by overlap and the best are kept; of the last service the first ``most`` are. A
+    service is accepted if a quick check finds a match or reaches the score; the first accepted one is
+    taken, otherwise the one with the highest score, the earlier of equals, the last service last.
     """
-    order = F.array_position(F.array(*[F.lit(s) for s in CASCADE]), F.col("source"))
-    own = R.deduplicate(web.where(F.col("source").isin(CASCADE)), max(2 * most, 6), ("doc_id", "source"))
+    order = F.array_position(F.array(*[F.lit(s) for s in [*CASCADE, LAST]]), F.col("source"))
+    pool = min(POOL, max(8, 3 * most, most * max(3, QUERIES)))
+    web = settled(web.where(F.col("source").isin([*CASCADE, LAST])))
+    last = R.deduplicate(web.where(F.col("source") == LAST), most, ("doc_id", "source"))
+    first = R.deduplicate(web.where(F.col("source").isin(CASCADE)), pool, ("doc_id", "source"))
     # each (text, service) is a target of its own with a group of its own
+    asked = first.withColumn("_pair", F.xxhash64("doc_id", "source"))
+    texts = asked.select("_pair", F.col("doc_id").alias("_d")).distinct().join(targets.select(F.col(key).alias("_d"), F.col(text).alias("_t")), "_d").select("_pair", "_t")
+    ranked = R.rerank(texts, asked.select(F.col("_pair").alias("doc_id"), "ref_id", "title", "text"), "_pair", "_t").where(F.col("position") <= max(2 * most, 6))
+    kept = ranked.select(F.col("doc_id").alias("_pair"), "ref_id")
+    own = asked.join(kept, ["_pair", "ref_id"]).select(first.columns)
+    own = settled(own.unionByName(last))
     pair = own.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s")).distinct().withColumn("pair_id", F.xxhash64("_d", "_s"))
     tried = pair.join(targets.select(F.col(key).alias("_d"), F.col(text).alias("_t")), "_d").select("pair_id", F.col("_t").alias("text"))
     refs = own.join(pair, (F.col("doc_id") == F.col("_d")) & (F.col("source") == F.col("_s"))).select("ref_id", F.col("pair_id").alias("group_id"), "title", "url", "source", "text")
@@ -50,16 +64,26 @@ def web_references(targets: DataFrame, web: DataFrame, pages: DataFrame | None =
     The taken service's references without doubles, ranked, the first ones expanded by the text of their
     pages (url, page_title, page_text), ranked again.
     """
-    taken = web_choice(targets, web, key, text, most).where("taken").select("doc_id", "source").persist(overlap.KEEP)
-    own = R.deduplicate(web.join(taken, ["doc_id", "source"]), 0, ("doc_id",)).persist(overlap.KEEP)
+    web = settled(web)
+    taken = web_choice(targets, web, key, text, most).where("taken").select("doc_id", "source")
+    own = settled(R.deduplicate(web.join(taken, ["doc_id", "source"]), 0, ("doc_id",)))
     ranked = R.rerank(targets, own, key, text).where(F.col("position") <= max(2 * most, 6)).select("doc_id", "ref_id")
-    own = own.join(ranked, ["doc_id", "ref_id"]).persist(overlap.KEEP)
+    own = settled(own.join(ranked, ["doc_id", "ref_id"]))
     if pages is not None:
-        own = R.deduplicate(R.expand(own, pages, providers.WEB_SOURCES).drop("snippet"), 0, ("doc_id",))
+        own = settled(R.deduplicate(R.expand(own, pages, providers.WEB_SOURCES).drop("snippet"), 0, ("doc_id",)))
     ranked = R.rerank(targets, own, key, text).where(F.col("position") <= most).select("doc_id", "ref_id", "position")
     return own.join(ranked, ["doc_id", "ref_id"])
 
 
+def stale(mode: Column, query: Column, key: Column, before: Column) -> Column:
+    """Whether cached references must be fetched anew: for an address always, else if anything changed.
+
+    ``before`` is the cached entry, a struct of mode, query and key, or null.
+    """
+    same = mode.eqNullSafe(before["mode"]) & query.eqNullSafe(before["query"]) & key.eqNullSafe(before["key"])
+    return before.isNull() | (mode == "url") | ~same
+
+
 def topic_references(papers: dict[str, DataFrame], web: DataFrame | None = None, most: int = 24) -> DataFrame:
     """References of a topic: papers service by service while fewer than ``most``, then web, blended.
 

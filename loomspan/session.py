@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,17 @@ def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the folder in spark.checkpoint.dir, its lineage cut.
+
+    For tables that a long plan reads many times: without this the plan holds theirs as often. Where the
+    setting is absent a temporary folder is set if all tasks run in this process; else it is an error.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()

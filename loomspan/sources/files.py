@@ -36,25 +36,30 @@ def pdf_pages(content: bytes) -> list[str]:
     return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(content)).pages]
 
 
-def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+def read_files(spark: SparkSession, path: str, pdf: Callable[[bytes], list[str]] = pdf_pages, second: Callable[[bytes], list[str]] | None = None) -> DataFrame:
     """path, text of the .txt, .docx and .pdf files at ``path``; other files, and broken ones, are empty.
 
-    Suffixes count in lower case only. Bytes that are no UTF-8 are left out.
+    Suffixes count in lower case only. Bytes that are no UTF-8 are left out. A PDF file of which ``pdf``
+    makes fewer than 120 letters is read by ``second``, another extractor, if there is one.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return clean(texts(files, pdf))
+    return clean(texts(files, pdf, second))
 
 
-def texts(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages) -> DataFrame:
+def texts(files: DataFrame, pdf: Callable[[bytes], list[str]] = pdf_pages, second: Callable[[bytes], list[str]] | None = None, least: int = 120) -> DataFrame:
     """path, text as extracted from (path, content)."""
 
+    def pdf_text(content: bytes) -> str:
+        text = "\n".join(pdf(content))
+        return "\n".join(second(content)) if second is not None and len(" ".join(text.split())) < least else text
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def read(path: str, content: bytes) -> str:
             if path.endswith(".txt"):
                 return content.decode("utf-8", "ignore")
             if path.endswith(".docx"):
                 return docx_text(content)
-            return "\n".join(pdf(content)) if path.endswith(".pdf") else ""
+            return pdf_text(content) if path.endswith(".pdf") else ""
 
         for b in batches:
             yield pd.DataFrame({"path": b.path, "text": [read(p, c) for p, c in zip(b.path, b.content, strict=True)]})
@@ -66,9 +71,11 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, T.strip(T.cleaned(F.col(text))))
 
 
-def page_lines(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), gap: float = 2.2) -> DataFrame:
+def page_lines(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), gap: float = 2.2, plain: DataFrame | None = None, least: int = 20) -> DataFrame:
     """keys, text: a page's words in lines. ``boxes`` has the keys, x0, y0, word.
 
+    ``plain`` (keys, text) is the pages' own text, taken where the words make fewer than ``least`` letters.
+
     Words go by height and place; a line ends where a word lies ``gap`` below or above the line's
     height, which follows its words by three tenths each.
     """
@@ -79,7 +86,11 @@ def page_lines(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), gap
         new = F.abs(b["h"] - s["h"]) > gap
         return F.when(s["h"].isNull(), F.struct(b["h"].alias("h"), b["w"].alias("t"))).when(new, F.struct(b["h"].alias("h"), F.concat(s["t"], F.lit("\n"), b["w"]).alias("t"))).otherwise(F.struct((0.7 * s["h"] + 0.3 * b["h"]).alias("h"), F.concat(s["t"], F.lit(" "), b["w"]).alias("t")))
 
-    return own.select(*keys, F.aggregate("_b", none, add)["t"].alias("text"))
+    made = own.select(*keys, F.aggregate("_b", none, add)["t"].alias("text"))
+    if plain is None:
+        return made
+    both = made.withColumnRenamed("text", "_made").join(plain.select(*keys, "text"), [*keys], "full")
+    return both.select(*keys, F.when(F.length(T.strip(F.col("_made"))) >= least, T.strip(F.col("_made"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def pages_text(pages: DataFrame, most_pages: int = 40, most_chars: int = 22_000, least: int = 20) -> DataFrame:

@@ -13,7 +13,8 @@ from loomspan.functions import html as H
 from loomspan.functions import plain as Y
 from loomspan.functions import text as T
 from loomspan.operators import spans as P
-from loomspan.plans import overlap
+from loomspan.plans import overlap, retrieval
+from loomspan.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,3 +173,44 @@ def test_main_text_of_pages(spark):
 def test_issues_are_collapsed_first(spark):
     df = spark.createDataFrame([(["a  b", "a b", None, " ", "c\n", "c", "d"],), (["x"],), ([],)], "i array<string>")
     assert [r[0] for r in df.select(T.issue_summary(F.col("i"))).collect()] == ["a b; c; d", "x", ""]
+
+
+def test_service_choice(spark):
+    """First accepted service; else the best score, an earlier service before a later, the last one last."""
+    item = "The committee reviewed several proposals about regional water storage and agreed that new reservoirs should be built along the northern valley."
+    other = "Violins and oboes performed midnight serenades across distant islands together with seasoned percussionists and their trumpets."
+    docs = spark.createDataFrame([(i, item) for i in range(4)], "doc_id long, text string")
+    rows = [(0, 1, "DuckDuckGo", other), (0, 2, "Wikipedia", item), (0, 3, "SerpApi", item), (1, 4, "DuckDuckGo", other), (1, 5, "SerpApi", item), (2, 6, "Wikipedia", other), (2, 7, "SerpApi", other), (3, 8, "SerpApi", other), (3, 9, "elsewhere", item)]
+    web = spark.createDataFrame([(d, r, f"t{r}", f"u{r}", t, s) for d, r, s, t in rows], "doc_id long, ref_id long, title string, url string, text string, source string")
+    got = {(r.doc_id, r.source): r.taken for r in retrieval.web_choice(docs, web).collect()}
+    assert {k for k, taken in got.items() if taken} == {(0, "Wikipedia"), (1, "SerpApi"), (2, "Wikipedia"), (3, "SerpApi")} and len(got) == 8
+    refs = retrieval.web_references(docs, web).collect()
+    assert {(r.doc_id, r.ref_id, r.position) for r in refs} == {(0, 2, 1), (1, 5, 1), (2, 6, 1), (3, 8, 1)}
+
+
+def test_files_to_comparison(spark, tmp_path):
+    text = "One passage of many words that stands in both of the files, long enough to be a paragraph of its own."
+    (tmp_path / "a.txt").write_text(text)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "c.txt").write_text("")
+    read = files.read_files(spark, str(tmp_path), lambda content: ["x"], lambda content: [text]).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    pairs = spark.createDataFrame([(1, "a.txt", "b.pdf"), (2, "a.txt", "c.txt"), (3, "none", "a.txt")], "pair_id long, reference_path string, path string")
+    got = {r.pair_id: (r.plag_pct, r.mode) for r in overlap.compare_files(pairs, read).collect()}
+    assert got == {1: (100.0, "external"), 2: (0.0, "empty"), 3: (0.0, "offline")}
+    assert {r.path: r.text for r in files.read_files(spark, str(tmp_path), lambda content: ["x" * 130], None).collect()}.popitem()
+
+
+def test_pages_and_cache(spark):
+    long = "words of the file " * 30
+    rows = [("http://x/a%20b.pdf", None, long), ("http://x/c.pdf", None, "short"), ("http://x/d", f"<title>T</title><p>{long}", None), ("http://x/e", "<p>few", None)]
+    got = [tuple(r) for r in H.reference_from_page(spark.createDataFrame(rows, "url string, html string, pdf string"), pdf="pdf").select("title", "status").collect()]
+    assert got == [("a b.pdf", "ok"), ("c.pdf", "too little text in the PDF"), ("T", "ok"), ("http://x/e", "too little text")]
+    boxes = spark.createDataFrame([(1, 0, 1.0, 10.0, "few"), (2, 0, 1.0, 10.0, "enough letters in a line")], "doc_id long, page int, x0 double, y0 double, word string")
+    plain = spark.createDataFrame([(1, 0, "the page's own text"), (2, 0, "unused"), (3, 0, "no words")], "doc_id long, page int, text string")
+    assert {r.doc_id: r.text for r in files.page_lines(boxes, plain=plain).collect()} == {1: "the page's own text", 2: "enough letters in a line", 3: "no words"}
+    cached = F.struct(F.lit("topic").alias("mode"), F.lit("q").alias("query"), F.lit("k").alias("key"))
+    cases = [("topic", "q", "k", cached, False), ("topic", "r", "k", cached, True), ("web", "q", "k", cached, True), ("topic", "q", "other", cached, True), ("topic", "q", "k", F.when(F.lit(False), cached), True)]
+    row = spark.range(1).select(*[retrieval.stale(F.lit(m), F.lit(q), F.lit(k), before).alias(f"c{i}") for i, (m, q, k, before, _) in enumerate(cases)]).first()
+    assert list(row) == [c[-1] for c in cases]
+    url = F.struct(F.lit("url").alias("mode"), F.lit("q").alias("query"), F.lit("k").alias("key"))
+    assert spark.range(1).select(retrieval.stale(F.lit("url"), F.lit("q"), F.lit("k"), url)).first()[0]
