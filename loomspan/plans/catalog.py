@@ -40,15 +40,40 @@ def _content(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
     return P.pinned(own, content=T.content_tokens(F.col("t"))).select(key, "content")
 
 
+def _concept_counts(texts: DataFrame, key: str) -> DataFrame:
+    """key, term, n: the concepts of each text with their numbers.
+
+    The texts are exchanged once, by key; tokens are counted there, and only the distinct ones of a text
+    are stemmed. Both counts are by keys that hold the exchange's, so nothing else moves.
+    """
+    own = P.pinned(texts.select(key, "text").repartition(key), t=T.tokens(F.col("text")))
+    # whether a token is more than a stopword; looks no further than the first that is
+    own = own.select(key, "t", F.exists("t", lambda x: ~T.stem(x).isin(L.STOPWORDS)).alias("some"))
+    once = own.select(key, "some", F.explode("t").alias("token")).groupBy(key, "some", "token").agg(F.count("*").alias("n"))
+    stems = once.select(key, "some", T.stem(F.col("token")).alias("stem"), "n").where(~F.col("some") | ~F.col("stem").isin(L.STOPWORDS))
+    return stems.select(key, T.canonical(F.col("stem")).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("n"))
+
+
+def _concept_terms(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """The same of a table's texts, a term being a digest of its concept: a key of fixed width to join on."""
+    return _concept_counts(table(spark, sf, name), key).withColumn("term", F.xxhash64("term"))
+
+
 def concept_freq(spark: SparkSession, sf: str) -> DataFrame:
-    c = _content(spark, sf, "documents", "doc_id").select("doc_id", F.explode("content").alias("concept")).groupBy("doc_id", "concept").agg(F.count("*").alias("n"))
-    return c.groupBy("concept").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    c = _concept_counts(table(spark, sf, "documents"), "doc_id")
+    return c.groupBy(F.col("term").alias("concept")).agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
 
 def word_shingles(spark: SparkSession, sf: str) -> DataFrame:
     return _content(spark, sf, "benchmark", "item_id").select("item_id", F.explode(T.shingles(F.col("content"))).alias("shingle"))
 
 
+def document_shingles(spark: SparkSession, sf: str) -> DataFrame:
+    """The shingles of concepts with the number of documents that have them."""
+    own = _content(spark, sf, "documents", "doc_id").select(F.explode(T.shingles(F.col("content"))).alias("shingle"))
+    return own.groupBy("shingle").agg(F.count("*").alias("docs"))
+
+
 def char_grams(spark: SparkSession, sf: str) -> DataFrame:
     norms = P.pinned(table(spark, sf, "benchmark").select("item_id", "text"), n=T.normalized(F.col("text")))
     grams = norms.select("item_id", F.explode(T.char_grams(F.col("n"))).alias("gram"))
@@ -112,8 +137,7 @@ def lexical_score(spark: SparkSession, sf: str) -> DataFrame:
     """The score of whole texts without its sequence part, for the pairs with five token shingles in common."""
     pairs = shingle_candidates(spark, sf).select("doc_id", "item_id")
     norms = lambda name, key: P.pinned(table(spark, sf, name).select(key, "text").join(pairs.select(key).distinct(), key), n=T.normalized(F.col("text")))
-    content = lambda name, key: _content(spark, sf, name, key).join(pairs.select(key).distinct(), key)
-    terms = lambda name, key: _counted(content(name, key), key, "content")
+    terms = lambda name, key: _concept_counts(table(spark, sf, name).join(pairs.select(key).distinct(), key), key).withColumn("term", F.xxhash64("term"))
     both = S.cosine_of_rows(terms("documents", "doc_id"), terms("benchmark", "item_id"), "doc_id", "item_id", "term", "n").withColumnRenamed("cosine", "token")
     grams = lambda name, key: _gram_counts(norms(name, key), key)
     chars = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n").withColumnRenamed("cosine", "char")
@@ -126,20 +150,17 @@ def lexical_score(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("doc_id", "item_id", F.round(score, 5).alias("score"))
 
 
-def _counted(df: DataFrame, key: str, column: str) -> DataFrame:
-    return df.select(key, F.explode(column).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-
-
 def token_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    docs, items = _counted(_content(spark, sf, "documents", "doc_id"), "doc_id", "content"), _counted(_content(spark, sf, "benchmark", "item_id"), "item_id", "content")
+    docs, items = _concept_terms(spark, sf, "documents", "doc_id"), _concept_terms(spark, sf, "benchmark", "item_id")
     out = S.cosine_of_rows(docs, items, "doc_id", "item_id", "term", "n")
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"), F.round(T.angle_similarity(F.col("cosine")), 5).alias("angle"), T.match_label(F.col("cosine")).alias("label"))
 
 
 def _gram_counts(norms: DataFrame, key: str) -> DataFrame:
-    """key, term, n: the 4-grams of the normal form n."""
+    """key, term, n: the 4-grams of the normal form n as digests; counted where the texts lie after one exchange by key."""
+    norms = norms.select(key, "n").repartition(key)
     pieces = norms.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 3, F.lit(1)), F.lit(1000)), lambda i: F.substring(F.col("n"), i, F.lit(1003)))).alias("piece"))
-    return pieces.select(key, F.explode(T.char_grams(F.col("piece"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return pieces.select(key, F.explode(T.char_grams(F.col("piece"))).alias("gram")).select(key, F.xxhash64("gram").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def char_cosine(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,8 +175,10 @@ def char_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def concept_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    sets = lambda name, key: _content(spark, sf, name, key).select(key, F.array_distinct("content").alias("c")).select(key, F.size("c").alias(f"_{key}"), F.explode("c").alias("term"))
-    both = sets("documents", "doc_id").join(sets("benchmark", "item_id"), "term").groupBy("doc_id", "item_id", "_doc_id", "_item_id").agg(F.count("*").alias("n"))
+    sets = lambda name, key: _concept_terms(spark, sf, name, key).drop("n")
+    sizes = lambda name, key: sets(name, key).groupBy(key).agg(F.count("*").alias(f"_{key}"))
+    both = sets("documents", "doc_id").join(sets("benchmark", "item_id"), "term").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    both = both.join(sizes("documents", "doc_id"), "doc_id").join(sizes("benchmark", "item_id"), "item_id")
     return both.select("doc_id", "item_id", F.round(F.col("n") / (F.col("_doc_id") + F.col("_item_id") - F.col("n")), 6).alias("jaccard"))
 
 
@@ -192,6 +215,12 @@ def doc_overlap_pct(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.check(table(spark, sf, "documents"), _refs(spark, sf))[1]
 
 
+def match_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """How many matches of a document have a label, and the best score among them."""
+    own = hybrid_matches(spark, sf).groupBy("doc_id", "match_type")
+    return own.agg(F.count("*").alias("n"), F.max("score").alias("best_score"))
+
+
 def _repeated(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.repetitions(table(spark, sf, "documents"))
 
@@ -215,6 +244,11 @@ def appraisal_bands(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", W.appraisal(F.col("pct")).alias("verdict"), W.suggestion(F.when(F.col("pct") > 50, "Exact Match").when(F.col("pct") > 20, "Near Match").when(F.col("pct") > 0, "Paraphrased Overlap").otherwise("")).alias("advice"))
 
 
+def suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """The advice for each pair of a document and an item with a term in common, by the label of their cosine."""
+    return token_cosine(spark, sf).select("doc_id", "item_id", "label", W.suggestion(F.col("label")).alias("advice"))
+
+
 def _doc_refs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("ref_id"), F.col("source").alias("title"), F.lit("").alias("url"), "text", F.when(F.col("lang") == "en", "Crossref").otherwise("Wikipedia").alias("source"))
 
@@ -223,6 +257,12 @@ def reference_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return references.deduplicate(_doc_refs(spark, sf)).select("ref_id", "title")
 
 
+def page_reference_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as references: of those with the same url the first stays."""
+    refs = table(spark, sf, "pages").select(F.col("page_id").alias("ref_id"), F.lit("page").alias("title"), "url", H.strip_tags_plain(F.col("html")).alias("text"))
+    return references.deduplicate(refs).select("ref_id", "url")
+
+
 def blend_sources(spark: SparkSession, sf: str) -> DataFrame:
     return references.blend(_doc_refs(spark, sf), providers.WEB_SOURCES).select("ref_id", "source", F.col("position").cast("long").alias("place"))
 
@@ -326,9 +366,9 @@ def web_references(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
-        shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, doc_overlap_pct, internal_repetition, merged_ranges,
-        interval_coverage, appraisal_bands, reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
+        normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, document_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
+        shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, match_labels, doc_overlap_pct, internal_repetition, merged_ranges,
+        interval_coverage, appraisal_bands, suggestions, reference_dedup, page_reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
         chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references,
     )
 }

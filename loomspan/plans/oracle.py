@@ -163,6 +163,7 @@ ORACLE_SQL = {
     "stem_vocab": f"SELECT token, {stem('token')} AS stem, {canonical('(' + stem('token') + ')')} AS concept, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tokens('text')}) AS token FROM documents) GROUP BY token)",
     "concept_freq": f"SELECT concept, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({content('text')}) AS concept FROM documents) GROUP BY concept",
     "word_shingles": f"SELECT item_id, unnest({shingles('c')}) AS shingle FROM (SELECT item_id, {content('text')} AS c FROM benchmark)",
+    "document_shingles": f"SELECT shingle, count(*) AS docs FROM (SELECT unnest({shingles('c')}) AS shingle FROM (SELECT {content('text')} AS c FROM documents)) GROUP BY shingle",
     "char_grams": f"SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest({grams('t')}) AS gram FROM (SELECT item_id, {norm('text')} AS t FROM benchmark)) GROUP BY ALL",
     "query_keywords": f"""WITH t AS (SELECT doc_id, unnest({tokens('text')}) AS w, unnest(range(0, len({tokens('text')}))) AS p FROM documents),
 c AS (SELECT doc_id, w, count(*) AS n, min(p) AS p FROM t WHERE length(w) >= 4 AND w NOT IN ({', '.join(map(q, L.STOPWORDS))}) AND NOT regexp_full_match(w, '[0-9]+') GROUP BY ALL),
@@ -180,6 +181,7 @@ SELECT doc_id, item_id, count(*) AS hits FROM d JOIN b USING (s) GROUP BY ALL HA
 h AS (SELECT d.doc_id, d.span_id, b.item_id AS ref_id, b.span_id AS ref_span, sum(CASE WHEN k = 's' THEN 3 ELSE 1 END)::BIGINT AS hits FROM post_documents d JOIN post_benchmark b USING (k, t) GROUP BY ALL HAVING hits >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, span_id ORDER BY hits DESC, ref_id, ref_span) AS place FROM h) SELECT * FROM r WHERE place <= 48""",
     "token_cosine": cosine(content("text")) + f"SELECT doc_id, item_id, round(x, 6) AS cosine, round(1 - sqrt(greatest(0.0, 1 - x * x)), 5) AS angle, CASE WHEN x >= {L.EXACT} THEN 'Exact Match' WHEN x >= {L.NEAR} THEN 'Near Match' ELSE 'Paraphrased Overlap' END AS label FROM cos",
+    "suggestions": cosine(content("text")) + f"SELECT doc_id, item_id, label, CASE label WHEN 'Exact Match' THEN {q(ADVICE['Exact Match'])} WHEN 'Near Match' THEN {q(ADVICE['Near Match'])} ELSE {q(ADVICE['Paraphrased Overlap'])} END AS advice FROM (SELECT *, CASE WHEN x >= {L.EXACT} THEN 'Exact Match' WHEN x >= {L.NEAR} THEN 'Near Match' ELSE 'Paraphrased Overlap' END AS label FROM cos)",
     "char_cosine": cosine(grams(norm("text"))) + "SELECT doc_id, item_id, round(x, 6) AS cosine FROM cos",
     "concept_jaccard": f"""WITH d AS (SELECT doc_id, list_distinct({content('text')}) AS c FROM documents), b AS (SELECT item_id, list_distinct({content('text')}) AS c FROM benchmark)
 SELECT doc_id, item_id, round(n / (a + z - n), 6) AS jaccard FROM (SELECT doc_id, item_id, len(list_intersect(d.c, b.c)) AS n, len(d.c) AS a, len(b.c) AS z FROM d, b) WHERE n > 0""",
@@ -190,6 +192,7 @@ SELECT doc_id, item_id, round(n / (a + z - n), 6) AS jaccard FROM (SELECT doc_id
     "appraisal_bands": f"""{COVERED} SELECT doc_id, CASE WHEN p <= 0 THEN {q(VERDICTS[0][1])} WHEN p <= 30 THEN {q(VERDICTS[1][1])} WHEN p <= 50 THEN {q(VERDICTS[2][1])} ELSE {q(HIGH_VERDICT)} END AS verdict,
 CASE WHEN p > 50 THEN {q(ADVICE['Exact Match'])} WHEN p > 20 THEN {q(ADVICE['Near Match'])} WHEN p > 0 THEN {q(ADVICE['Paraphrased Overlap'])} ELSE {q(OTHER_ADVICE)} END AS advice FROM pct""",
     "reference_dedup": f"""SELECT ref_id, title FROM (SELECT doc_id AS ref_id, source AS title, row_number() OVER (PARTITION BY lower({collapse('source')}), {norm('left(text, 240)')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1""",
+    "page_reference_dedup": f"""SELECT page_id AS ref_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY lower({collapse('url')}), CASE WHEN {collapse('url')} = '' THEN {norm('left(' + collapse('regexp_replace(html, ' + q('<[^>]+>') + ', ' + q(' ') + ', ' + q('g') + ')') + ', 240)')} END ORDER BY page_id) AS r FROM pages) WHERE r = 1""",
     "blend_sources": """WITH r AS (SELECT doc_id AS ref_id, CASE WHEN lang = 'en' THEN 'Crossref' ELSE 'Wikipedia' END AS source, row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) AS n FROM documents),
 c AS (SELECT least(3, count(*)) AS web FROM r WHERE source = 'Wikipedia'),
 p AS (SELECT ref_id, source, CASE WHEN source = 'Wikipedia' THEN CASE WHEN n <= 3 THEN 1 ELSE 2 END WHEN n <= 24 - web THEN 0 ELSE 2 END AS part FROM r, c)

@@ -45,3 +45,16 @@ def test_verbatim_containment_of_few_tokens(spark, tmp_path):
     got = {(r.doc_id, r.item_id) for r in entry.queries()["verbatim_containment"](spark, folder(spark, tmp_path, documents, list(enumerate(long)))).collect()}
     texts = [(d, " ".join(Y.tokens(t or ""))) for d, t in documents]
     assert got == {(d, i) for d, t in texts for i, b in enumerate(long) if len(b) >= 40 and b in t} and len(got) == 9
+
+
+def test_concept_counts_of_stopwords_and_empty_texts(spark, tmp_path):
+    documents = [(0, "The and of the"), (1, None), (2, ""), (3, "The methods and the models analyzing results"), (4, "Method, METHODS; approach."), (5, "..."), (6, "and a method")]
+    benchmark = [(0, "the of and"), (1, "methods of analysis"), (2, None)]
+    sf = folder(spark, tmp_path, documents, benchmark)
+    counts = lambda rows: {k: Counter(Y.content(Y.tokens(t or ""))) for k, t in rows}
+    docs, items = counts(documents), counts(benchmark)
+    assert docs[0]["the"] == 2 and "and" not in docs[6]
+    got = {r.concept: (r.n, r.docs) for r in entry.queries()["concept_freq"](spark, sf).collect()}
+    assert got == {c: (sum(d[c] for d in docs.values()), sum(c in d for d in docs.values())) for c in set().union(*docs.values())}
+    got = {(r.doc_id, r.item_id): r.jaccard for r in entry.queries()["concept_jaccard"](spark, sf).collect()}
+    assert got == {(d, i): pytest.approx(len(a.keys() & b.keys()) / len(a.keys() | b.keys()), abs=1e-6) for d, a in docs.items() for i, b in items.items() if a.keys() & b.keys()}
