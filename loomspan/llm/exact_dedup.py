@@ -1,8 +1,10 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
 Every input partition makes a run: one entry per distinct digest with the best id and the number of
-rows. In each round ``fan`` neighbouring runs meet, one slice of the digest space per task, are merged
-in digest order and again reduced to one entry per digest. A text that a third of all rows share
+rows. The runs are the leaves of a binomial tree: in each round two neighbours (``fan``, if more are to
+meet) send theirs to one task per slice of the digest space, which merges them in digest order and again
+reduces them to one entry per digest. The blocks a task reads are sorted already, one per sender, and
+the sorter merges such stretches rather than sorting afresh. A text that a third of all rows share
 therefore sends at most one entry per run and slice, and no task sees more than the entries of its
 slice. Entries carry the SHA-256, the length and an independent 64-bit hash, all of which must agree
 before two entries count as the same text.
@@ -63,7 +65,7 @@ def merge_runs(largest: bool):
     return merged
 
 
-def tree_merge(entries: DataFrame, keep: str = "max", runs: int = 64, fan: int = 4, slices: int | None = None) -> DataFrame:
+def tree_merge(entries: DataFrame, keep: str = "max", runs: int = 64, fan: int = 2, slices: int | None = None) -> DataFrame:
     """One row per distinct entry: entry, keep_id, keep_row, group_size.
 
     ``entries`` has (entry, id, row); ``runs`` is the number of leaves of the merge tree and ``fan``
@@ -96,7 +98,7 @@ def entries_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sha.select("row", "doc_id", "text_sha256", F.concat(F.unhex("text_sha256"), F.unhex(F.lpad(F.hex("_n"), 16, "0")), F.unhex(F.lpad(F.hex("_x"), 16, "0"))).alias("entry"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", runs: int = 64, fan: int = 4) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", runs: int = 64, fan: int = 2) -> DataFrame:
     """Decide for every row of ``docs`` whether it stays.
 
     Returns row, doc_id, keep_id, group_size, kept, text_sha256; other input columns are left out, so
