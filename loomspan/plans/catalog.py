@@ -44,13 +44,15 @@ def _concept_counts(texts: DataFrame, key: str) -> DataFrame:
     """key, term, n: the concepts of each text with their numbers.
 
     The texts are exchanged once, by key; tokens are counted there, and only the distinct ones of a text
-    are stemmed. Both counts are by keys that hold the exchange's, so nothing else moves.
+    are stemmed. Both counts are by keys that hold the exchange's, so nothing else moves. Texts of the
+    same key count as one and meet in one task: keys are meant to be ids.
     """
     own = P.pinned(texts.select(key, "text").repartition(key), t=T.tokens(F.col("text")))
     # whether a token is more than a stopword; looks no further than the first that is
     own = own.select(key, "t", F.exists("t", lambda x: ~T.stem(x).isin(L.STOPWORDS)).alias("some"))
     once = own.select(key, "some", F.explode("t").alias("token")).groupBy(key, "some", "token").agg(F.count("*").alias("n"))
-    stems = once.select(key, "some", T.stem(F.col("token")).alias("stem"), "n").where(~F.col("some") | ~F.col("stem").isin(L.STOPWORDS))
+    # pinned, or the filter moves below the count and stems every occurrence
+    stems = P.pinned(once, stem=T.stem(F.col("token"))).where(~F.col("some") | ~F.col("stem").isin(L.STOPWORDS))
     return stems.select(key, T.canonical(F.col("stem")).alias("term"), "n").groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
