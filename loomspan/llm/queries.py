@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, mixing, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, warc
+from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, maintenance, mixing, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_line_dedup": line_dedup,
     "op9_simhash": simhash,
     "op10_language_id": language_id,
+    "op11_incremental_aggregates": maintenance,
     "op12_toxicity": toxicity,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
