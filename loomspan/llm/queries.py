@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, maintenance, mixing, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, warc
+from loomspan.llm import exact_dedup, fingerprints, language_id, line_dedup, maintenance, mixing, negatives, sentencepiece_scan, simhash, suffix_dedup, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_suffix_dedup": suffix_dedup,
@@ -17,6 +17,7 @@ _MODULES = {
     "op10_language_id": language_id,
     "op11_incremental_aggregates": maintenance,
     "op12_toxicity": toxicity,
+    "op13_hard_negatives": negatives,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLE_SQL = {name: module.ORACLE_SQL for name, module in _MODULES.items() if module.ORACLE_SQL}
