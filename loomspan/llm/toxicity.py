@@ -54,7 +54,9 @@ def padded(seq: np.ndarray) -> np.ndarray:
 
 def grams(seq: np.ndarray) -> np.ndarray:
     """Keys of the ``ORDER``-grams of a padded sequence, the predicted character in the lowest bits."""
-    out = np.zeros(max(0, len(seq) - ORDER + 1), np.uint64)
+    if len(seq) < ORDER:
+        return np.empty(0, np.uint64)
+    out = np.zeros(len(seq) - ORDER + 1, np.uint64)
     for i in range(ORDER):
         out |= seq[ORDER - 1 - i : len(seq) - i] << np.uint64(BITS * i)
     return out
