@@ -1,9 +1,9 @@
 """Toxicity by class-conditional Kneser-Ney character models.
 
 Two interpolated Kneser-Ney models, of toxic and of ordinary texts, predict each character of a text from
-the four before it. The orders from two to ``ORDER`` have each class's own counts; the lowest order, to
-which both back off, has the continuation counts of the two classes together, so an expression that is rare
-in both is about as likely in either and says nothing. What is compared is length-normalised: the mean
+the four before it. The highest orders have each class's own counts; the ``SHARED`` lowest, to which both
+back off, have the continuation counts of the two classes together, so an expression that is rare in both
+is about as likely in either and says nothing. What is compared is length-normalised: the mean
 log-likelihood of a character in either class, and, because a few expressions make a long text toxic and
 their ratio would drown in the noise of the rest, the part of the ratio that words give which are far
 likelier in toxic texts, per character as well. Texts held back from the counts calibrate the score.
@@ -27,6 +27,7 @@ from loomspan.llm.common import table
 from loomspan.llm.language_id import classes, held, symbols
 
 ORDER = 5
+SHARED = 3  # lowest orders, whose counts are of both classes together
 BITS = 12  # of a key for each character
 BLANK = 1
 HOLD_BACK = 5  # one training text in so many calibrates the score
@@ -120,14 +121,14 @@ def kneser_ney(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> Model:
             side.append(np.unique(suffix(side[-1][0], n), return_counts=True))
         side.reverse()
     merged = [np.unique(np.concatenate([side[n][0] for side in own])) for n in range(ORDER)]
-    lowest = np.unique(suffix(merged[1], 1), return_counts=True)  # the back-off counts that the classes share
+    shared = [np.unique(suffix(merged[n + 1], n + 1), return_counts=True) for n in range(SHARED)]  # the back-off counts
     model = Model([], [], [], [], np.zeros(1 + 1 + len(EXCESS)))
     for n in range(ORDER):
         keys = merged[n]
         contexts, of = np.unique(keys >> np.uint64(BITS), return_inverse=True)
         logp, back = np.zeros((len(keys), 2)), np.zeros((len(contexts), 2))
         for c in (0, 1):
-            k, seen = lowest if n == 0 else own[c][n]
+            k, seen = shared[n] if n < SHARED else own[c][n]
             count = np.zeros(len(keys))
             count[np.searchsorted(keys, k)] = seen
             one, two = (count == 1).sum(), (count == 2).sum()

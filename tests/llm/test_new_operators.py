@@ -135,9 +135,10 @@ def plain_model(toxic, ordinary):
     for c in (0, 1):
         for n in range(toxicity.ORDER - 1, 0, -1):
             levels[c][n] = collections.Counter(g[1:] for g in levels[c][n + 1])
-    both = set(levels[0][2]) | set(levels[1][2])
-    for c in (0, 1):
-        levels[c][1] = collections.Counter(g[1:] for g in both)
+    for n in range(1, toxicity.SHARED + 1):
+        both = set(levels[0][n + 1]) | set(levels[1][n + 1])
+        for c in (0, 1):
+            levels[c][n] = collections.Counter(g[1:] for g in both)
 
     def discount(c, n):
         one, two = (sum(v == k for v in levels[c][n].values()) for k in (1, 2))
