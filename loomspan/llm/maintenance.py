@@ -9,9 +9,9 @@ is kept sorted.
 
 Rows with the same group, value and batch are one element with weights before they move, so a value that is
 on very many rows is one element a batch. Matrices of up to ``STRETCH`` elements lie in one task whole. Of
-a larger group the upper levels are a table of nodes (six bits of the value a step) with each node's prefix
-count differences by batch; Spark joins and windows descend through it, every step over 64 nodes at most,
-until a stretch of the matrices remains that is small or 64 values wide.
+a larger group the upper levels are a table of nodes (four bits of the value a step) with each node's prefix
+count differences by batch; Spark joins and windows descend through it, every step over 16 nodes at most,
+until a stretch of the matrices remains that is small or 16 values wide.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import shared_checkpoint, table
 
-STRETCH = 1024
-STEP = 6  # bits of a value that one step of the distributed descent settles
+STRETCH = 256
+STEP = 4  # bits of a value that one step of the distributed descent settles
 
 
 class WaveletMatrix:
