@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 from loomspan.functions import lexicon as L
@@ -45,3 +46,26 @@ def distinct(values: list[str]) -> list[str]:
 
 def shingles(values: list[str], n: int = 3) -> list[str]:
     return distinct([" ".join(values[i : i + n]) for i in range(max(1, len(values) - n + 1))]) if values else []
+
+
+def counts(values: list[str]) -> list[int]:
+    """How often each distinct value stands, in the order of ``distinct``."""
+    return list(Counter(values).values())
+
+
+def reach(toks: list[str]) -> int:
+    """Letters of the longest stretch of the joined tokens with fewer than three whole content tokens in it.
+
+    Two texts that share no run of three content terms have no longer stretch in common.
+    """
+    begins, ends, at = [], [], 0
+    for t in toks:
+        if stem(t) not in _STOP:
+            begins.append(at)
+            ends.append(at + len(t))
+        at += len(t) + 1
+    whole = max(0, at - 1)
+    if len(begins) < 4:
+        return whole
+    begins, ends = [0, *begins], [*ends, whole]
+    return max(ends[i + 2] - begins[i] for i in range(len(ends) - 2))

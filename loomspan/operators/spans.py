@@ -22,7 +22,7 @@ LARGE, SIZE, STRIDE, MOST = 170, 4, 2, 180
 Found = tuple[int, str, int, int, str, list[str]]  # span_id, kind, start, end, raw, tokens
 _LISTS = pa.list_(pa.string())
 _COLUMNS = [("span_id", pa.int32(), "int"), ("kind", pa.string(), "string"), ("start", pa.int32(), "int"), ("end", pa.int32(), "int"), ("raw", pa.string(), "string"), ("tokens", _LISTS, "array<string>"), ("norm", pa.string(), "string")]
-_FEATURES = [("content", _LISTS, "array<string>"), ("concepts", _LISTS, "array<string>"), ("shingles", _LISTS, "array<string>")]
+_FEATURES = [("content", _LISTS, "array<string>"), ("concepts", _LISTS, "array<string>"), ("shingles", _LISTS, "array<string>"), ("counts", pa.list_(pa.int32()), "array<int>"), ("reach", pa.int32(), "int")]
 
 
 
@@ -81,7 +81,7 @@ def _spans(df: DataFrame, key: str, text: str, cut: Callable[[str], list[Found]]
                         row = (*s, " ".join(s[5]))
                         if featured:
                             c = Y.content(s[5])
-                            row = (*row, c, Y.distinct(c), Y.shingles(c))
+                            row = (*row, c, Y.distinct(c), Y.shingles(c), Y.counts(c), Y.reach(s[5]))
                         rows.append(row)
                 made = [pa.array([r[k] for r in rows], kind) for k, (_, kind, _) in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *made], names=["doc_id", *(n for n, _, _ in columns)])
@@ -102,7 +102,8 @@ def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words
 def spans(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 6, sentence_words: int = 3, featured: bool = False) -> DataFrame:
     """Paragraphs, or sentences for the texts that have none.
 
-    ``featured`` adds content (canonical terms), concepts (distinct ones) and shingles of three terms.
+    ``featured`` adds content (canonical terms), concepts (distinct ones) with their counts, shingles of three
+    terms, and reach, the longest stretch with fewer than three whole terms.
     """
     return _spans(df, key, text, lambda t: paragraphs_of(t, min_words) or sentences_of(t, sentence_words), featured)
 

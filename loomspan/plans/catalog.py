@@ -210,11 +210,11 @@ def _refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.check(table(spark, sf, "documents"), _refs(spark, sf))[0]
+    return overlap.finished(overlap.check(table(spark, sf, "documents"), _refs(spark, sf))[0])
 
 
 def doc_overlap_pct(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.check(table(spark, sf, "documents"), _refs(spark, sf))[1]
+    return overlap.finished(overlap.check(table(spark, sf, "documents"), _refs(spark, sf))[1])
 
 
 def match_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -331,7 +331,7 @@ def long_doc_reduce(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_compare(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.compare(_pairs(spark, sf))
+    return overlap.finished(overlap.compare(_pairs(spark, sf)))
 
 
 def tone_rewrite(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicon as L
 from loomspan.functions import similarity as S
 from loomspan.functions import text as T
-from loomspan.operators import index, intervals
+from loomspan.operators import containment, index, intervals
 from loomspan.operators import spans as P
+from loomspan.session import settled
 
 #: Spans of a target that say which concepts it has, and the length of a source's kept text.
 PRIOR_SPANS, BLOB = 260, 300_000
@@ -32,6 +35,47 @@ def reference_rows(refs: DataFrame) -> DataFrame:
     return P.pinned(own, text=T.repair_spaced(F.col("_c"))).drop("_t", "_c")
 
 
+@dataclass
+class References:
+    """References cut and indexed: what many checks against them share.
+
+    ``rows`` has ref_id, group_id, title, url, source, text; ``spans`` their featured spans, ``postings`` the
+    terms of these. ``save`` writes them as tables, the postings bucketed and sorted by term, so that a join
+    on the term exchanges the targets' side alone; ``load`` reads them.
+    """
+
+    rows: DataFrame
+    spans: DataFrame
+    postings: DataFrame
+    grouped: bool
+
+    @classmethod
+    def of(cls, refs: DataFrame) -> References:
+        grouped = "group_id" in refs.columns
+        rows = reference_rows(refs)
+        spans = P.spans(rows.select(F.col("ref_id").alias("_r"), "text"), "_r", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
+        spans = spans.join(rows.drop("text"), "ref_id").persist(KEEP)
+        return cls(rows, spans, index.postings(spans, ["ref_id", "ref_span"], True, "group_id" if grouped else None), grouped)
+
+    def save(self, name: str, buckets: int = 64) -> None:
+        """As tables ``name``_rows, ``name``_spans and ``name``_postings of the session's catalog, replacing such."""
+        self.rows.withColumn("grouped", F.lit(self.grouped)).write.mode("overwrite").saveAsTable(f"{name}_rows")
+        self.spans.write.mode("overwrite").saveAsTable(f"{name}_spans")
+        self.postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(f"{name}_postings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, name: str) -> References:
+        rows = spark.table(f"{name}_rows")
+        one = rows.select("grouped").first()
+        return cls(rows.drop("grouped"), spark.table(f"{name}_spans"), spark.table(f"{name}_postings"), bool(one and one[0]))
+
+    def kept_texts(self) -> DataFrame:
+        """group_id, title, url, source, kept: the beginning of the first text of each source, normalized."""
+        key = ["group_id", "title", "url", "source"]
+        first = self.rows.withColumn("group_id", F.col("group_id").cast("string")).groupBy(*key).agg(F.min_by("text", "ref_id").alias("text"))
+        return first.select(*key, F.substring(T.normalized(F.col("text")), 1, BLOB).alias("kept"))
+
+
 def source_priors(targets: DataFrame, references: DataFrame, grouped: bool) -> DataFrame:
     """doc_id, title, url, source, prior: how alike the concepts of a target and a source are.
 
@@ -54,28 +98,29 @@ def source_priors(targets: DataFrame, references: DataFrame, grouped: bool) -> D
     return out.select("doc_id", *key, (F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).alias("prior"))
 
 
-def check(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str = "text", min_score: float = L.MIN_SCORE, max_matches: int = 0, concepts: bool = True) -> tuple[DataFrame, DataFrame]:
+def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id", text: str = "text", min_score: float = L.MIN_SCORE, max_matches: int = 0, concepts: bool = True) -> tuple[DataFrame, DataFrame]:
     """(matches, results): the best source of each reused span, and a row per target.
 
-    ``refs`` has ref_id, text and optionally title, url, source; with a group_id column a target meets
-    only the references of its own group. A null text is empty. With ``concepts=False`` candidates
-    share a shingle at least, which is what a corpus against itself affords; the result is then a
-    subset. Numbers are unrounded fractions but for the percentages, rounded to one digit.
+    ``refs`` has ref_id, text and optionally title, url, source, or is a ``References``; with a group_id
+    column a target meets only the references of its own group. A null text is empty. With
+    ``concepts=False`` candidates share a shingle at least, which is what a corpus against itself affords;
+    the result is then a subset. Numbers are unrounded fractions but for the percentages, rounded to one digit.
     """
-    grouped = "group_id" in refs.columns
+    theirs = refs if isinstance(refs, References) else References.of(refs)
+    grouped = theirs.grouped
+    floor = 0.82 * min_score
     texts = target_texts(targets, key, text)
-    own = P.spans(texts, featured=True).persist(KEEP)
-    ref = reference_rows(refs)
-    theirs = P.spans(ref.select(F.col("ref_id").alias("_r"), "text"), "_r", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
-    theirs = theirs.join(ref.drop("text"), "ref_id").persist(KEEP)
-    found = index.candidates(own, theirs, concepts, grouped=grouped)
-    right = theirs.select("ref_id", "ref_span", "group_id", F.col("norm").alias("r_norm"), F.col("raw").alias("r_raw"), F.col("content").alias("r_content"), "title", "url", "source")
+    own = P.spans(texts, featured=True).repartition("doc_id", "span_id").persist(KEEP)
+    found = index.candidates(own, theirs.postings, concepts, grouped=grouped)
+    found = index.promising(found, own, theirs.spans, floor).select("doc_id", "span_id", "ref_id", "ref_span", "rank").persist(KEEP)
+    right = theirs.spans.select("ref_id", "ref_span", "group_id", F.col("norm").alias("r_norm"), F.col("raw").alias("r_raw"), F.col("content").alias("r_content"), "title", "url", "source")
     pairs = found.join(right, ["ref_id", "ref_span"])
     left = own.select("doc_id", "span_id", F.col("norm").alias("l_norm"), F.col("raw").alias("l_raw"), F.col("content").alias("l_content"))
-    prior = source_priors(own, theirs, grouped)
+    # only texts with a promising pair need to know how alike they and a source are
+    prior = source_priors(own.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), theirs.spans, grouped)
     pairs = pairs.join(left, ["doc_id", "span_id"]).join(prior, ["doc_id", "title", "url", "source"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
     kept = ["doc_id", "span_id", "ref_id", "ref_span", "rank", "title", "url", "source", "prior", "r_raw"]
-    scored = S.scored_pairs(pairs, 0.82 * min_score, kept)
+    scored = S.scored_pairs(pairs, floor, kept)
 
     w = Window.partitionBy("doc_id", "span_id")
     first = F.row_number().over(w.orderBy(F.desc("score"), "rank"))
@@ -88,14 +133,15 @@ def check(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str =
     ).where(F.col("b.score") >= min_score)
 
     best = gathered.join(own.select("doc_id", "span_id", "raw", "norm", "start", "end"), ["doc_id", "span_id"])
-    blob = ref.withColumn("_n", F.row_number().over(Window.partitionBy("title", "url", "source", *(["group_id"] if grouped else [])).orderBy("ref_id"))).where("_n = 1")
-    blob = blob.select("title", "url", "source", *(["group_id"] if grouped else []), F.substring(T.normalized(F.col("text")), 1, BLOB).alias("_blob"))
-    best = best.select("*", "b.title", "b.url", "b.source")
-    best = best.join(blob.withColumnRenamed("group_id", "doc_id") if grouped else blob, [*(["doc_id"] if grouped else []), "title", "url", "source"], "left")
-    size = F.greatest(F.length("raw"), F.lit(1))
+    chosen = best.select("*", "b.title", "b.url", "b.source").persist(KEEP)
     named = (F.col("title") != "") | (F.col("url") != "") | (F.col("source") != "")
+    asked = chosen.where(named & (F.length("norm") >= 40)).select("doc_id", "span_id", "title", "url", "source", "norm")
+    asked = asked.withColumn("group_id", F.col("doc_id").cast("string") if grouped else F.lit(None).cast("string"))
+    inside = containment.contained(asked, theirs.kept_texts(), ["group_id", "title", "url", "source"], "norm", "kept").select("doc_id", "span_id", F.lit(True).alias("_inside"))
+    best = chosen.join(inside, ["doc_id", "span_id"], "left")
+    size = F.greatest(F.length("raw"), F.lit(1))
     whole = F.array(F.struct(F.lit(0).alias("s"), F.length("raw").alias("e")))
-    verbatim = named & (F.length("norm") >= 40) & F.coalesce(F.contains("_blob", "norm"), F.lit(False))
+    verbatim = F.coalesce(F.col("_inside"), F.lit(False))
     merged = F.when(named & (F.size("all_ranges") > 0), intervals.merge_ranges(F.col("all_ranges"), F.length("raw"))).otherwise(F.col("b.ranges"))
     best = best.withColumn("_ranges", F.when(verbatim, whole).otherwise(merged)).withColumn("score", F.when(verbatim, F.greatest(F.col("b.score"), F.lit(0.97))).otherwise(F.col("b.score")))
     best = best.withColumn("_share", intervals.ranges_length(F.col("_ranges")) / size)
@@ -115,9 +161,9 @@ def check(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str =
 
     placed = F.when(F.size("absolute_ranges") > 0, F.col("absolute_ranges")).otherwise(F.array(F.struct(F.col("text_start").alias("s"), F.col("text_end").alias("e"))))
     rows = matches.select("doc_id", F.explode(placed).alias("_r")).select("doc_id", F.col("_r.s").alias("start"), F.col("_r.e").alias("end"))
-    results = _results(texts, own, theirs, matches, rows, grouped)
+    results = _results(texts, theirs.spans, matches, rows, grouped)
     shown = matches if max_matches <= 0 else matches.select("*").where(F.col("rank") <= max_matches)
-    results.kept = [texts, own, theirs, matches]  # what release() frees
+    results.kept = shown.kept = [texts, own, found, chosen, matches, *([] if theirs is refs else [theirs.spans])]  # what release() frees
     return shown, results
 
 
@@ -127,7 +173,14 @@ def release(results: DataFrame) -> None:
         frame.unpersist()
 
 
-def _results(texts: DataFrame, own: DataFrame, theirs: DataFrame, matches: DataFrame, rows: DataFrame, grouped: bool) -> DataFrame:
+def finished(frame: DataFrame) -> DataFrame:
+    """One of the tables of ``check`` computed and written, and what was kept for it freed."""
+    out = settled(frame)
+    release(frame)
+    return out
+
+
+def _results(texts: DataFrame, theirs: DataFrame, matches: DataFrame, rows: DataFrame, grouped: bool) -> DataFrame:
     external = texts.join(intervals.covered(rows, ["doc_id"]), "doc_id", "left").join(matches.groupBy("doc_id").agg(F.count("*").alias("n_matches")), "doc_id", "left")
     # whether there is any reference span to compare with, for the target's group or for all
     if grouped:
@@ -135,7 +188,8 @@ def _results(texts: DataFrame, own: DataFrame, theirs: DataFrame, matches: DataF
         external = external.join(there, "doc_id", "left")
     else:
         external = external.join(theirs.limit(1).agg((F.count("*") > 0).alias("_refs")), how="cross")
-    internal = repetition_results(texts)
+    # what a text repeats counts only where there is nothing to compare it with
+    internal = repetition_results(external.where(~F.coalesce("_refs", F.lit(False))).select("doc_id", "text"))
     share = F.col("covered") / F.greatest(F.length("text"), F.lit(1)) * 100
     plag = T.half_even(F.coalesce(share, F.lit(0.0)))
     plag = F.when((F.coalesce("n_matches", F.lit(0)) > 0) & (plag == 0), F.lit(0.1)).otherwise(plag)
@@ -186,4 +240,6 @@ def compare_files(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def snapshot(targets: DataFrame, refs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score, matches: the quick look that retrieval accepts sources by."""
     found = check(targets, refs, key, text, L.SNAPSHOT_SCORE, 6)[1]
-    return found.select("doc_id", F.col("plag_pct").alias("score"), F.least("n_matches", F.lit(6)).alias("matches"))
+    seen = found.select("doc_id", F.col("plag_pct").alias("score"), F.least("n_matches", F.lit(6)).alias("matches"))
+    seen.kept = found.kept
+    return seen
