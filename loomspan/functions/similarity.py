@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomspan.functions import blocks as B
 from loomspan.functions import lexicon as L
 
 
@@ -79,7 +80,8 @@ def pair_parts(left: _Span, right: _Span, prior: float, floor: float) -> tuple[f
     """Score and parts of a pair, or None if the score must lie below ``floor``.
 
     Sequence matching comes last: its ratio is at most twice the letters in common over all letters,
-    and a common block of n letters holds n - 3 common 4-grams, so most pairs end at a bound.
+    and a common block of n letters holds n - 3 common 4-grams, so most pairs end at a bound. The longest
+    block itself is found before the ratio, which is dearer.
     """
     token = _cosine(left.terms, right.terms)
     concept = _jaccard(left.concepts, right.concepts)
@@ -100,12 +102,11 @@ def pair_parts(left: _Span, right: _Span, prior: float, floor: float) -> tuple[f
     block = min(1.0, (_common(left.grams, right.grams) + 3) / max(1, len(left.norm)))
     if score(most, block, char) + 1e-9 < floor:
         return None
-    sequence = SequenceMatcher(None, left.norm, right.norm).ratio()
-    if score(sequence, block, char) + 1e-9 < floor:
+    block = B.longest(left.norm, right.norm) / max(1.0, len(left.norm))
+    if score(most, block, char) + 1e-9 < floor:
         return None
-    blocks = SequenceMatcher(None, left.norm, right.norm, autojunk=False).get_matching_blocks()
-    longest = max((b.size for b in blocks), default=0) / max(1.0, len(left.norm))
-    return score(sequence, longest, char), token, char, sequence, concept, angle, longest, shingle
+    sequence = SequenceMatcher(None, left.norm, right.norm).ratio()
+    return score(sequence, block, char), token, char, sequence, concept, angle, block, shingle
 
 
 def matching_ranges(left: str, right: str, least: int = 16) -> list[tuple[int, int]]:
@@ -113,13 +114,12 @@ def matching_ranges(left: str, right: str, least: int = 16) -> list[tuple[int, i
     if not left or not right:
         return []
     out: list[list[int]] = []
-    for b in SequenceMatcher(None, left.lower(), right.lower(), autojunk=False).get_matching_blocks():
-        if b.size >= least:
-            s, e = min(b.a, len(left)), min(b.a + b.size, len(left))
-            if out and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            elif e > s:
-                out.append([s, e])
+    for a, _, n in B.matching_blocks(left.lower(), right.lower(), least):
+        s, e = min(a, len(left)), min(a + n, len(left))
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        elif e > s:
+            out.append([s, e])
     return [(s, e) for s, e in out]
 
 
@@ -151,9 +151,11 @@ def scored_pairs(pairs: DataFrame, floor: float, keep: list[str]) -> DataFrame:
 
 
 def sequence_ratio(left: Column, right: Column, autojunk: bool = False) -> Column:
-    """Ratcliff-Obershelp ratio; the order of the two matters."""
+    """Ratcliff-Obershelp ratio; the order of the two matters. With ``autojunk``, frequent letters of long texts count less."""
+    of = (lambda x, y: SequenceMatcher(None, x, y).ratio()) if autojunk else B.ratio
+
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=autojunk).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)])
 
     return ratio(left, right)

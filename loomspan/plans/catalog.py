@@ -13,17 +13,22 @@ from loomspan.functions import text as T
 from loomspan.operators import chunks, index, intervals, references, search
 from loomspan.operators import spans as P
 from loomspan.plans import overlap, retrieval
-from loomspan.session import table
+from loomspan.session import spread, table
 from loomspan.sources import providers
 
 
+def _texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are costly to work on, over all cores."""
+    return spread(table(spark, sf, name))
+
+
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     t = T.cleaned(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", T.collapse(t).alias("collapsed"), T.normalized(t).alias("norm"))
+    return _texts(spark, sf).select("doc_id", T.collapse(t).alias("collapsed"), T.normalized(t).alias("norm"))
 
 
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    toks = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    toks = _texts(spark, sf).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return toks.select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"),
         F.size(F.filter("t", lambda x: x.rlike("[0-9]"))).cast("long").alias("digit_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("letters"),
@@ -31,12 +36,12 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stem_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    toks = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    toks = _texts(spark, sf).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return toks.select("token", T.stem(F.col("token")).alias("stem"), T.canonical(T.stem(F.col("token"))).alias("concept"), "n")
 
 
 def _content(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    own = P.pinned(table(spark, sf, name).select(key, "text"), t=T.tokens(F.col("text")))
+    own = P.pinned(_texts(spark, sf, name).select(key, "text"), t=T.tokens(F.col("text")))
     return P.pinned(own, content=T.content_tokens(F.col("t"))).select(key, "content")
 
 
@@ -83,32 +88,32 @@ def char_grams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return search.keywords(table(spark, sf, "documents"))
+    return search.keywords(_texts(spark, sf))
 
 
 def noise_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "documents").select("doc_id", T.collapse(F.col("text")).alias("t"))
+    own = _texts(spark, sf).select("doc_id", T.collapse(F.col("text")).alias("t"))
     return own.select("doc_id", T.is_noise(F.col("t")).alias("noise"))
 
 
 def sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return P.sentences(table(spark, sf, "documents")).select("doc_id", F.col("span_id").cast("long").alias("span_id"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "raw", "norm")
+    return P.sentences(_texts(spark, sf)).select("doc_id", F.col("span_id").cast("long").alias("span_id"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "raw", "norm")
 
 
 def paragraph_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return P.paragraphs(table(spark, sf, "documents")).select("doc_id", F.col("span_id").cast("long").alias("span_id"), "kind", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "raw")
+    return P.paragraphs(_texts(spark, sf)).select("doc_id", F.col("span_id").cast("long").alias("span_id"), "kind", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "raw")
 
 
 def distributed_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.distributed_sample(F.col("text"), 3000).alias("sample"))
+    return _texts(spark, sf).select("doc_id", T.distributed_sample(F.col("text"), 3000).alias("sample"))
 
 
 def analysis_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", chunks.analysis_text(F.col("text"), 600).alias("analysis"))
+    return _texts(spark, sf).select("doc_id", chunks.analysis_text(F.col("text"), 600).alias("analysis"))
 
 
 def _token_shingles(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    own = P.pinned(table(spark, sf, name).select(key, "text"), t=T.tokens(F.col("text")))
+    own = P.pinned(_texts(spark, sf, name).select(key, "text"), t=T.tokens(F.col("text")))
     return own.select(key, F.explode(T.shingles(F.col("t"))).alias("s")).select(key, F.xxhash64("s").alias("term"))
 
 
@@ -118,7 +123,7 @@ def shingle_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sentence_features(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return P.sentences(table(spark, sf, name), key, featured=True)
+    return P.sentences(_texts(spark, sf, name), key, featured=True)
 
 
 def weighted_candidates_top48(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +136,7 @@ def source_prior(spark: SparkSession, sf: str) -> DataFrame:
     """How alike the concepts of a document and of an item are, for the pairs that share one."""
     items = P.spans(_refs(spark, sf).select("ref_id", "text"), "ref_id", featured=True).withColumnRenamed("doc_id", "ref_id")
     items = items.join(_refs(spark, sf).drop("text"), "ref_id").withColumn("group_id", F.lit(None).cast("long"))
-    out = overlap.source_priors(P.spans(table(spark, sf, "documents"), featured=True), items, False)
+    out = overlap.source_priors(P.spans(_texts(spark, sf), featured=True), items, False)
     return out.select("doc_id", "title", F.round("prior", 6).alias("prior"))
 
 
@@ -190,7 +195,7 @@ def verbatim_containment(spark: SparkSession, sf: str) -> DataFrame:
     Items of fewer than five tokens have no inner shingle. Their longest token has ten letters or more, so
     its first ten stand in a token of the document, which is where they are looked for.
     """
-    docs = table(spark, sf, "documents").select("doc_id", T.normalized(F.col("text")).alias("d"))
+    docs = _texts(spark, sf).select("doc_id", T.normalized(F.col("text")).alias("d"))
     items = table(spark, sf, "benchmark").select("item_id", T.normalized(F.col("text")).alias("b")).where(F.length("b") >= 40)
     # an inner shingle of the item, whose tokens are whole in the document wherever the item stands
     items = items.withColumn("t", F.split("b", " "))
@@ -224,7 +229,7 @@ def match_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _repeated(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.repetitions(table(spark, sf, "documents"))
+    return overlap.repetitions(_texts(spark, sf))
 
 
 def internal_repetition(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,7 +285,7 @@ def rerank_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_queries(table(spark, sf, "documents"))
+    return search.search_queries(_texts(spark, sf))
 
 
 def html_title(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,7 +294,7 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def html_main_text(spark: SparkSession, sf: str) -> DataFrame:
-    return H.main_text(table(spark, sf, "pages"), "html").select("page_id", "main_text")
+    return H.main_text(_texts(spark, sf, "pages"), "html").select("page_id", "main_text")
 
 
 def expand_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,7 +317,7 @@ def openalex_abstract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks.word_chunks(table(spark, sf, "documents")).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "text", F.size("tokens").cast("long").alias("n_terms"))
+    return chunks.word_chunks(_texts(spark, sf)).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "text", F.size("tokens").cast("long").alias("n_terms"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,7 +348,7 @@ def presentation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paragraph_of_sentence(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = _texts(spark, sf)
     out = P.paragraph_ids(P.sentences(docs), P.paragraphs(docs))
     return out.groupBy("paragraph_id").agg(F.count("*").alias("n"))
 
@@ -354,8 +359,11 @@ def web_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _web_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The items near a document, dealt to services, each with the address of a page."""
+    urls = table(spark, sf, "pages").groupBy("page_id").agg(F.min("url").alias("_url"))
     kind = F.get(F.array(*[F.lit(s) for s in retrieval.CASCADE]), F.pmod(F.col("ref_id"), F.lit(3)).cast("int"))
-    return _near_items(spark, sf).drop("source").withColumn("source", kind)
+    own = _near_items(spark, sf).drop("source").withColumn("source", kind)
+    return own.join(urls, own["ref_id"] == urls["page_id"], "left").withColumn("url", F.coalesce("_url", "url")).drop("page_id", "_url")
 
 
 def web_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,12 +373,26 @@ def web_references(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "ref_id", "title", "url", "text", "source", F.col("position").cast("long").alias("place"))
 
 
+def topic_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source of documents as a topic: documents of three languages as papers of three services, the rest as web pages.
+
+    Services are asked in order while those before gave fewer than 24; of documents with one address the
+    first stays.
+    """
+    docs = table(spark, sf, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
+    url = F.concat(F.lit("https://papers.example/"), (F.col("doc_id") % 700).cast("string"))
+    of = lambda rows, name: rows.select(F.col("source").alias("query"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("ref_id"), F.lit("").alias("title"), url.alias("url"), F.lit("").alias("text"), F.lit(name).alias("source"))
+    papers = {name: of(docs.where(F.col("lang") == lang), name) for name, lang in (("Crossref", "fr"), ("arXiv", "de"), ("DOAJ", "es"))}
+    web = of(docs.where(~F.col("lang").isin("fr", "de", "es")), "Wikipedia")
+    return retrieval.topic_tables(papers, web).select("query", "ref_id", "source", F.col("position").cast("long").alias("place"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, document_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
         shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, match_labels, doc_overlap_pct, internal_repetition, merged_ranges,
         interval_coverage, appraisal_bands, suggestions, reference_dedup, page_reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
-        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references,
+        chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references, topic_sources,
     )
 }

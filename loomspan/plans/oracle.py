@@ -209,4 +209,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, research_chunk ORDER BY
 SELECT pair_id, research_chunk, reference_chunk, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.12""",
     "tone_rewrite": tone("formal"),
     "presentation": f"SELECT doc_id, CASE WHEN length(text) > 170 THEN rtrim(left(text, 167)) || '...' ELSE text END AS preview, left({collapse('lower(text)')}, 1200) AS cache_key, lang || '; ' || source || '; x; ...' AS issues FROM documents",
+    "topic_sources": """WITH r AS (SELECT source AS query, doc_id, 'https://papers.example/' || (doc_id % 700) AS url,
+CASE lang WHEN 'fr' THEN 'Crossref' WHEN 'de' THEN 'arXiv' WHEN 'es' THEN 'DOAJ' ELSE 'Wikipedia' END AS source, CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS place_of FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+counts AS (SELECT query, place_of, count(*) AS n FROM r WHERE place_of < 3 GROUP BY ALL),
+gate AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query ORDER BY place_of ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it FROM counts),
+taken AS (SELECT r.* FROM r LEFT JOIN gate g USING (query, place_of) WHERE place_of = 3 OR before_it < 24),
+firsts AS (SELECT * FROM taken QUALIFY row_number() OVER (PARTITION BY query, url ORDER BY place_of, doc_id) = 1),
+few AS (SELECT *, row_number() OVER (PARTITION BY query, place_of = 3 ORDER BY place_of, doc_id) AS n FROM firsts QUALIFY n <= 24),
+p AS (SELECT *, least(3, sum((place_of = 3)::INTEGER) OVER (PARTITION BY query)) AS pages FROM few),
+parts AS (SELECT *, CASE WHEN place_of = 3 THEN CASE WHEN n <= 3 THEN 1 ELSE 2 END WHEN n <= 24 - pages THEN 0 ELSE 2 END AS part FROM p)
+SELECT query, doc_id AS ref_id, source, row_number() OVER (PARTITION BY query ORDER BY part, place_of, doc_id) AS place FROM parts QUALIFY place <= 24""",
 }

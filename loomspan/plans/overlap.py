@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,17 +12,15 @@ from loomspan.functions import similarity as S
 from loomspan.functions import text as T
 from loomspan.operators import containment, index, intervals
 from loomspan.operators import spans as P
-from loomspan.session import settled
+from loomspan.session import settled, spread
 
 #: Spans of a target that say which concepts it has, and the length of a source's kept text.
 PRIOR_SPANS, BLOB = 260, 300_000
-#: Spans and scored pairs are read several times; they are kept until ``release`` or until the caller clears the cache.
-KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 def target_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    own = P.pinned(df.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")), _c=T.normalize_extracted(F.col("_t")))
-    return P.pinned(own, text=T.strip(T.repair_spaced(F.col("_c")))).select("doc_id", "text").persist(KEEP)
+    own = P.pinned(spread(df.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))), _c=T.normalize_extracted(F.col("_t")))
+    return P.pinned(own, text=T.strip(T.repair_spaced(F.col("_c")))).select("doc_id", "text")
 
 
 def reference_rows(refs: DataFrame) -> DataFrame:
@@ -52,9 +49,9 @@ class References:
     @classmethod
     def of(cls, refs: DataFrame) -> References:
         grouped = "group_id" in refs.columns
-        rows = reference_rows(refs)
+        rows = settled(reference_rows(refs))
         spans = P.spans(rows.select(F.col("ref_id").alias("_r"), "text"), "_r", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
-        spans = spans.join(rows.drop("text"), "ref_id").persist(KEEP)
+        spans = settled(spans.join(rows.drop("text"), "ref_id"))
         return cls(rows, spans, index.postings(spans, ["ref_id", "ref_span"], True, "group_id" if grouped else None), grouped)
 
     def save(self, name: str, buckets: int = 64) -> None:
@@ -109,10 +106,11 @@ def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id",
     theirs = refs if isinstance(refs, References) else References.of(refs)
     grouped = theirs.grouped
     floor = 0.82 * min_score
-    texts = target_texts(targets, key, text)
-    own = P.spans(texts, featured=True).repartition("doc_id", "span_id").persist(KEEP)
+    texts = settled(target_texts(targets, key, text))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = settled(P.spans(texts, featured=True).repartition(parts, "doc_id", "span_id"))
     found = index.candidates(own, theirs.postings, concepts, grouped=grouped)
-    found = index.promising(found, own, theirs.spans, floor).select("doc_id", "span_id", "ref_id", "ref_span", "rank").persist(KEEP)
+    found = settled(index.promising(found, own, theirs.spans, floor).select("doc_id", "span_id", "ref_id", "ref_span", "rank"))
     right = theirs.spans.select("ref_id", "ref_span", "group_id", F.col("norm").alias("r_norm"), F.col("raw").alias("r_raw"), F.col("content").alias("r_content"), "title", "url", "source")
     pairs = found.join(right, ["ref_id", "ref_span"])
     left = own.select("doc_id", "span_id", F.col("norm").alias("l_norm"), F.col("raw").alias("l_raw"), F.col("content").alias("l_content"))
@@ -120,7 +118,7 @@ def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id",
     prior = source_priors(own.join(found.select("doc_id").distinct(), "doc_id", "left_semi"), theirs.spans, grouped)
     pairs = pairs.join(left, ["doc_id", "span_id"]).join(prior, ["doc_id", "title", "url", "source"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
     kept = ["doc_id", "span_id", "ref_id", "ref_span", "rank", "title", "url", "source", "prior", "r_raw"]
-    scored = S.scored_pairs(pairs, floor, kept)
+    scored = settled(S.scored_pairs(pairs, floor, kept))
 
     w = Window.partitionBy("doc_id", "span_id")
     first = F.row_number().over(w.orderBy(F.desc("score"), "rank"))
@@ -133,7 +131,7 @@ def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id",
     ).where(F.col("b.score") >= min_score)
 
     best = gathered.join(own.select("doc_id", "span_id", "raw", "norm", "start", "end"), ["doc_id", "span_id"])
-    chosen = best.select("*", "b.title", "b.url", "b.source").persist(KEEP)
+    chosen = best.select("*", "b.title", "b.url", "b.source")
     named = (F.col("title") != "") | (F.col("url") != "") | (F.col("source") != "")
     asked = chosen.where(named & (F.length("norm") >= 40)).select("doc_id", "span_id", "title", "url", "source", "norm")
     asked = asked.withColumn("group_id", F.col("doc_id").cast("string") if grouped else F.lit(None).cast("string"))
@@ -157,24 +155,24 @@ def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id",
         F.col("ranges").alias("highlight_ranges"), "absolute_ranges", F.substring("b.r_raw", 1, 1400).alias("source_excerpt"), percent(F.col("share")).alias("coverage_ratio"),
         percent(F.col("b.prior")).alias("source_relevance"), percent(F.col("score")).alias("score_pct"), percent(F.col("b.token_cos")).alias("token_cosine"), percent(F.col("b.sequence")).alias("sequence"),
         percent(F.col("b.concept")).alias("concept_overlap"), percent(F.col("b.longest_ratio")).alias("longest_block"),
-    ).withColumn("rank", rank).withColumnRenamed("score_pct", "score").persist(KEEP)
+    ).withColumn("rank", rank).withColumnRenamed("score_pct", "score")
+    matches = settled(matches)
 
     placed = F.when(F.size("absolute_ranges") > 0, F.col("absolute_ranges")).otherwise(F.array(F.struct(F.col("text_start").alias("s"), F.col("text_end").alias("e"))))
     rows = matches.select("doc_id", F.explode(placed).alias("_r")).select("doc_id", F.col("_r.s").alias("start"), F.col("_r.e").alias("end"))
     results = _results(texts, theirs.spans, matches, rows, grouped)
     shown = matches if max_matches <= 0 else matches.select("*").where(F.col("rank") <= max_matches)
-    results.kept = shown.kept = [texts, own, found, chosen, matches, *([] if theirs is refs else [theirs.spans])]  # what release() frees
+    results.kept = shown.kept = [texts, own, found, scored, matches, *([] if theirs is refs else [theirs.rows, theirs.spans])]  # what release() lets go
     return shown, results
 
 
 def release(results: DataFrame) -> None:
-    """Free what ``check`` keeps for its two tables; to be called once these have been written."""
-    for frame in getattr(results, "kept", ()):
-        frame.unpersist()
+    """Let go of what ``check`` has written for its two tables, once these are no longer read: see ``settled``."""
+    results.kept = []
 
 
 def finished(frame: DataFrame) -> DataFrame:
-    """One of the tables of ``check`` computed and written, and what was kept for it freed."""
+    """One of the tables of ``check`` computed and written, and what was written for it let go."""
     out = settled(frame)
     release(frame)
     return out

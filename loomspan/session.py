@@ -32,11 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its scan has fewer.
+
+    A table of one small file is one task, however costly its texts are. Large tables come in many splits
+    and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the folder in spark.checkpoint.dir, its lineage cut.
 
     For tables that a long plan reads many times: without this the plan holds theirs as often. Where the
     setting is absent a temporary folder is set if all tasks run in this process; else it is an error.
+    Nothing stays in memory; the files go when the last reference to the table has gone, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:

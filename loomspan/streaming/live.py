@@ -10,15 +10,17 @@ from pyspark.sql.streaming import DataStreamWriter
 from loomspan.plans import overlap
 
 
-def check_stream(docs: DataFrame, refs: DataFrame, sink: Callable[[DataFrame, int], None], min_score: float = 0.58) -> DataStreamWriter:
+def check_stream(docs: DataFrame, refs: DataFrame | overlap.References, sink: Callable[[DataFrame, int], None], min_score: float = 0.58) -> DataStreamWriter:
     """Each micro-batch of ``docs`` (doc_id, text) goes through the check; ``sink`` gets its results and number.
 
-    Batches are independent: what a check keeps is freed when its sink returns. The sink should be idempotent by
-    the batch's number, as a batch may come again after a failure.
+    The references are cut and indexed once, before the first batch. Batches are independent: what a check
+    writes is removed when its sink returns. The sink should be idempotent by the batch's number, as a batch
+    may come again after a failure.
     """
+    fixed = refs if isinstance(refs, overlap.References) else overlap.References.of(refs)
 
     def run(batch: DataFrame, number: int) -> None:
-        results = overlap.check(batch, refs, min_score=min_score)[1]
+        results = overlap.check(batch, fixed, min_score=min_score)[1]
         try:
             sink(results, number)
         finally:
