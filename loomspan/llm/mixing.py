@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ASCII blanks; null and blank texts have size 0 and nothing is taken of them. A null source is a
     source of its own, last in the order; ``weights`` repeat over the sources in code point order.
     Repeated rows are documents of their own. Reruns agree: order and choice come from hashes of the
-    id and ``seed``, and a null id counts as an id. An empty table gives no rows; other columns are
+    id and ``seed``; rows without an id are told apart by their place in the table. An empty table gives no rows; other columns are
     left out. A single task reads the table of sources, one row each; a source's quota is shared
     between clusters of ``cluster`` shards (of ``shard_rows`` documents each) and a cluster's between
     its shards, so no task reads all shards of a large source. The rows of a large source are split
@@ -100,7 +100,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     identity = F.coalesce(F.col("doc_id"), F.lit(-1))
     order = F.xxhash64(identity, F.lit(seed))
     dealt = split_join(rows, sources, "key", "n", F.xxhash64("row"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(identity, F.lit(seed + 1)), "shards").cast("int"))
+    # rows without an id are dealt out by their place, rows that share one by their size
+    apart = F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.col("size"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(identity, apart, F.lit(seed + 1)), "shards").cast("int"))
     by_shard = shared_checkpoint(dealt.groupBy("key", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn("cluster", F.floor(F.col("shard") / cluster).cast("int")))
 
     def share(pdf: pd.DataFrame) -> pd.DataFrame:
