@@ -10,7 +10,7 @@ from math import sqrt
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -24,17 +24,42 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def cosine_of_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str, term: str, count: str) -> DataFrame:
+def cosine_of_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str, term: str, count: str, floor: float = 0.0) -> DataFrame:
     """(left_key, right_key, cosine) for all pairs with a term in common; the others' cosine is 0.
 
-    Both frames have a row per key and term with its count. One join on the term and one partial
-    aggregate; terms that are very frequent on both sides are split by the adaptive skew join.
+    Both frames have a row per key and term with its count. Without a ``floor`` one join on the term and one
+    partial aggregate make every such pair; terms that are very frequent on both sides are split by the
+    adaptive skew join. With a floor only the pairs that may reach it are made: see ``_promising``.
     """
-    norm = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col(count).cast("double") * F.col(count))).alias("_norm"))
+    norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col(count).cast("double") * F.col(count))).alias(name))
     l, r = left.select(left_key, term, F.col(count).cast("double").alias("_l")), right.select(right_key, term, F.col(count).cast("double").alias("_r"))  # noqa: E741
-    dots = l.join(r, term).groupBy(left_key, right_key).agg(F.sum(F.col("_l") * F.col("_r")).alias("_dot"))
-    out = dots.join(norm(left, left_key).withColumnRenamed("_norm", "_nl"), left_key).join(norm(right, right_key).withColumnRenamed("_norm", "_nr"), right_key)
-    return out.select(left_key, right_key, F.least(F.lit(1.0), F.col("_dot") / (F.col("_nl") * F.col("_nr"))).alias("cosine"))
+    norms = norm(left, left_key, "_nl"), norm(right, right_key, "_nr")
+    if floor > 0:
+        pairs = _promising(l.join(norms[0], left_key).select(left_key, term, (F.col("_l") / F.col("_nl")).alias("_w")), r.join(norms[1], right_key).select(right_key, term, (F.col("_r") / F.col("_nr")).alias("_w")), left_key, right_key, term, floor)
+        dots = pairs.join(l, left_key).join(r, [right_key, term])
+    else:
+        dots = l.join(r, term)
+    dots = dots.groupBy(left_key, right_key).agg(F.sum(F.col("_l") * F.col("_r")).alias("_dot"))
+    out = dots.join(norms[0], left_key).join(norms[1], right_key)
+    return out.select(left_key, right_key, F.least(F.lit(1.0), F.col("_dot") / (F.col("_nl") * F.col("_nr"))).alias("cosine")).where(F.col("cosine") >= floor)
+
+
+def _promising(left: DataFrame, right: DataFrame, left_key: str, right_key: str, term: str, floor: float) -> DataFrame:
+    """(left_key, right_key) of the pairs of unit vectors whose cosine may reach ``floor``.
+
+    Terms are in one order, rare ones first. What a vector has from some term on adds at most its norm to
+    any product, so once that is below the floor, a pair that reaches it has met before: the first term
+    that both have lies in the prefix of either. Only prefixes are joined, and frequent terms are last.
+    Terms that the other side lacks are left out, as they add nothing.
+    """
+    seen = lambda df, name: df.groupBy(term).agg(F.count("*").alias(name))
+    order = seen(left, "_a").join(seen(right, "_b"), term).select(term, (F.col("_a") * F.col("_b")).alias("_n"))
+
+    def prefix(df: DataFrame, key: str) -> DataFrame:
+        rest = F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key).orderBy("_n", term).rowsBetween(0, Window.unboundedFollowing))
+        return df.join(order, term).withColumn("_rest", rest).where(F.col("_rest") >= (floor - 1e-9) * (floor - 1e-9)).select(key, term)
+
+    return prefix(left, left_key).join(prefix(right, right_key), term).select(left_key, right_key).distinct()
 
 
 def _cosine(a: Counter, b: Counter) -> float:

@@ -157,9 +157,10 @@ def lexical_score(spark: SparkSession, sf: str) -> DataFrame:
     return of.select("doc_id", "item_id", F.round(score, 5).alias("score"))
 
 
-def token_cosine(spark: SparkSession, sf: str) -> DataFrame:
+def token_cosine(spark: SparkSession, sf: str, floor: float = 0.0) -> DataFrame:
+    """Cosines of concepts of every pair with one in common, or of the pairs that reach ``floor``."""
     docs, items = _concept_terms(spark, sf, "documents", "doc_id"), _concept_terms(spark, sf, "benchmark", "item_id")
-    out = S.cosine_of_rows(docs, items, "doc_id", "item_id", "term", "n")
+    out = S.cosine_of_rows(docs, items, "doc_id", "item_id", "term", "n", floor)
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"), F.round(T.angle_similarity(F.col("cosine")), 5).alias("angle"), T.match_label(F.col("cosine")).alias("label"))
 
 
@@ -170,17 +171,27 @@ def _gram_counts(norms: DataFrame, key: str) -> DataFrame:
     return pieces.select(key, F.explode(T.char_grams(F.col("piece"))).alias("gram")).select(key, F.xxhash64("gram").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def char_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    """Cosines of the 4-grams of whole normal forms.
+def char_cosine(spark: SparkSession, sf: str, floor: float = 0.0) -> DataFrame:
+    """Cosines of the 4-grams of whole normal forms, of every pair with one in common or of those that reach ``floor``.
 
     They are cut from pieces that overlap by three characters: a substring is found by counting from the
     start of its text, so the grams of a long text in one go cost the square of its length.
     """
     grams = lambda name, key: _gram_counts(P.pinned(table(spark, sf, name).select(key, "text"), n=T.normalized(F.col("text"))), key)
-    out = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n")
+    out = S.cosine_of_rows(grams("documents", "doc_id"), grams("benchmark", "item_id"), "doc_id", "item_id", "term", "n", floor)
     return out.select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
 
 
+def token_cosine_above(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of ``token_cosine`` from 0.5 on; weaker ones are never made."""
+    return token_cosine(spark, sf, 0.5)
+
+
+def char_cosine_above(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of ``char_cosine`` from 0.5 on; weaker ones are never made."""
+    return char_cosine(spark, sf, 0.5)
+
+
 def concept_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     sets = lambda name, key: _concept_terms(spark, sf, name, key).drop("n")
     sizes = lambda name, key: sets(name, key).groupBy(key).agg(F.count("*").alias(f"_{key}"))
@@ -391,7 +402,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_text, token_stats, stem_vocab, concept_freq, word_shingles, document_shingles, char_grams, query_keywords, noise_paragraphs, sentence_spans, paragraph_windows, distributed_sample, analysis_text,
-        shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, char_cosine, concept_jaccard, verbatim_containment, hybrid_matches, match_labels, doc_overlap_pct, internal_repetition, merged_ranges,
+        shingle_candidates, weighted_candidates_top48, source_prior, lexical_score, token_cosine, token_cosine_above, char_cosine, char_cosine_above, concept_jaccard, verbatim_containment, hybrid_matches, match_labels, doc_overlap_pct, internal_repetition, merged_ranges,
         interval_coverage, appraisal_bands, suggestions, reference_dedup, page_reference_dedup, blend_sources, rerank_overlap, search_queries, html_title, html_main_text, expand_references, url_kind, openalex_abstract, word_chunks,
         chunk_pairs, long_doc_reduce, file_compare, tone_rewrite, presentation, paragraph_of_sentence, web_choice, web_references, topic_sources,
     )

@@ -220,3 +220,4 @@ p AS (SELECT *, least(3, sum((place_of = 3)::INTEGER) OVER (PARTITION BY query))
 parts AS (SELECT *, CASE WHEN place_of = 3 THEN CASE WHEN n <= 3 THEN 1 ELSE 2 END WHEN n <= 24 - pages THEN 0 ELSE 2 END AS part FROM p)
 SELECT query, doc_id AS ref_id, source, row_number() OVER (PARTITION BY query ORDER BY part, place_of, doc_id) AS place FROM parts QUALIFY place <= 24""",
 }
+ORACLE_SQL |= {f"{name}_above": f"SELECT * FROM ({ORACLE_SQL[name]}) WHERE cosine >= 0.5" for name in ("token_cosine", "char_cosine")}

@@ -71,3 +71,15 @@ def test_contained_rows(spark):
 def test_many_patterns_make_an_automaton(size):
     patterns = {f"w{i}x" for i in range(size)}
     assert containment.found_in(patterns, "aw1xw2x w39") == {"w1x", "w2x"}
+
+
+@pytest.mark.parametrize("floor", [0.05, 0.3, 0.7, 0.95])
+def test_cosines_from_a_floor_on(spark, floor):
+    rnd = random.Random(4)
+    side = lambda n, of: [(k, t, rnd.randint(1, 4)) for k in range(n) for t in rnd.sample(range(of), rnd.randint(1, 12))]
+    left = side(60, 30)
+    right = side(50, 35) + [(100 + k, t, n) for k, t, n in left if k < 20 and rnd.random() < 0.9] + [(200, 99, 1)]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, term long, n long")
+    whole = {(r.a, r.b): r.cosine for r in S.cosine_of_rows(frame(left, "a"), frame(right, "b"), "a", "b", "term", "n").collect()}
+    got = {(r.a, r.b): r.cosine for r in S.cosine_of_rows(frame(left, "a"), frame(right, "b"), "a", "b", "term", "n", floor).collect()}
+    assert got == {k: pytest.approx(x) for k, x in whole.items() if x >= floor} and 0 < len(got) < len(whole)
