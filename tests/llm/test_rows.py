@@ -130,7 +130,7 @@ def test_mixing_takes_what_blocks_say(spark, tmp_path, cluster):
     got = mixing.mix(docs, block=16, shard_rows=12, cluster=cluster).collect()
     ids = F.coalesce("doc_id", F.lit(-1))
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
-    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key.alias("key"), F.regexp_count("text", F.lit(mixing.WORD)).alias("size"), F.xxhash64(ids, F.lit(7)).alias("order"), F.xxhash64(ids, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.regexp_count("text", F.lit(mixing.WORD)).cast("long")), F.lit(8)).alias("deal")).collect()
+    own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key.alias("key"), F.regexp_count("text", F.lit(mixing.WORD)).alias("size"), F.xxhash64(ids, F.lit(7)).alias("order")).withColumn("deal", F.xxhash64(ids, F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.col("size").cast("long")), F.lit(8))).collect()
     per = collections.defaultdict(list)
     for r in own:
         per[r.key].append(r)
@@ -299,10 +299,10 @@ def test_fingerprint_samples_are_the_least_of_all_draws(spark):
 
 
 def test_mixing_deals_rows_without_id_over_shards(spark, tmp_path):
-    """One id on all rows, or none: many shards all the same, and the quota whole."""
+    """One id on all rows, or none: many shards all the same, and the quota whole but for a word a shard."""
     rows = [(None, " ".join(["w"] * (1 + i % 40)), "a") for i in range(600)] + [(7, " ".join(["w"] * (1 + i % 40)), "b") for i in range(600)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
     got = mixing.mix(spark.read.parquet(str(tmp_path / "d")), shard_rows=20).collect()
     for source in "ab":
         own = [r for r in got if r.source == source]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(r.taken <= 3 * r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 30 and all(r.taken <= 3 * r.size for r in own)
