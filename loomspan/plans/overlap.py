@@ -51,7 +51,7 @@ class References:
         grouped = "group_id" in refs.columns
         rows = settled(reference_rows(refs))
         spans = P.spans(rows.select(F.col("ref_id").alias("_r"), "text"), "_r", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
-        spans = settled(spans.join(rows.drop("text"), "ref_id"))
+        spans = settled(spans.drop("kind", "tokens").join(rows.drop("text"), "ref_id"))
         return cls(rows, spans, index.postings(spans, ["ref_id", "ref_span"], True, "group_id" if grouped else None), grouped)
 
     def save(self, name: str, buckets: int = 64) -> None:
@@ -108,7 +108,7 @@ def check(targets: DataFrame, refs: DataFrame | References, key: str = "doc_id",
     floor = 0.82 * min_score
     texts = settled(target_texts(targets, key, text))
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = settled(P.spans(texts, featured=True).repartition(parts, "doc_id", "span_id"))
+    own = settled(P.spans(texts, featured=True).drop("kind", "tokens").repartition(parts, "doc_id", "span_id"))
     found = index.candidates(own, theirs.postings, concepts, grouped=grouped)
     found = settled(index.promising(found, own, theirs.spans, floor).select("doc_id", "span_id", "ref_id", "ref_span", "rank"))
     right = theirs.spans.select("ref_id", "ref_span", "group_id", F.col("norm").alias("r_norm"), F.col("raw").alias("r_raw"), F.col("content").alias("r_content"), "title", "url", "source")
