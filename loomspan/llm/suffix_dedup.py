@@ -19,7 +19,9 @@ the unit that is exchanged and sorted:
    their strings, one run per distinct stretch, and those strings that meet are repeated.
 
 The runs of each task are refined so among themselves before anything is exchanged: of those that stay
-together one stands for all, so the most frequent passage sends a few runs per task. Both exchanges
+together one stands for all, and of a bucket whose runs differ there a few stay in it while the rest,
+which send their strings anyway, are dealt over the cluster. Strings are sorted so, too. So the most
+frequent passage, whatever its surroundings, sends a few rows per task into one bucket. Both exchanges
 carry names and positions, never texts. Names that decide are pairs of 64-bit digests.
 """
 
@@ -37,7 +39,8 @@ from loomspan.llm.common import shared_checkpoint, table
 
 WINDOW = 96
 CHUNK = 1 << 21  # bytes refined at once
-RUNS = 1 << 20  # runs sorted before they are sent
+RUNS = 1 << 20  # runs, or strings, sorted before they are sent
+KINDS = 8  # different runs that one sort sends into one bucket
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -116,20 +119,33 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
         yield np.frombuffer(b"".join(parts), np.uint8), texts
 
 
-def refined(row: np.ndarray, place: np.ndarray, shared: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+def refined(row: np.ndarray, place: np.ndarray, shared: np.ndarray, whole: np.ndarray, kinds: int | None = None, names: tuple[str, str, str] = ("place", "shared", "whole")) -> pa.RecordBatch:
     """Runs with the number that each stands for: 1, 2 for more, and 0 for those that another stands for.
 
     Sorted by bucket, then by the name that refines it. A run that another stands for is repeated
     whatever the rest of the corpus holds, so its key is changed to be dealt out by its place.
+
+    Of a bucket with more than ``kinds`` different names only that many stay in it. They show that
+    its runs differ, so the others send their strings whatever else is in it: they are dealt out by
+    their place, too, with a negative number and their bucket in place of the name.
     """
     order = np.lexsort((whole, shared))
     row, place, shared, whole = row[order], place[order], shared[order], whole[order]
-    new = np.append(True, (shared[1:] != shared[:-1]) | (whole[1:] != whole[:-1]))[: len(row)]
+    bucket = np.append(True, shared[1:] != shared[:-1])[: len(row)]
+    new = bucket | np.append(True, whole[1:] != whole[:-1])[: len(row)]
     first = np.flatnonzero(new)
     seen = np.zeros(len(row), np.int8)
     seen[first] = np.minimum(np.diff(np.append(first, len(row))), 2)
-    shared = np.where(new, shared, named(row.view(np.uint64), place.view(np.uint64), 5))
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(seen)], names=["row", "place", "shared", "whole", "seen"])
+    dealt = ~new
+    if kinds is not None:
+        nth = np.cumsum(new)
+        begin = np.flatnonzero(bucket)
+        sure = new & (nth - np.repeat(nth[begin], np.diff(np.append(begin, len(row)))) >= kinds)
+        seen[sure] *= -1
+        whole = np.where(sure, shared, whole)
+        dealt |= sure
+    shared = np.where(dealt, named(row.view(np.uint64), place.view(np.uint64), 5), shared)
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(seen)], names=["row", *names, "seen"])
 
 
 def runs_of(length: int, window: int):
@@ -141,10 +157,10 @@ def runs_of(length: int, window: int):
             held.append(part)
             size += len(part[0])
             if size >= RUNS:
-                yield refined(*map(np.concatenate, zip(*held, strict=True)))
+                yield refined(*map(np.concatenate, zip(*held, strict=True)), kinds=KINDS)
                 held, size = [], 0
         if held:
-            yield refined(*map(np.concatenate, zip(*held, strict=True)))
+            yield refined(*map(np.concatenate, zip(*held, strict=True)), kinds=KINDS)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for data, texts in pieces(batches, length):
@@ -171,9 +187,20 @@ def runs_of(length: int, window: int):
 
 
 def probes_of(length: int):
-    """row, text, unsettled runs -> a row per start of a string: its name, its anchor's, and where it stands."""
+    """row, text, unsettled runs -> a row per start of a string: its name, its anchor's, and the number it stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in found(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= RUNS:
+                yield refined(*map(np.concatenate, zip(*held, strict=True)), names=("lo", "name", "side"))
+                held, size = [], 0
+        if held:
+            yield refined(*map(np.concatenate, zip(*held, strict=True)), names=("lo", "name", "side"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
             for i in range(b.num_rows):
                 raw = np.frombuffer(b.column(1)[i].as_buffer(), np.uint8)
@@ -190,9 +217,9 @@ def probes_of(length: int):
                     start = np.repeat(lo[f:z], k) + step
                     name = own.name(start - base, length, 4)
                     side = named(np.repeat(shared[f:z], k), (np.repeat(dist[f:z], k) - step).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(start)), pa.array(start), pa.array(name.view(np.int64)), pa.array(side.view(np.int64))], names=["row", "lo", "name", "side"])
+                    yield np.full(len(start), b.column(0)[i].as_py()), start, name, side
 
-    return run, "row long, lo long, name long, side long"
+    return run, "row long, lo long, name long, side long, seen byte"
 
 
 def removed(raw: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
@@ -220,9 +247,12 @@ def sorted_runs(own: DataFrame, length: int, window: int) -> DataFrame:
         F.min("whole").over(side).alias("low"),
         F.max("whole").over(side).alias("high"),
         F.lag("whole").over(side.orderBy("whole")).alias("before"),
-    ).where("seen = 0 OR alike > 1 OR low <> high")
+    ).where("seen <= 0 OR alike > 1 OR low <> high")
     # runs that repeat whole are settled; where runs differ, one of each kind sends its strings
-    seen = seen.withColumn("settled", (F.col("seen") == 0) | (F.col("alike") > 1)).withColumn("sends", (F.col("low") != F.col("high")) & F.coalesce(F.col("before") != F.col("whole"), F.lit(True)))
+    alone = F.col("seen") < 0
+    settled = F.col("seen").isin(0, -2) | ~alone & (F.col("alike") > 1)
+    sends = alone | (F.col("seen") > 0) & (F.col("low") != F.col("high")) & F.coalesce(F.col("before") != F.col("whole"), F.lit(True))
+    seen = seen.withColumn("settled", settled).withColumn("sends", sends).withColumn("shared", F.when(alone, F.col("whole")).otherwise(F.col("shared")))
     return seen.where("settled OR sends").groupBy("row").agg(
         F.collect_list(F.when(F.col("settled"), F.col("place"))).alias("settled"),
         F.collect_list(F.when(F.col("sends"), F.struct("place", "shared"))).alias("sent"),
@@ -248,7 +278,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = own.join(found.where(F.size("sent") > 0).select("row", "sent"), "row")
     # doc_id goes along, unused, so that both joins read one exchange of the texts
     strings = asked.select("row", "text", "sent", "doc_id").mapInArrow(probe, schema).repartition("name")
-    met = strings.select("row", "lo", F.count("*").over(Window.partitionBy("name", "side")).alias("n")).where("n > 1")
+    met = strings.select("row", "lo", "seen", F.sum("seen").over(Window.partitionBy("name", "side")).alias("n")).where("seen = 0 OR n > 1")
     starts = met.groupBy("row").agg(F.collect_list("lo").alias("starts"))
     joined = own.join(found.where(F.size("settled") > 0).select("row", "settled"), "row", "left").join(starts, "row", "left")
 

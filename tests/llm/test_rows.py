@@ -15,7 +15,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from loomspan.llm import fingerprints, language_id, line_dedup, mixing, sentencepiece_scan, simhash, warc
+from loomspan.llm import fingerprints, language_id, line_dedup, mixing, sentencepiece_scan, simhash, suffix_dedup, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -306,3 +306,31 @@ def test_mixing_deals_rows_without_id_over_shards(spark, tmp_path):
     for source in "ab":
         own = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 30 and all(r.taken <= 3 * r.size for r in own)
+
+
+def test_suffix_buckets_of_one_passage_are_dealt(spark, tmp_path, monkeypatch):
+    """Many texts with their own beginnings and ends around one passage: the same removals, no bucket with a row of each."""
+    rnd = random.Random(7)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, other = own(1500), own(700)
+    texts = [own(rnd.randrange(100, 300)) + passage + own(rnd.randrange(100, 300)) for _ in range(300)]
+    texts += [own(150) + other[:650] + own(100), own(90) + other + own(100), other] + texts[:3]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    length = 400
+    seen = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        want[k] = (int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest())
+    for runs in (suffix_dedup.RUNS, 900):
+        monkeypatch.setattr(suffix_dedup, "RUNS", runs)
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+    monkeypatch.undo()
+    run, schema = suffix_dedup.runs_of(length, suffix_dedup.WINDOW)
+    raw = docs.select(F.col("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
+    largest = raw.mapInArrow(run, schema).groupBy("shared").count().agg(F.max("count")).first()[0]
+    assert largest <= suffix_dedup.KINDS * raw.rdd.getNumPartitions()
