@@ -122,7 +122,7 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.
 def refined(row: np.ndarray, place: np.ndarray, shared: np.ndarray, whole: np.ndarray, kinds: int | None = None, names: tuple[str, str, str] = ("place", "shared", "whole")) -> pa.RecordBatch:
     """Runs with the number that each stands for: 1, 2 for more, and 0 for those that another stands for.
 
-    Sorted by bucket, then by the name that refines it. A run that another stands for is repeated
+    Sorted by bucket, then by the name that refines it, and returned in the given order. A run that another stands for is repeated
     whatever the rest of the corpus holds, so its key is changed to be dealt out by its place.
 
     Of a bucket with more than ``kinds`` different names only that many stay in it. They show that
@@ -145,7 +145,9 @@ def refined(row: np.ndarray, place: np.ndarray, shared: np.ndarray, whole: np.nd
         whole = np.where(sure, shared, whole)
         dealt |= sure
     shared = np.where(dealt, named(row.view(np.uint64), place.view(np.uint64), 5), shared)
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(seen)], names=["row", *names, "seen"])
+    back = np.argsort(order)  # in the order of the texts, in which rows and places compress
+    columns = row, place, shared.view(np.int64), whole.view(np.int64), seen
+    return pa.RecordBatch.from_arrays([pa.array(c[back]) for c in columns], names=["row", *names, "seen"])
 
 
 def runs_of(length: int, window: int):
