@@ -14,10 +14,33 @@ PARAGRAPH = re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
 _STOP = frozenset(L.STOPWORDS)
 
 
+_HYPHEN = re.compile(rf"([A-Za-z])-{L.SPACE}*\n{L.SPACE}*([A-Za-z])")
+_NUMBER = re.compile(rf"(?m)^{L.SPACE}*[0-9]{{1,4}}{L.SPACE}*$")
+_ENDS = re.compile(rf"^{L.SPACE}+|{L.SPACE}+\Z")
+
+
 def collapse(text: str) -> str:
     return " ".join(text.split())
 
 
+def clean_block(text: str) -> str:
+    """The same as the column function of that name."""
+    for a, b in L.LETTERS.items():
+        text = text.replace(a, b)
+    text = _HYPHEN.sub(r"\1\2", text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = re.sub("[ \t]+", " ", _NUMBER.sub("", text))
+    return _ENDS.sub("", re.sub("\n{3,}", "\n\n", re.sub(" *\n *", "\n", text)))
+
+
+def sample_indexes(total: int, most: int) -> list[int]:
+    """The same as the column function of that name."""
+    if total <= 0 or most <= 0:
+        return []
+    if total <= most:
+        return list(range(total))
+    return sorted({round(i * ((total - 1) / max(most - 1, 1))) for i in range(most)})
+
+
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 

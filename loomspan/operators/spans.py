@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicon as L
@@ -115,7 +115,15 @@ def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paragraph_ids(sents: DataFrame, paras: DataFrame) -> DataFrame:
-    """The first paragraph that each sentence begins in, or -1."""
-    p = paras.select(F.col("doc_id").alias("_d"), F.col("span_id").alias("_id"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    on = (F.col("doc_id") == F.col("_d")) & (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))
-    return sents.join(p, on, "left").groupBy("doc_id", "span_id").agg(F.coalesce(F.min("_id"), F.lit(-1)).alias("paragraph_id"))
+    """The first paragraph that each sentence begins in, or -1.
+
+    One sorted sweep per document, backwards over the sentences' beginnings and the paragraphs' ends: as
+    later paragraphs (and windows) end no earlier, the last end met belongs to the first paragraph that
+    is not over yet, and the sentence lies in it if it has begun. Ids must tell documents apart.
+    """
+    none = F.lit(None).cast("struct<id:int,start:int>")
+    points = sents.select("doc_id", "span_id", F.col("start").alias("_at"), F.lit(0).alias("_end"), F.lit(0).alias("_id"), none.alias("_p"))
+    ends = paras.select("doc_id", F.lit(None).cast("int").alias("span_id"), F.col("end").alias("_at"), F.lit(1).alias("_end"), F.col("span_id").alias("_id"), F.struct(F.col("span_id").alias("id"), "start").alias("_p"))
+    back = Window.partitionBy("doc_id").orderBy(F.desc("_at"), "_end", F.desc("_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = points.unionByName(ends).withColumn("_p", F.last("_p", ignorenulls=True).over(back)).where("_end = 0")
+    return swept.select("doc_id", "span_id", F.when(F.col("_p.start") <= F.col("_at"), F.col("_p.id")).otherwise(-1).alias("paragraph_id"))

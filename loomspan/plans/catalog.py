@@ -296,7 +296,7 @@ def rerank_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_queries(_texts(spark, sf))
+    return search.search_queries(_texts(spark, sf)).withColumn("position", F.col("position").cast("long"))
 
 
 def html_title(spark: SparkSession, sf: str) -> DataFrame:

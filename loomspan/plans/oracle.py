@@ -110,17 +110,68 @@ def chunk_rows(source: str, key: str, text: str, name: str) -> str:
 {name} AS (SELECT {key}, i // 190 AS chunk, i AS start_at, least(i + 260, len(w)) AS end_at, array_to_string(w[i + 1:i + 260], ' ') AS t, {terms} AS terms FROM {name}_h WHERE i // 190 < 180)"""
 
 
-def noise() -> str:
+def is_noise() -> str:
     t, toks = "t", tokens("t")
     digits = f"len(list_filter({toks}, lambda x: regexp_matches(x, '[0-9]')))"
     upper = f"len(list_filter(string_split({t}, ' '), lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x))"
     letters = f"coalesce(list_sum(list_transform({toks}, lambda x: length(x))), 0)"
     marked = " OR ".join(f"contains(lower({t}), {q(m)})" for m in L.NOISE_MARKS)
     n = f"len({toks})"
-    return f"""SELECT doc_id, (t = '' OR {marked} OR {n} = 0 OR {digits} >= 0.22 * {n} OR ({n} <= 20 AND {upper} >= greatest(4, {n} // 2)) OR ({n} >= 10 AND {letters} < 3.7 * {n} AND {digits} >= 2)) AS noise
+    return f"""(t = '' OR {marked} OR {n} = 0 OR {digits} >= 0.22 * {n} OR ({n} <= 20 AND {upper} >= greatest(4, {n} // 2)) OR ({n} >= 10 AND {letters} < 3.7 * {n} AND {digits} >= 2))"""
+
+
+def noise() -> str:
+    return f"""SELECT doc_id, {is_noise()} AS noise
 FROM (SELECT doc_id, {BODY} AS t FROM documents)"""
 
 
+def chunk_scores(source: str) -> str:
+    return f"""{chunk_rows(source, 'pair_id', 'text', 'x')}, {chunk_rows(source, 'pair_id', 'reference_text', 'y')},
+s AS (SELECT x.pair_id, x.chunk AS research_chunk, y.chunk AS reference_chunk, len(list_intersect(x.terms, y.terms)) AS hits, len(list_intersect(x.terms, y.terms)) / sqrt(len(x.terms) * greatest(1, len(y.terms))) AS score FROM x JOIN y ON x.pair_id = y.pair_id WHERE len(list_intersect(x.terms, y.terms)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, research_chunk ORDER BY hits DESC, reference_chunk) AS r FROM s)"""
+
+
+def kept_chunks(side: str, c: str) -> str:
+    """CTEs: the chunks of one side that stay, joined within the budget of words."""
+    return f"""{c}_n AS (SELECT pair_id, count(*) AS n FROM {c} GROUP BY pair_id),
+{c}_f AS (SELECT DISTINCT pair_id, unnest(CASE WHEN n > 4 THEN [0, n // 2, n - 1, n // 4, 3 * n // 4] ELSE [0, n // 2, n - 1] END) AS chunk FROM {c}_n),
+{c}_o AS (SELECT pair_id, {side} AS chunk, min(o) AS o FROM ordered GROUP BY ALL),
+{c}_p AS (SELECT pair_id, chunk, row_number() OVER (PARTITION BY pair_id ORDER BY o) AS p FROM {c}_o ANTI JOIN {c}_f USING (pair_id, chunk)),
+{c}_m AS (SELECT pair_id, chunk FROM {c}_p JOIN (SELECT pair_id, 14 - count(*) AS room FROM {c}_f GROUP BY pair_id) USING (pair_id) WHERE p <= room),
+{c}_k AS (SELECT pair_id, chunk, t, end_at - start_at AS m, coalesce(sum(end_at - start_at) OVER (PARTITION BY pair_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before_it FROM {c} JOIN (SELECT * FROM {c}_f UNION ALL SELECT * FROM {c}_m) USING (pair_id, chunk)),
+{c}_j AS (SELECT pair_id, string_agg(array_to_string(string_split(t, ' ')[1:least(m, 5200 - before_it)], ' '), chr(10) || chr(10) ORDER BY chunk) AS t, count(*) AS used FROM {c}_k WHERE before_it < 5200 GROUP BY pair_id)"""
+
+
+def reduced(long: int) -> str:
+    return f"""WITH {LIST_PAIRS}, n AS (SELECT *, len({words('text')}) AS a, len({words('reference_text')}) AS b FROM pairs), cut AS (SELECT * FROM n WHERE greatest(a, b) >= {long} AND least(a, b) > 0),
+{chunk_scores('cut')}, ordered AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, research_chunk) AS o FROM r WHERE r = 1 AND score >= 0.12),
+{kept_chunks('research_chunk', 'x')}, {kept_chunks('reference_chunk', 'y')},
+done AS (SELECT n.pair_id, coalesce(y_j.t, n.reference_text) AS reference_text, coalesce(x_j.t, n.text) AS text, x_j.t IS NOT NULL AS used_chunking, b AS reference_words, a AS research_words,
+coalesce(y_n.n, 0) AS reference_chunks, coalesce(x_n.n, 0) AS research_chunks, coalesce(y_j.used, 0) AS reference_used, coalesce(x_j.used, 0) AS research_used
+FROM n LEFT JOIN x_j USING (pair_id) LEFT JOIN y_j USING (pair_id) LEFT JOIN x_n USING (pair_id) LEFT JOIN y_n USING (pair_id))
+SELECT *, len({words('reference_text')}) AS reference_words_used, len({words('text')}) AS research_words_used FROM done"""
+
+
+def searched() -> str:
+    """Paragraphs are parted by blank lines."""
+    stop = ", ".join(map(q, L.STOPWORDS))
+    good = lambda x: f"list_distinct(list_filter({x}, lambda v: length(v) >= 4 AND v NOT IN ({stop})))"
+    return f"""WITH own AS (SELECT doc_id, {cleaned('text')} AS text FROM documents),
+b AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda v: v <> '')) AS block, unnest(range(0, len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda v: v <> '')))) AS i FROM own),
+p AS (SELECT doc_id, i, block, {tokens('t')} AS toks FROM (SELECT *, {collapse('block')} AS t FROM b) WHERE NOT {is_noise()} AND len({tokens('t')}) >= 14),
+l AS (SELECT doc_id, {good("flatten(list(toks ORDER BY i))[1:220]")} AS focus FROM (SELECT *, coalesce(sum(len(toks)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_it FROM p) WHERE before_it < 220 GROUP BY doc_id),
+k AS (SELECT doc_id, i, array_to_string(toks[1:26], ' ') AS query, len(list_intersect(terms, focus)) + (i < 4)::INTEGER AS a, length(block) - length(replace(block, ';', '')) + greatest(0, length(block) - length(replace(block, chr(10), '')) - 1) AS marks, len(terms) AS c, least(len(toks), 26) AS d
+FROM (SELECT *, {good('toks')} AS terms FROM p) JOIN l USING (doc_id) WHERE len(terms) >= 6),
+e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC, marks, c DESC, d DESC, i) AS o, query FROM k
+UNION ALL SELECT doc_id, 0, '"' || array_to_string(arg_min(toks, i)[1:18], ' ') || '"' FROM p GROUP BY doc_id),
+u AS (SELECT doc_id, min(o) AS o, arg_min(query, o) AS query FROM e GROUP BY doc_id, {norm('query')}),
+found AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS position, query FROM u QUALIFY position <= 4),
+t AS (SELECT doc_id, unnest({tokens('text')}) AS w, unnest(range(0, len({tokens('text')}))) AS at_place FROM own WHERE doc_id NOT IN (SELECT doc_id FROM found)),
+c AS (SELECT doc_id, w, count(*) AS n, min(at_place) AS at_place FROM t WHERE length(w) >= 4 AND w NOT IN ({stop}) AND NOT regexp_full_match(w, '[0-9]+') GROUP BY ALL),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at_place) <= 12)
+SELECT * FROM found UNION ALL SELECT doc_id, 1, string_agg(w, ' ' ORDER BY at_place) FROM best GROUP BY doc_id"""
+
+
 def tone(name: str) -> str:
     swap = reduce(lambda x, p: f"regexp_replace({x}, '(?i)\\b{p[0]}\\b', {q(p[1])}, 'g')", L.SWAPS, "s")
     parts = f"list_transform(string_split(regexp_replace({BODY}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: {swap})"
@@ -203,10 +254,10 @@ SELECT page_id, ends_with(lower(path), '.pdf') AS pdf, CASE WHEN regexp_matches(
 CASE WHEN string_split(path, '/')[-1] = '' THEN 'PDF Source' ELSE url_decode(string_split(path, '/')[-1]) END AS file_name FROM p""",
     "openalex_abstract": f"SELECT item_id, {BODY} AS text FROM benchmark WHERE {BODY} <> ''",
     "word_chunks": f"WITH {chunk_rows('documents', 'doc_id', 'text', 'x')} SELECT doc_id, chunk, start_at, end_at, t AS text, len(terms) AS n_terms FROM x",
-    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_rows('pairs', 'pair_id', 'text', 'x')}, {chunk_rows('pairs', 'pair_id', 'reference_text', 'y')},
-s AS (SELECT x.pair_id, x.chunk AS research_chunk, y.chunk AS reference_chunk, len(list_intersect(x.terms, y.terms)) AS hits, len(list_intersect(x.terms, y.terms)) / sqrt(len(x.terms) * greatest(1, len(y.terms))) AS score FROM x JOIN y ON x.pair_id = y.pair_id WHERE len(list_intersect(x.terms, y.terms)) > 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, research_chunk ORDER BY hits DESC, reference_chunk) AS r FROM s)
+    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_scores('pairs')}
 SELECT pair_id, research_chunk, reference_chunk, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.12""",
+    "long_doc_reduce": reduced(1500),
+    "search_queries": searched(),
     "tone_rewrite": tone("formal"),
     "presentation": f"SELECT doc_id, CASE WHEN length(text) > 170 THEN rtrim(left(text, 167)) || '...' ELSE text END AS preview, left({collapse('lower(text)')}, 1200) AS cache_key, lang || '; ' || source || '; x; ...' AS issues FROM documents",
     "topic_sources": """WITH r AS (SELECT source AS query, doc_id, 'https://papers.example/' || (doc_id % 700) AS url,

@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import plain as Y
 from loomspan.functions import text as T
+from loomspan.session import settled
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -93,12 +96,77 @@ def page_lines(boxes: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"), gap
     return both.select(*keys, F.when(F.length(T.strip(F.col("_made"))) >= least, T.strip(F.col("_made"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+Reader = Callable[[bytes], tuple[int, Callable[[int], str]]]
+
+
+def pdf_reader(content: bytes) -> tuple[int, Callable[[int], str]]:
+    """The number of pages and a function that extracts one, by whichever PDF library is installed."""
+    try:
+        import pypdf
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs a PDF library such as pypdf, or a reader of your own") from e
+    pages = pypdf.PdfReader(io.BytesIO(content)).pages
+    return len(pages), lambda i: pages[i].extract_text() or ""
+
+
+def read_pages(payloads: DataFrame, reader: Reader = pdf_reader, most_pages: int = 40, most_chars: int = 22_000, least: int = 20) -> DataFrame:
+    """doc_id, n_pages, page (from 0), text of PDF payloads (doc_id, content): a row for each sampled page.
+
+    Pages are extracted one at a time and handed on as they come, never a file as a whole; a file is left
+    as soon as its pages of ``least`` letters or more, cleaned, have ``most_chars`` together. So a long
+    file costs what its caps allow. A payload that is null, empty or that the reader refuses has no rows;
+    a page that it refuses is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                content = b.column(1)[i].as_py()
+                try:
+                    total, page = reader(content) if content else (0, str)
+                except RuntimeError:
+                    raise
+                except Exception:
+                    continue
+                held = 0
+                for k in Y.sample_indexes(total, most_pages):
+                    if held >= most_chars:
+                        break
+                    try:
+                        text = page(k)
+                    except Exception:
+                        continue
+                    n = len(Y.clean_block(text))
+                    held += n if n >= least else 0
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([total], pa.int32()), pa.array([k], pa.int32()), pa.array([text])], names=["doc_id", "n_pages", "page", "text"])
+
+    own = payloads.select("doc_id", F.col("content").cast("binary"))
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_pages int, page int, text string")
+
+
+def pdf_texts(payloads: DataFrame, first: Reader = pdf_reader, second: Reader | None = None, enough: int = 180, most_pages: int = 40, most_chars: int = 22_000, least: int = 20) -> DataFrame:
+    """doc_id, text of PDF payloads (doc_id, content), "" where nothing was read.
+
+    Those of which ``first`` makes fewer than ``enough`` letters are read by ``second``, if there is one,
+    under the same caps. Ids must tell payloads apart.
+    """
+    read = lambda rows, reader: pages_text(read_pages(rows, reader, most_pages, most_chars, least), most_pages, most_chars, least)
+    out = payloads.select("doc_id").join(read(payloads, first), "doc_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    if second is None:
+        return out
+    out = settled(out)
+    short = F.length(T.collapse(F.col("text"))) < enough
+    again = read(payloads.join(out.where(short).select("doc_id"), "doc_id", "left_semi"), second).withColumnRenamed("text", "_again")
+    return out.join(again, "doc_id", "left").select("doc_id", F.when(short, F.coalesce("_again", F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
 def pages_text(pages: DataFrame, most_pages: int = 40, most_chars: int = 22_000, least: int = 20) -> DataFrame:
     """doc_id, text of sampled pages: cleaned, short ones dropped, cut where the letters run out.
 
     ``pages`` has doc_id, page (from 0), text; the page that exceeds ``most_chars`` is cut, later ones go.
+    Where it has n_pages, that is the number of a document's pages; else the last page in it tells.
     """
-    total = F.max("page").over(Window.partitionBy("doc_id")) + 1
+    total = F.col("n_pages") if "n_pages" in pages.columns else F.max("page").over(Window.partitionBy("doc_id")) + 1
     own = pages.withColumn("_n", total).where(F.array_contains(T.sample_indexes(F.col("_n").cast("int"), F.lit(most_pages)), F.col("page").cast("int")))
     own = own.withColumn("_t", T.clean_block(F.col("text"))).where(F.length("_t") >= least)
     before = F.coalesce(F.sum(F.length("_t")).over(Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -18,7 +18,7 @@ from loomspan.streaming import live
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["normalize_text", "query_keywords", "sentence_spans", "paragraph_windows", "shingle_candidates", "token_cosine", "interval_coverage", "reference_dedup", "blend_sources", "chunk_pairs", "tone_rewrite", "url_kind", "source_prior", "lexical_score", "paragraph_of_sentence", "char_cosine", "verbatim_containment", "concept_freq", "concept_jaccard", "suggestions", "document_shingles", "page_reference_dedup", "topic_sources", "token_cosine_above", "char_cosine_above"])
+@pytest.mark.parametrize("name", ["normalize_text", "query_keywords", "sentence_spans", "paragraph_windows", "shingle_candidates", "token_cosine", "interval_coverage", "reference_dedup", "blend_sources", "chunk_pairs", "tone_rewrite", "url_kind", "source_prior", "lexical_score", "paragraph_of_sentence", "char_cosine", "verbatim_containment", "concept_freq", "concept_jaccard", "suggestions", "document_shingles", "page_reference_dedup", "topic_sources", "token_cosine_above", "char_cosine_above", "long_doc_reduce", "search_queries"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages", "conversations"):
