@@ -119,11 +119,20 @@ def reference_from_page(pages: DataFrame, url: str = "url", html: str = "html",
     return own.select(F.col(url).alias("url"), named.alias("title"), F.when(found, text).alias("text"), F.lit("URL Import").alias("source"), status.alias("status"))
 
 
-def readable_pages(pages: DataFrame, url: str = "url", html: str = "html", most: int = 22_000) -> DataFrame:
-    """url, title, page_text as page expansion reads them: empty below 200 letters of HTML or 260 of text."""
-    own = main_text(pages.where(F.lower(F.col(url)).rlike("^https?://")), html, "_text")
+def readable_pages(pages: DataFrame, url: str = "url", html: str = "html", most: int = 22_000, pdf: str | None = None, content_type: str | None = None) -> DataFrame:
+    """url, page_title, page_text as page expansion reads them: empty below 200 letters of HTML or 260 of text.
+
+    ``pdf`` is the column with the text of pages that are PDF files, by their address or content type; these
+    are named by their file and have neither name nor text below 260 letters.
+    """
+    kind = is_pdf(F.col(url), F.col(content_type) if content_type else None) if pdf else F.lit(False)
+    own = main_text(pages.where(F.lower(F.col(url)).rlike("^https?://")).withColumn("_pdf", F.coalesce(kind, F.lit(False))), html, "_text")
     there = F.length(F.coalesce(F.col(html), F.lit(""))) >= 200
     text = distributed_sample(F.col("_text"), most)
-    return own.select(F.col(url).alias("url"), F.when(there, title(F.col(html))).otherwise("").alias("page_title"), F.when(there & (F.length(text) >= 260), text).otherwise("").alias("page_text"))
+    of_pdf = F.coalesce(F.col(pdf) if pdf else F.lit(None).cast("string"), F.lit(""))
+    read = F.length(of_pdf) >= 260
+    name = F.when(F.col("_pdf"), F.when(read, file_name(F.col(url))).otherwise("")).when(there, title(F.col(html))).otherwise("")
+    page = F.when(F.col("_pdf"), F.when(read, of_pdf).otherwise("")).when(there & (F.length(text) >= 260), text).otherwise("")
+    return own.select(F.col(url).alias("url"), name.alias("page_title"), page.alias("page_text"))
 
 

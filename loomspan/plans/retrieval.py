@@ -147,12 +147,17 @@ def gated(papers: dict[str, DataFrame], most: int = 24) -> DataFrame:
     ``papers`` maps services in the order in which they are asked to tables of parsed references with
     query and rank. Each query is gated by its own counts: a running sum over a row for each query and
     service, so any number of queries goes through in one plan. Returns the rows with ``service``.
+
+    A table may have a page: later pages of a service are asked for while fewer than twice ``most`` are there.
     """
-    rows = reduce(lambda a, b: a.unionByName(b), [f.withColumn("service", F.lit(name)).withColumn("_at", F.lit(i)) for i, (name, f) in enumerate(papers.items())])
-    counts = rows.groupBy("query", "_at").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("query").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    asked = counts.withColumn("_before", before).where(F.col("_before") < most).select(F.col("query").alias("_q"), F.col("_at").alias("_a"))
-    return rows.join(asked, F.col("query").eqNullSafe(F.col("_q")) & (F.col("_at") == F.col("_a")), "left_semi").drop("_at")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("service", F.lit(name)).withColumn("_at", F.lit(i)) for i, (name, f) in enumerate(papers.items())])
+    rows = rows.withColumn("_page", F.coalesce("page", F.lit(1))).drop("page") if "page" in rows.columns else rows.withColumn("_page", F.lit(1))
+    counts = rows.groupBy("query", "_at", "_page").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("query").orderBy("_at", "_page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before).withColumn("_start", F.min("_before").over(Window.partitionBy("query", "_at")))
+    asked = counts.where((F.col("_start") < most) & ((F.col("_page") == 1) | (F.col("_before") < 2 * most))).select(F.col("query").alias("_q"), F.col("_at").alias("_a"), F.col("_page").alias("_p"))
+    on = F.col("query").eqNullSafe(F.col("_q")) & (F.col("_at") == F.col("_a")) & (F.col("_page") == F.col("_p"))
+    return rows.join(asked, on, "left_semi").drop("_at", "_page")
 
 
 def topic_tables(papers: dict[str, DataFrame], web: DataFrame | None = None, most: int = 24, web_most: int = 3) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import plain as Y
 from loomspan.functions import text as T
+from loomspan.functions.html import readable_pages
 from loomspan.session import settled
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -160,6 +161,18 @@ def pdf_texts(payloads: DataFrame, first: Reader = pdf_reader, second: Reader |
     return out.join(again, "doc_id", "left").select("doc_id", F.when(short, F.coalesce("_again", F.lit(""))).otherwise(F.col("text")).alias("text"))
 
 
+def readable(pages: DataFrame, first: Reader = pdf_reader, second: Reader | None = None, most: int = 22_000) -> DataFrame:
+    """url, page_title, page_text of fetched pages (url, content_type, html, content: bytes), PDF files among them.
+
+    PDF files are read from ``content``, up to 80 pages and 52,000 letters; one row per address.
+    """
+    kind = F.coalesce(T.is_pdf(F.col("url"), F.col("content_type")), F.lit(False))
+    payloads = pages.where(kind).groupBy("url").agg(F.min("content").alias("content")).withColumnRenamed("url", "doc_id")
+    read = pdf_texts(payloads, first, second, most_pages=80, most_chars=max(most, 52_000)).select(F.col("doc_id").alias("url"), F.col("text").alias("_of_pdf"))
+    own = pages.select("url", "content_type", "html").dropDuplicates(["url"]).join(read, "url", "left")
+    return readable_pages(own, most=most, pdf="_of_pdf", content_type="content_type")
+
+
 def pages_text(pages: DataFrame, most_pages: int = 40, most_chars: int = 22_000, least: int = 20) -> DataFrame:
     """doc_id, text of sampled pages: cleaned, short ones dropped, cut where the letters run out.
 

@@ -6,11 +6,12 @@ fetched them; each parser turns it into title, url, text, source rows with the q
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.functions.html import strip_tags
+from loomspan.operators.references import reference_key
 
 # How services mark their results.
 LINKS = r"(?is)<a(?=[^>]*class=['\"][^'\"]*result-link[^'\"]*['\"])(?=[^>]*href=['\"]([^'\"]+)['\"])[^>]*>(.*?)</a>"
@@ -63,7 +64,7 @@ def _first(*names: str) -> Column:
 
 
 def grokipedia(payloads: DataFrame, most: int = 10) -> DataFrame:
-    """JSON results under ``results`` or ``items`` or bare; pages in HTML where there are none."""
+    """JSON results under ``results`` or ``items`` or bare; pages in HTML where there are none. Doubles of a query go."""
     body = F.from_json("payload", f"results array<{_ITEM}>, items array<{_ITEM}>")
     bare = F.from_json("payload", f"array<{_ITEM}>")
     pick = lambda a, b: F.when(F.size(F.coalesce(a, F.array())) > 0, a).otherwise(b)
@@ -73,7 +74,10 @@ def grokipedia(payloads: DataFrame, most: int = 10) -> DataFrame:
     found = _rows(own, F.when(title == "", "Untitled").otherwise(F.substring(title, 1, 200)), url, F.substring(text, 1, 1800), "Grokipedia", (url != "") & (F.length(text) >= 45))
     pages = _zipped(payloads.join(found.select("query").distinct(), "query", "left_anti").where(F.ltrim("payload").startswith("<")), ANCHORS, PARAGRAPHS)
     link = F.when(F.col("link").startswith("/"), F.concat(F.lit(HOME), "link")).otherwise(F.col("link"))
-    return found.unionByName(_rows(pages, F.substring("name", 1, 200), link, F.substring("snippet", 1, 1800), "Grokipedia", (F.length("name") >= 6) & link.startswith("http") & (F.length("snippet") >= 60)))
+    read = _rows(pages, F.substring("name", 1, 200), link, F.substring("snippet", 1, 1800), "Grokipedia", (F.length("name") >= 6) & link.startswith("http") & (F.length("snippet") >= 60))
+    read = read.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("_n") <= most).drop("_n")
+    first = F.row_number().over(Window.partitionBy("query", reference_key()).orderBy("rank"))
+    return found.unionByName(read).withColumn("_first", first).where("_first = 1").drop("_first")
 
 
 def serpapi(payloads: DataFrame, most: int = 10) -> DataFrame:
@@ -95,10 +99,20 @@ def crossref(payloads: DataFrame) -> DataFrame:
 
 
 def openalex(payloads: DataFrame) -> DataFrame:
-    """Abstracts come as a map from words to their positions."""
+    """Abstracts come as a map from words to their positions.
+
+    Where payloads have a page (from 1), ranks run on over a query's pages, pages after one without results
+    go, and the page is returned, by which ``retrieval.gated`` decides whether it would have been asked for.
+    """
     body = F.from_json("payload", "results array<struct<display_name:string,id:string,abstract_inverted_index:map<string,array<int>>>>")
-    own = payloads.select("query", F.posexplode(body["results"]).alias("rank", "x"))
     text = F.coalesce(T.inverted_abstract(F.col("x.abstract_inverted_index")), F.lit(""))
+    if "page" in payloads.columns:
+        pages = payloads.select("query", "page", F.coalesce(body["results"], F.array()).alias("_r"))
+        past = F.coalesce(F.max((F.size("_r") == 0).cast("int")).over(Window.partitionBy("query").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        hits = pages.withColumn("_past", past).where("_past = 0").select("query", "page", F.posexplode("_r").alias("_i", "x"))
+        own = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("page", "_i")) - 1)
+        return own.where(text != "").select("query", "rank", T.collapse(F.coalesce("x.display_name", F.lit("Untitled"))).alias("title"), F.coalesce("x.id", F.lit("")).alias("url"), text.alias("text"), F.lit("OpenAlex").alias("source"), "page")
+    own = payloads.select("query", F.posexplode(body["results"]).alias("rank", "x"))
     return _rows(own, T.collapse(F.coalesce("x.display_name", F.lit("Untitled"))), F.coalesce("x.id", F.lit("")), text, "OpenAlex", text != "")
 
 

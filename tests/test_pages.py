@@ -1,12 +1,15 @@
 """Pages of files read one at a time, and sentences swept over paragraphs."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from loomspan.functions import plain as Y
 from loomspan.functions import text as T
 from loomspan.operators import spans as P
-from loomspan.sources import files
+from loomspan.plans import retrieval
+from loomspan.sources import files, providers
 
 ROUGH = ["  a\t b \n\n\n\n c ", "co-\n operate\r\nnow\r12\r\nend", " 12 \n\n 345", "ﬁne “x” – y", "", " x　", "a\n \n \nb", "12345\n1234\n", "x-\n-y", " \n ", "é-\na", "tail 7\n7"]
 
@@ -76,3 +79,53 @@ def test_paragraphs_of_sentences(spark):
     assert {k: v for k, v in got.items() if k[0] is not None} == want and len(got) == len(rows)
     none = P.paragraph_ids(sents, own.limit(0)).collect()
     assert len(none) == len(rows) and {r.paragraph_id for r in none} == {-1}
+
+
+def test_pdf_files_among_read_pages(spark):
+    long = "<title>A page</title>" + "<p>" + "some words of a page here, " * 30 + "</p>"
+    reader = lambda content: (2, lambda i: content.decode() * 20)
+    rows = [
+        ("https://x.org/a%20b.pdf", None, None, b"text of a file "), ("https://x.org/get", "application/pdf", None, b"served as a file "), ("https://x.org/few.pdf", None, None, b"x"),
+        ("https://x.org/page", "text/html", long, None), ("https://x.org/short", "text/html", "<p>x</p>", None), ("ftp://x.org/c.pdf", None, None, b"text of a file "), ("https://x.org/none.pdf", None, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "url string, content_type string, html string, content binary")
+    got = {r.url: (r.page_title, r.page_text) for r in files.readable(pages, reader).collect()}
+    whole = lambda t: Y.clean_block("\n\n".join([Y.clean_block(t * 20)] * 2))
+    assert got["https://x.org/a%20b.pdf"] == ("a b.pdf", whole("text of a file ")) and got["https://x.org/get"] == ("get", whole("served as a file "))
+    assert got["https://x.org/few.pdf"] == got["https://x.org/none.pdf"] == got["https://x.org/short"] == ("", "")
+    assert got["https://x.org/page"][0] == "A page" and "some words of a page" in got["https://x.org/page"][1] and len(got) == 6
+
+
+def test_pages_of_a_service(spark):
+    def body(names):
+        return json.dumps({"results": [{"display_name": n, "id": n, "abstract_inverted_index": {"w": [0]}} for n in names]})
+
+    rows = [("q", 1, body("abc")), ("q", 2, body("de")), ("r", 1, body("")), ("r", 2, body("f")), ("s", 1, body("g")), ("s", 2, body("hij"))]
+    found = providers.openalex(spark.createDataFrame(rows, "query string, page int, payload string"))
+    assert sorted((r.query, r.rank, r.title) for r in found.collect()) == [("q", i, t) for i, t in enumerate("abcde")] + [("s", i, t) for i, t in enumerate("ghij")]
+    one = lambda name, sizes: spark.createDataFrame([(q, i, f"{name}{q}{i}", "", "t", name) for q, n in sizes.items() for i in range(n)], "query string, rank int, title string, url string, text string, source string")
+    for most in (1, 2, 3, 4):
+        before = one("Crossref", {"q": 0 if most > 1 else 2, "s": 1})
+        got = retrieval.gated({"Crossref": before, "OpenAlex": found, "Later": one("Later", {"q": 1, "s": 1})}, most)
+        own = {(r.query, r.title) for r in got.where("service = 'OpenAlex'").collect()}
+        counts = {"q": 0 if most > 1 else 2, "s": 1}
+        expected = set()
+        for q, pages in (("q", ("abc", "de")), ("s", ("g", "hij"))):
+            n = counts[q]
+            if n < most:
+                for k, names in enumerate(pages):
+                    if k and n >= 2 * most:
+                        break
+                    expected |= {(q, t) for t in names}
+                    n += len(names)
+        assert own == expected, (most, own, expected)
+
+
+def test_doubles_of_a_service(spark):
+    items = [{"title": "A", "url": u, "snippet": s * 60} for u, s in (("l", "t"), ("L ", "u"), ("m", "t"))]
+    links = "".join(f'<a href="/{u}">Title {i} long</a><p>{"u" * 70}</p>' for i, u in enumerate("xxyz"))
+    rows = [("q", json.dumps({"results": items})), ("r", json.dumps({"results": items[1:]})), ("h", links)]
+    payloads = spark.createDataFrame(rows, "query string, payload string")
+    got = sorted((r.query, r.rank, r.url) for r in providers.grokipedia(payloads, 3).collect())
+    home = providers.HOME
+    assert got == [("h", 0, f"{home}/x"), ("h", 2, f"{home}/y"), ("q", 0, "l"), ("q", 2, "m"), ("r", 0, "L"), ("r", 1, "m")]
