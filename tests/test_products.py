@@ -41,3 +41,39 @@ def test_floor_is_of_the_rounded_cosine(spark, tmp_path):
     exact = 780 / sqrt(780**2 + 1351**2)
     got = [tuple(r) for r in entry.queries()["token_cosine_above"](spark, str(tmp_path)).collect()]
     assert exact < 0.5 and [x[:3] for x in got] == [(0, 0, 0.5)]
+
+
+def test_only_texts_with_references_are_profiled(spark, monkeypatch):
+    from loomspan.operators import references as R
+
+    seen, whole = [], R.profiles
+    monkeypatch.setattr(R, "profiles", lambda docs, key, text: (seen.append(sorted(r[0] for r in docs.select(key).collect())), whole(docs, key, text))[1])
+    docs = spark.createDataFrame([(i, f"a text of some words number {i} that nobody else has") for i in range(4)], "doc_id long, text string")
+    refs = spark.createDataFrame([(2, 9, "text", "a text of some words number 2")], "doc_id long, ref_id long, title string, text string")
+    assert [(r.doc_id, r.ref_id, r.position) for r in R.rerank(docs, refs).collect()] == [(2, 9, 1)] and seen == [[2]]
+
+
+def test_candidates_by_blocks_equal_the_index(spark, monkeypatch):
+    from loomspan.operators import index
+    from loomspan.operators import spans as P
+
+    monkeypatch.setattr(X, "BLOCK", 3)
+    rnd = random.Random(8)
+    words = [f"w{chr(97 + i)}x" for i in range(12)]
+    text = lambda: " ".join(" ".join(rnd.choices(words, k=rnd.randint(1, 7))) + "." for _ in range(rnd.randint(0, 4)))
+    docs = spark.createDataFrame([(i, text()) for i in range(20)] + [(20, None)], "doc_id long, text string")
+    refs = spark.createDataFrame([(i, text()) for i in range(13)], "ref_id long, text string")
+    columns = ["doc_id", "span_id", "ref_id", "ref_span", "hits", "rank"]
+    theirs = P.sentences(refs, "ref_id", featured=True).withColumnRenamed("doc_id", "ref_id").withColumnRenamed("span_id", "ref_span")
+    want = index.candidates(P.sentences(docs, featured=True), theirs, most=5).select(columns)
+    got = X.candidates(docs, refs, lambda t: P.sentences_of(t, 3), "doc_id", "ref_id", most=5).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
+
+
+def test_keywords_move_nothing(spark):
+    from loomspan.operators import search
+
+    docs = spark.createDataFrame([(0, "beta alpha gamma beta 12345 gamma delta the"), (1, None), (2, "a b c")], "doc_id long, text string")
+    out = search.keywords(docs, top=2)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(0, "beta alpha"), (1, ""), (2, "")]
