@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from math import sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import lexicon as L
+from loomspan.functions import plain as Y
 from loomspan.functions import text as T
 from loomspan.operators.spans import pinned
 
@@ -71,24 +78,95 @@ def joined(chunks: DataFrame, kept: DataFrame, key: str = "pair_id", budget: int
     return out.select(key, F.array_join(F.transform("_l", lambda x: x["_t"]), "\n\n").alias("text"), "used")
 
 
+_STOP = frozenset(L.CHUNK_STOPWORDS)
+
+
+def chunks_of(words: list[str]) -> list[tuple[int, int]]:
+    """Begin and end of the chunks of one text, as ``word_chunks`` cuts them."""
+    n = len(words)
+    return [(i, min(i + WORDS, n)) for i in range(0, n, STRIDE) if i == 0 or i - STRIDE + WORDS < n][:MOST]
+
+
+def token_sets(words: list[str], cut: list[tuple[int, int]]) -> list[set[str]]:
+    return [{t for t in Y.tokens(" ".join(words[a:z])) if len(t) >= 4 and not t.isdecimal() and t not in _STOP} for a, z in cut]
+
+
+def pairs_of(research: list[set[str]], reference: list[set[str]], least: float = LEAST) -> list[tuple[int, int, float]]:
+    """The same as ``chunk_pairs`` for the chunks of one pair of texts."""
+    places: dict[str, list[int]] = {}
+    for j, terms in enumerate(reference):
+        for t in terms:
+            places.setdefault(t, []).append(j)
+    out = []
+    for i, terms in enumerate(research):
+        hits = Counter(j for t in terms for j in places.get(t, ()))
+        if hits:
+            j, n = min(hits.items(), key=lambda x: (-x[1], x[0]))
+            if (score := n / sqrt(len(terms) * max(1, len(reference[j])))) >= least:
+                out.append((i, j, score))
+    return out
+
+
+def kept_of(n: int, pairs: list[tuple[int, int, float]], side: int, most: int = PICKED) -> list[int]:
+    """The same as ``selected`` for one text of ``n`` chunks."""
+    fixed = sorted({0, n // 2, n - 1} | ({n // 4, 3 * n // 4} if n > 4 else set()))[:most]
+    ranked = dict.fromkeys(p[side] for p in sorted(pairs, key=lambda p: (-p[2], p[0])))
+    return sorted(fixed + [c for c in ranked if c not in fixed][: most - len(fixed)])
+
+
+def joined_of(words: list[str], cut: list[tuple[int, int]], kept: list[int], budget: int = 5200) -> tuple[str, int]:
+    """The same as ``joined`` for one text."""
+    out, before = [], 0
+    for c in kept:
+        if before >= budget:
+            break
+        a, z = cut[c]
+        out.append(" ".join(words[a : min(z, a + budget - before)]))
+        before += z - a
+    return "\n\n".join(out), len(out)
+
+
+def _row_wise(df: DataFrame, columns: list[str], made: Callable[[str | None, str | None], list[tuple]], names: list[tuple[str, pa.DataType, str]]) -> DataFrame:
+    """The rows that ``made`` gives for (text, reference text), each with the first column; nothing is exchanged."""
+    own = df.select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 64):
+                b = whole.slice(a, 64)
+                found = [(i, r) for i, x in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for r in made(*x)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), *(pa.array([r[k] for _, r in found], kind) for k, (_, kind, _) in enumerate(names))], names=[columns[0], *(n for n, _, _ in names)])
+
+    return own.mapInArrow(run, f"`{columns[0]}` {own.schema[columns[0]].dataType.simpleString()}, " + ", ".join(f"`{n}` {t}" for n, _, t in names))
+
+
+def text_pairs(df: DataFrame, key: str = "pair_id", reference: str = "reference_text", text: str = "text") -> DataFrame:
+    """``chunk_pairs`` of the texts of each row: both lie there, so their chunks meet there, too."""
+
+    def made(t: str | None, r: str | None) -> list[tuple]:
+        a, b = (t or "").split(), (r or "").split()
+        return pairs_of(token_sets(a, chunks_of(a)), token_sets(b, chunks_of(b)))
+
+    return _row_wise(df, [key, text, reference], made, [("research_chunk", pa.int32(), "int"), ("reference_chunk", pa.int32(), "int"), ("score", pa.float64(), "double")])
+
+
 def reduce_pairs(df: DataFrame, key: str = "pair_id", reference: str = "reference_text", text: str = "text", long: int = LONG) -> DataFrame:
-    """key, reference_text, text, used_chunking, and counts: pairs with a long text reduced to alike chunks."""
-    n = df.withColumn("_a", F.size(words(F.col(text)))).withColumn("_b", F.size(words(F.col(reference))))
-    large = (F.greatest("_a", "_b") >= long) & (F.least("_a", "_b") > 0)
-    cut = n.where(large)
-    a, b = word_chunks(cut, key, text), word_chunks(cut, key, reference)
-    pairs = chunk_pairs(a, b, key)
-    left, right = joined(a, selected(a, pairs, "research_chunk", key), key), joined(b, selected(b, pairs, "reference_chunk", key), key)
-    counts = lambda c, name: c.groupBy(key).agg(F.count("*").alias(name))
-    done = left.withColumnRenamed("text", "_t").withColumnRenamed("used", "research_used").join(right.withColumnRenamed("text", "_r").withColumnRenamed("used", "reference_used"), key)
-    done = done.join(counts(a, "research_chunks"), key).join(counts(b, "reference_chunks"), key)
-    out = n.join(done, key, "left")
-    return out.select(
-        key, F.coalesce("_r", F.col(reference)).alias("reference_text"), F.coalesce("_t", F.col(text)).alias("text"), F.col("_t").isNotNull().alias("used_chunking"),
-        F.col("_b").cast("long").alias("reference_words"), F.col("_a").cast("long").alias("research_words"),
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("reference_chunks", "research_chunks", "reference_used", "research_used")],
-        F.size(words(F.coalesce("_r", F.col(reference)))).cast("long").alias("reference_words_used"), F.size(words(F.coalesce("_t", F.col(text)))).cast("long").alias("research_words_used"),
-    )
+    """key, reference_text, text, used_chunking, and counts: pairs with a long text reduced to alike chunks.
+
+    Both texts lie in one row and are cut, compared and joined there, so chunks are neither written nor exchanged.
+    """
+
+    def made(t: str | None, r: str | None) -> list[tuple]:
+        a, b = (t or "").split(), (r or "").split()
+        if max(len(a), len(b)) < long or not a or not b:
+            return [(r, t, False, len(b), len(a), 0, 0, 0, 0, len(b), len(a))]
+        x, y = chunks_of(a), chunks_of(b)
+        pairs = pairs_of(token_sets(a, x), token_sets(b, y))
+        (left, used), (right, other) = joined_of(a, x, kept_of(len(x), pairs, 0)), joined_of(b, y, kept_of(len(y), pairs, 1))
+        return [(right, left, True, len(b), len(a), len(y), len(x), other, used, len(right.split()), len(left.split()))]
+
+    numbers = ["reference_words", "research_words", "reference_chunks", "research_chunks", "reference_used", "research_used", "reference_words_used", "research_words_used"]
+    return _row_wise(df, [key, text, reference], made, [("reference_text", pa.string(), "string"), ("text", pa.string(), "string"), ("used_chunking", pa.bool_(), "boolean"), *((n, pa.int64(), "bigint") for n in numbers)])
 
 
 def analysis_text(c: Column, most: int = 2400) -> Column:
