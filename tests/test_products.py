@@ -77,3 +77,20 @@ def test_keywords_move_nothing(spark):
     out = search.keywords(docs, top=2)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == [(0, "beta alpha"), (1, ""), (2, "")]
+
+
+def test_source_prior_equals_the_check_and_joins_no_terms(spark, tmp_path):
+    from loomspan.operators import spans as P
+    from loomspan.plans import catalog, overlap
+
+    rnd = random.Random(2)
+    words = [f"w{chr(97 + i)}x" for i in range(26)]
+    text = lambda n: " ".join(" ".join(rnd.choices(words, k=8)) + "." for _ in range(n))
+    spark.createDataFrame([(i, text(i)) for i in range(9)] + [(9, None), (10, "\n\n".join(text(1) for _ in range(270)) + "\n\nonly here stands qqq zzz yyy vvv")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, text(1)), (1, "qqq zzz yyy vvv uuu ttt"), (2, None), (3, "wax")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, refs = spark.read.parquet(f"{tmp_path}/documents.parquet"), catalog._refs(spark, str(tmp_path))
+    items = P.spans(refs, "ref_id", featured=True).withColumnRenamed("doc_id", "ref_id").join(refs.drop("text"), "ref_id").selectExpr("*", "CAST(NULL AS long) AS group_id")
+    want = {(r.doc_id, r.title): round(r.prior, 6) for r in overlap.source_priors(P.spans(docs, featured=True), items, False).collect()}
+    out = entry.queries()["source_prior"](spark, str(tmp_path))
+    assert {(r.doc_id, r.title): r.prior for r in out.collect()} == pytest.approx(want, abs=1e-6) and (10, "Item 0") in want
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
