@@ -72,7 +72,9 @@ class Pieces:
             raise ValueError("only models whose pieces have word starts in front are supported")
         self.unit = units(self.ids)
         self.near = {x + y for p in self.ids for x, y in zip(p, p[1:], strict=False)}
-        self.ends = {p[n:] for p in self.ids for n in range(len(p))}
+        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.steps: dict[str, tuple[str, tuple[str, ...]]] = {}
+        self.ending: dict[str, tuple[str, ...]] = {}
         self.longest = max(map(len, self.ids))
         fixed = {2: " \u2047 ", 3: ""}
         self.written = [bytes([int(t[3:5], 16)]) if k == 6 else fixed.get(k, t).encode() for t, k in zip(self.text, self.kind, strict=True)]
@@ -80,7 +82,7 @@ class Pieces:
         self.judged = 0
         self.last: dict[str, tuple[str, str, float] | None] = {}
         self.words = Words(self.word)
-        self.before: tuple[str, list[str | None], list[float]] = ("", [""], [0.0])  # the text and row scanned last
+        self.before: tuple[str, list[str | None], list[float], list[str]] = ("", [""], [0.0], [""])  # the text and row scanned last
         self.rows = self.matrices = 0  # of transfer matrices made so far
 
     def merged(self, text: str) -> list[str]:
@@ -163,6 +165,20 @@ class Pieces:
             return [(p, "")]
         return [(s, node) for s in range(max(0, p - self.longest), p) for node in self.nodes_at(text, s) if s + len(node) >= p]
 
+    def step(self, text: str) -> tuple[str, tuple[str, ...]]:
+        """The longest end of a text that begins a piece, and the nodes that end the text, the longest first."""
+        if len(self.steps) >= PAIRS:
+            self.steps.clear()
+            self.ending.clear()
+        tail = text
+        while tail and tail not in self.starts:
+            tail = tail[1:]
+        nodes = self.ending.get(tail or text[-1])
+        if nodes is None:
+            nodes = self.ending[tail or text[-1]] = (*(tail[k:] for k in range(len(tail) - 1) if tail[k:] in self.ids), text[-1])
+        self.steps[text] = tail, nodes
+        return tail, nodes
+
     def forward(self, text: str, entry: State, end: int) -> tuple[int, list[str | None], list[float]]:
         """One row of a transfer matrix: from one state the best node that ends at each place, and its weight.
 
@@ -171,29 +187,23 @@ class Pieces:
         """
         self.rows += 1
         begin = entry[0] + len(entry[1])
-        ids, ends, follows, none, bpe = self.ids, self.ends, self.follows, {}, self.bpe
+        steps, follows, none, bpe = self.steps, self.follows, {}, self.bpe
         last: list[str | None] = [entry[1]]
         weight = [0.0]
+        tails = [""]  # what each place's text ends with that begins a piece: the nodes that end there are its ends
         if entry == (0, ""):  # a row depends on what lies before a place alone, so it goes on from the one before
-            old, nodes, weights = self.before
-            same = n = min(end, len(nodes) - 1)
+            old, last, weight, tails = self.before
+            same = min(end, len(last) - 1)
             while not text.startswith(old[:same]):
                 same -= 1
-            last, weight = nodes[: same + 1], weights[: same + 1]
-            self.before = text, last, weight
+            del last[same + 1 :], weight[same + 1 :], tails[same + 1 :]
+            self.before = text, last, weight, tails
+        tail = tails[-1]
         for e in range(begin + len(last), end + 1):
-            s = e - 1
-            found = [text[s:e]]
-            while s > begin:
-                s -= 1
-                node = text[s:e]
-                if node not in ends:
-                    break
-                if node in ids:
-                    found.append(node)
+            seen = tail + text[e - 1]
+            tail, found = steps.get(seen) or self.step(seen)
             best, top = None, MINUS
-            while found:
-                node = found.pop()
+            for node in found:
                 at = e - len(node) - begin
                 left = last[at]
                 if left is None:
@@ -207,6 +217,7 @@ class Pieces:
                     best, top = node, w
             last.append(best)
             weight.append(top)
+            tails.append(tail)
         return begin, last, weight
 
     def path(self, text: str, entry: State, leave: State) -> list[str]:
@@ -299,8 +310,8 @@ class Pieces:
         found = [self.unit.findall(" " + t if self.prefix and t else t) for t in texts]
         wanted = set().union(*found)
         new = wanted.difference(self.words)
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
+        if len(self.words) + len(new) > WORDS // 2:
+            self.words.turn()
             new = wanted
         for w in sorted(new):
             self.words[w]
@@ -324,28 +335,38 @@ def units(pieces) -> re.Pattern:
     """A pattern of the chunks that have a single state at either end.
 
     No piece reaches over their bounds: before a word start (but within a run of them), on either side
-    of a character that stands in no longer piece, and where a sign follows a letter, for those signs
-    that follow one in no piece.
+    of a character that stands in no longer piece, and where a sign follows a letter that no piece has
+    in front of a sign.
     """
     near = {(x, y) for p in pieces for x, y in zip(p, p[1:], strict=False)}
     known = {c for pair in near for c in pair} - {MARK}
     signs = {c for c in known if not c.isalnum()}
-    while bad := {y for x, y in near if y in signs and x not in signs and x != MARK}:
-        signs -= bad
+    before = {x for x, y in near if y in signs and x not in signs and x != MARK}
     alone = "".join(c for c in map(chr, range(1, 128)) if c not in known and c != " ")
-    one, sign = (f"[{re.escape(c)}]" if c else r"(?!)" for c in (alone, "".join(sorted(signs))))
+    one, sign, held = (f"[{re.escape(c)}]" if c else r"(?!)" for c in (alone, "".join(sorted(signs)), "".join(sorted(before))))
     rest = f"[^ {MARK}{re.escape(alone + ''.join(sorted(signs)))}]"
-    return re.compile(f"{one}|[ {MARK}]+(?:{sign})*{rest}*|(?:{sign})+{rest}*|{rest}+")
+    more = f"(?:(?<={held})(?:{sign})+{rest}*)*"
+    return re.compile(f"{one}|[ {MARK}]+(?:{sign})*{rest}*{more}|(?:{sign})+{rest}*{more}|{rest}+{more}")
 
 
 class Words(dict):
-    """Ids by word, made when asked for; long words are not kept."""
+    """Ids by word, made when asked for; long words are not kept.
+
+    A turn puts the words aside: those asked for again come back, the others go at the next turn.
+    """
 
     def __init__(self, made):
         self.made = made
+        self.aside: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        self.aside = dict(self)
+        self.clear()
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.made(text)
+        ids = self.aside.get(text)
+        if ids is None:
+            ids = self.made(text)
         if len(text) <= 64:
             self[text] = ids
         return ids

@@ -76,6 +76,25 @@ def test_sentencepiece_chunks_meet_as_matrices():
     assert own.rows >= 4  # a row, the whole matrix, for each new word
 
 
+def test_sentencepiece_words_are_cut_and_kept(monkeypatch):
+    """Signs are no part of the words before them, and words asked for lately outlast the others."""
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    own = sentencepiece_scan.Pieces(sentencepiece_scan.read_model())
+    assert own.unit.findall(" tion&&& of,%%% x². a.b") == [" tion", "&&&", " of", ",%%%", " x².", " a", ".b"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(" aetionABé²³.,%&$#*!-_()\"'\n\t1▁中\U0001f600") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    assert [x.tolist() for x in own.encoded(texts)] == library.encode(texts)
+    assert all("".join(own.unit.findall(t)) == t for t in texts)
+    assert sentencepiece_scan.units(["ab", "a", "b"]).findall("ab ab!") == ["ab", " ab", "!"]
+    monkeypatch.setattr(sentencepiece_scan, "WORDS", 8)
+    own, made = sentencepiece_scan.Pieces(sentencepiece_scan.read_model()), []
+    own.words.made = lambda w, f=own.words.made: made.append(w) or f(w)
+    for k in range(20):
+        assert next(own.encoded([f"often q{'abcdefghijklmnopqrst'[k]}z"])).tolist() == library.encode(f"often q{'abcdefghijklmnopqrst'[k]}z")
+        assert len(own.words) <= 4 and len(own.words.aside) <= 4
+    assert made.count(" often") == 1 and len(made) == 21
+
+
 def test_sentencepiece_unigram_matrices():
     """With scores as weights the chunks of a document have the best sum, as a plain Viterbi does."""
     own = sentencepiece_scan.Pieces(sentencepiece_scan.read_model())
