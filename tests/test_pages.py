@@ -5,10 +5,11 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
+from loomspan.functions import html as H
 from loomspan.functions import plain as Y
 from loomspan.functions import text as T
 from loomspan.operators import spans as P
-from loomspan.plans import retrieval
+from loomspan.plans import catalog, retrieval
 from loomspan.sources import files, providers
 
 ROUGH = ["  a\t b \n\n\n\n c ", "co-\n operate\r\nnow\r12\r\nend", " 12 \n\n 345", "ﬁne “x” – y", "", " x　", "a\n \n \nb", "12345\n1234\n", "x-\n-y", " \n ", "é-\na", "tail 7\n7"]
@@ -129,3 +130,15 @@ def test_doubles_of_a_service(spark):
     got = sorted((r.query, r.rank, r.url) for r in providers.grokipedia(payloads, 3).collect())
     home = providers.HOME
     assert got == [("h", 0, f"{home}/x"), ("h", 2, f"{home}/y"), ("q", 0, "l"), ("q", 2, "m"), ("r", 0, "L"), ("r", 1, "m")]
+
+
+def test_entity_functions_get_few_rows_at_once(spark):
+    """No Arrow columns, which would hold thousands of pages in a worker; awkward values stay right."""
+    rows = [(1, "a &amp; b \U0001f600&#x1F600; &#xD800; &nosuch; é"), (2, None), (3, ""), (4, "plain"), (5, "x\x00&lt;y")]
+    own = spark.createDataFrame(rows, "id long, html string")
+    got = {r.id: (r.plain, r.bodies) for r in own.select("id", H.unescape("html").alias("plain"), H.json_bodies(F.array(F.lit("tea \\u00e9 &amp; \\ud83d\\ude00 \\ud83d"))).alias("bodies")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "a & b \U0001f600\U0001f600 � &nosuch; é", 2: None, 3: "", 4: "plain", 5: "x\x00<y"}
+    assert {tuple(v[1]) for v in got.values()} == {("tea é & \U0001f600 �",)}
+    pages = catalog.expand_references(spark, "/root/testdata/sf0.001")
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
