@@ -353,3 +353,29 @@ def test_suffix_buckets_of_one_passage_are_dealt(spark, tmp_path, monkeypatch):
     raw = docs.select(F.col("doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
     largest = raw.mapInArrow(run, schema).groupBy("shared").count().agg(F.max("count")).first()[0]
     assert largest <= suffix_dedup.KINDS * raw.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("by", ["query", "operator"])
+def test_suffix_rows_keep_their_numbers_when_splits_change(spark, tmp_path, by):
+    """Cores that join between the two reads of the table change its splits, not the removals."""
+    rnd = random.Random(11)
+    own = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = own(450)
+    edge = lambda i: chr(33 + i // 3)  # noqa: E731 (no two passages have the same neighbours)
+    texts = [own(60_000) + edge(i) + (passage if i % 3 == 0 else "") + edge(i) + own(100) for i in range(60)] + [None, "", passage]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = str(tmp_path / "documents.parquet")
+    made.write.option("parquet.block.size", 400_000).option("parquet.page.size", 50_000).option("compression", "uncompressed").parquet(path)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", 1000)
+        spark.conf.set("spark.sql.files.minPartitionNum", 2)
+        few = spark.read.parquet(path).rdd.getNumPartitions()
+        found = suffix_dedup.query(spark, str(tmp_path)) if by == "query" else suffix_dedup.remove_repeats(spark.read.parquet(path))
+        spark.conf.set("spark.sql.files.minPartitionNum", 7)
+        assert spark.read.parquet(path).rdd.getNumPartitions() > few
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in found.select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {i: (len(t or ""), 450 * (passage in (t or "")), int(passage in (t or ""))) for i, t in enumerate(texts)}
