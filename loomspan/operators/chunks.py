@@ -81,10 +81,10 @@ def joined(chunks: DataFrame, kept: DataFrame, key: str = "pair_id", budget: int
 _STOP = frozenset(L.CHUNK_STOPWORDS)
 
 
-def chunks_of(words: list[str]) -> list[tuple[int, int]]:
-    """Begin and end of the chunks of one text, as ``word_chunks`` cuts them."""
+def chunks_of(words: list[str], most: int | None = MOST) -> list[tuple[int, int]]:
+    """Begin and end of the chunks of one text, as ``word_chunks`` cuts them; of the whole text where ``most`` is None."""
     n = len(words)
-    return [(i, min(i + WORDS, n)) for i in range(0, n, STRIDE) if i == 0 or i - STRIDE + WORDS < n][:MOST]
+    return [(i, min(i + WORDS, n)) for i in range(0, n, STRIDE) if i == 0 or i - STRIDE + WORDS < n][:most]
 
 
 def token_sets(words: list[str], cut: list[tuple[int, int]]) -> list[set[str]]:
@@ -141,11 +141,11 @@ def _row_wise(df: DataFrame, columns: list[str], made: Callable[[str | None, str
 
 
 def text_pairs(df: DataFrame, key: str = "pair_id", reference: str = "reference_text", text: str = "text") -> DataFrame:
-    """``chunk_pairs`` of the texts of each row: both lie there, so their chunks meet there, too."""
+    """``chunk_pairs`` of the texts of each row, however long: both lie there, so their chunks meet there, too."""
 
     def made(t: str | None, r: str | None) -> list[tuple]:
         a, b = (t or "").split(), (r or "").split()
-        return pairs_of(token_sets(a, chunks_of(a)), token_sets(b, chunks_of(b)))
+        return pairs_of(token_sets(a, chunks_of(a, None)), token_sets(b, chunks_of(b, None)))
 
     return _row_wise(df, [key, text, reference], made, [("research_chunk", pa.int32(), "int"), ("reference_chunk", pa.int32(), "int"), ("score", pa.float64(), "double")])
 

@@ -103,11 +103,11 @@ def words(x: str) -> str:
     return f"CASE WHEN {collapse(x)} = '' THEN [] ELSE string_split({collapse(x)}, ' ') END"
 
 
-def chunk_rows(source: str, key: str, text: str, name: str) -> str:
+def chunk_rows(source: str, key: str, text: str, name: str, most: int | None = 180) -> str:
     terms = f"list_distinct(list_filter({tokens('t')}, lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({', '.join(map(q, L.CHUNK_STOPWORDS))})))"
     return f"""{name}_w AS (SELECT {key}, {words(text)} AS w FROM {source}),
 {name}_h AS (SELECT {key}, w, unnest(list_filter(range(0, len(w), 190), lambda i: i = 0 OR i + 70 < len(w))) AS i FROM {name}_w WHERE len(w) > 0),
-{name} AS (SELECT {key}, i // 190 AS chunk, i AS start_at, least(i + 260, len(w)) AS end_at, array_to_string(w[i + 1:i + 260], ' ') AS t, {terms} AS terms FROM {name}_h WHERE i // 190 < 180)"""
+{name} AS (SELECT {key}, i // 190 AS chunk, i AS start_at, least(i + 260, len(w)) AS end_at, array_to_string(w[i + 1:i + 260], ' ') AS t, {terms} AS terms FROM {name}_h{f" WHERE i // 190 < {most}" if most else ""})"""
 
 
 def is_noise() -> str:
@@ -125,8 +125,8 @@ def noise() -> str:
 FROM (SELECT doc_id, {BODY} AS t FROM documents)"""
 
 
-def chunk_scores(source: str) -> str:
-    return f"""{chunk_rows(source, 'pair_id', 'text', 'x')}, {chunk_rows(source, 'pair_id', 'reference_text', 'y')},
+def chunk_scores(source: str, most: int | None = 180) -> str:
+    return f"""{chunk_rows(source, 'pair_id', 'text', 'x', most)}, {chunk_rows(source, 'pair_id', 'reference_text', 'y', most)},
 s AS (SELECT x.pair_id, x.chunk AS research_chunk, y.chunk AS reference_chunk, len(list_intersect(x.terms, y.terms)) AS hits, len(list_intersect(x.terms, y.terms)) / sqrt(len(x.terms) * greatest(1, len(y.terms))) AS score FROM x JOIN y ON x.pair_id = y.pair_id WHERE len(list_intersect(x.terms, y.terms)) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, research_chunk ORDER BY hits DESC, reference_chunk) AS r FROM s)"""
 
@@ -254,7 +254,7 @@ SELECT page_id, ends_with(lower(path), '.pdf') AS pdf, CASE WHEN regexp_matches(
 CASE WHEN string_split(path, '/')[-1] = '' THEN 'PDF Source' ELSE url_decode(string_split(path, '/')[-1]) END AS file_name FROM p""",
     "openalex_abstract": f"SELECT item_id, {BODY} AS text FROM benchmark WHERE {BODY} <> ''",
     "word_chunks": f"WITH {chunk_rows('documents', 'doc_id', 'text', 'x')} SELECT doc_id, chunk, start_at, end_at, t AS text, len(terms) AS n_terms FROM x",
-    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_scores('pairs')}
+    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_scores('pairs', None)}
 SELECT pair_id, research_chunk, reference_chunk, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.12""",
     "long_doc_reduce": reduced(1500),
     "search_queries": searched(),
