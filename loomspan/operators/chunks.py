@@ -153,14 +153,14 @@ def text_pairs(df: DataFrame, key: str = "pair_id", reference: str = "reference_
 def reduce_pairs(df: DataFrame, key: str = "pair_id", reference: str = "reference_text", text: str = "text", long: int = LONG) -> DataFrame:
     """key, reference_text, text, used_chunking, and counts: pairs with a long text reduced to alike chunks.
 
-    Both texts lie in one row and are cut, compared and joined there, so chunks are neither written nor exchanged.
+    Chunks of the whole texts are compared, however many. Both texts lie in one row and are cut, compared and joined there, so chunks are neither written nor exchanged.
     """
 
     def made(t: str | None, r: str | None) -> list[tuple]:
         a, b = (t or "").split(), (r or "").split()
         if max(len(a), len(b)) < long or not a or not b:
             return [(r, t, False, len(b), len(a), 0, 0, 0, 0, len(b), len(a))]
-        x, y = chunks_of(a), chunks_of(b)
+        x, y = chunks_of(a, None), chunks_of(b, None)
         pairs = pairs_of(token_sets(a, x), token_sets(b, y))
         (left, used), (right, other) = joined_of(a, x, kept_of(len(x), pairs, 0)), joined_of(b, y, kept_of(len(y), pairs, 1))
         return [(right, left, True, len(b), len(a), len(y), len(x), other, used, len(right.split()), len(left.split()))]

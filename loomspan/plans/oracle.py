@@ -125,8 +125,8 @@ def noise() -> str:
 FROM (SELECT doc_id, {BODY} AS t FROM documents)"""
 
 
-def chunk_scores(source: str, most: int | None = 180) -> str:
-    return f"""{chunk_rows(source, 'pair_id', 'text', 'x', most)}, {chunk_rows(source, 'pair_id', 'reference_text', 'y', most)},
+def chunk_scores(source: str) -> str:
+    return f"""{chunk_rows(source, 'pair_id', 'text', 'x', None)}, {chunk_rows(source, 'pair_id', 'reference_text', 'y', None)},
 s AS (SELECT x.pair_id, x.chunk AS research_chunk, y.chunk AS reference_chunk, len(list_intersect(x.terms, y.terms)) AS hits, len(list_intersect(x.terms, y.terms)) / sqrt(len(x.terms) * greatest(1, len(y.terms))) AS score FROM x JOIN y ON x.pair_id = y.pair_id WHERE len(list_intersect(x.terms, y.terms)) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, research_chunk ORDER BY hits DESC, reference_chunk) AS r FROM s)"""
 
@@ -254,7 +254,7 @@ SELECT page_id, ends_with(lower(path), '.pdf') AS pdf, CASE WHEN regexp_matches(
 CASE WHEN string_split(path, '/')[-1] = '' THEN 'PDF Source' ELSE url_decode(string_split(path, '/')[-1]) END AS file_name FROM p""",
     "openalex_abstract": f"SELECT item_id, {BODY} AS text FROM benchmark WHERE {BODY} <> ''",
     "word_chunks": f"WITH {chunk_rows('documents', 'doc_id', 'text', 'x')} SELECT doc_id, chunk, start_at, end_at, t AS text, len(terms) AS n_terms FROM x",
-    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_scores('pairs', None)}
+    "chunk_pairs": f"""WITH {LIST_PAIRS}, {chunk_scores('pairs')}
 SELECT pair_id, research_chunk, reference_chunk, round(score, 6) AS score FROM r WHERE r = 1 AND score >= 0.12""",
     "long_doc_reduce": reduced(1500),
     "search_queries": searched(),
